@@ -249,10 +249,10 @@ def cloud_motion(
     ny, nx = height // block, width // block
     cell = F.struct("y", "x", "v")
     blocks = (
-        pixels.withColumn("by", F.floor(F.col("y") / block).cast("int"))
-        .withColumn("bx", F.floor(F.col("x") / block).cast("int"))
-        .filter((F.col("by") < ny) & (F.col("bx") < nx))
-        .groupBy("frame", "by", "bx")
+        pixels.withColumn("block_y", F.floor(F.col("y") / block).cast("int"))
+        .withColumn("block_x", F.floor(F.col("x") / block).cast("int"))
+        .filter((F.col("block_y") < ny) & (F.col("block_x") < nx))
+        .groupBy("frame", "block_y", "block_x")
         .agg(F.array_sort(F.collect_list(cell)).alias("tile"))
     )
     def owners(p: str, n: int) -> Column:
@@ -260,11 +260,11 @@ def cloud_motion(
         last = F.least(F.floor((F.col(p) + reach) / block), F.lit(n - 1))
         return F.sequence(first, F.greatest(first, last)).cast("array<int>")
     area = (
-        pixels.withColumn("by", F.explode(owners("y", ny)))
-        .withColumn("bx", F.explode(owners("x", nx)))
-        .filter((F.col("by") < ny) & (F.col("bx") < nx))
-        .filter((F.col("y") < (F.col("by") + 1) * block + reach) & (F.col("x") < (F.col("bx") + 1) * block + reach))
-        .groupBy((F.col("frame") - 1).alias("frame"), "by", "bx")
+        pixels.withColumn("block_y", F.explode(owners("y", ny)))
+        .withColumn("block_x", F.explode(owners("x", nx)))
+        .filter((F.col("block_y") < ny) & (F.col("block_x") < nx))
+        .filter((F.col("y") < (F.col("block_y") + 1) * block + reach) & (F.col("x") < (F.col("block_x") + 1) * block + reach))
+        .groupBy((F.col("frame") - 1).alias("frame"), "block_y", "block_x")
         .agg(F.array_sort(F.collect_list(cell)).alias("area"))
     )
 
@@ -294,12 +294,12 @@ def cloud_motion(
             out.append((best[0], best[1], max(best[2], 0.0)))
         return pd.DataFrame(out, columns=["dx", "dy", "corr"])
 
-    j = blocks.join(area, ["frame", "by", "bx"]).withColumn("_s", best_shift("tile", "area", "by", "bx"))
+    j = blocks.join(area, ["frame", "block_y", "block_x"]).withColumn("_s", best_shift("tile", "area", "block_y", "block_x"))
     scale = block * 0.14 * 60.0 / minutes
     return j.select(
         "frame",
-        "by",
-        "bx",
+        "block_y",
+        "block_x",
         F.col("_s.dx").alias("dx"),
         F.col("_s.dy").alias("dy"),
         (F.col("_s.dx") * scale).alias("u_cloud_motion"),

@@ -1,6 +1,6 @@
 """Loads every query module so that the registry is complete."""
 
-from weatherlake.plans import climate_queries, model_queries, score_queries, series_queries, spatial_queries  # noqa: F401
+from weatherlake.plans import climate_queries, hazard_queries, model_queries, score_queries, series_queries, spatial_queries  # noqa: F401
 from weatherlake.plans.registry import COVERS, QUERIES, SQL
 
 __all__ = ["COVERS", "QUERIES", "SQL"]

@@ -476,12 +476,12 @@ def sp_brightness_temperature(spark, d):
     "sp_cloud_motion",
     "O-SP-26",
     f"""with s as (select unnest(range(-2, 3)) as k),
- b as (select time as frame, i // 4 as by, j // 4 as bx, i as y, j as x, v from {GRID}),
- c as (select b.frame, b.by, b.bx, sy.k as dy, sx.k as dx, corr(b.v, n.v) as c from b, s sy, s sx, {GRID} n
+ b as (select time as frame, i // 4 as block_y, j // 4 as block_x, i as y, j as x, v from {GRID}),
+ c as (select b.frame, b.block_y, b.block_x, sy.k as dy, sx.k as dx, corr(b.v, n.v) as c from b, s sy, s sx, {GRID} n
   where n.time = b.frame + 1 and n.i = b.y + sy.k and n.j = b.x + sx.k
-  and b.by*4 + sy.k between 0 and 4 and b.bx*4 + sx.k between 0 and 4 group by 1, 2, 3, 4, 5),
- r as (select *, row_number() over (partition by frame, by, bx order by c desc, dy, dx) as r from c)
- select frame, cast(by as int) as by, cast(bx as int) as bx, cast(dx as int) as dx, cast(dy as int) as dy,
+  and b.block_y*4 + sy.k between 0 and 4 and b.block_x*4 + sx.k between 0 and 4 group by 1, 2, 3, 4, 5),
+ r as (select *, row_number() over (partition by frame, block_y, block_x order by c desc, dy, dx) as r from c)
+ select frame, cast(block_y as int) as block_y, cast(block_x as int) as block_x, cast(dx as int) as dx, cast(dy as int) as dy,
  dx*4*0.14 as u_cloud_motion, dy*4*0.14 as v_cloud_motion, greatest(c, 0) as confidence from r where r = 1""",
     {"u_cloud_motion": 6, "v_cloud_motion": 6, "confidence": 6},
 )

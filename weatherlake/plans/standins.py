@@ -156,21 +156,79 @@ SITES = """(select c_custkey as obs_id, cast((c_custkey*73)%1400 as double)/10.0
 
 
 def cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Cell rows of forecast cycles: one cycle per site and day, four leads."""
-    e = events(spark, d)
-    return e.select(
-        F.col("event_type").alias("site"),
-        F.to_date("ts").alias("date"),
-        F.lit("12Z").alias("cycle"),
-        (F.col("event_id") % 4 * 12).cast("int").alias("lead"),
-        F.col("ts").alias("valid_time"),
-        (F.col("user_id") % 15 + 25.0).alias("latitude"),
-        (F.col("user_id") % 11 - 83.0).alias("longitude"),
-        (F.col("value") / 5 + 268.15).alias("t2m"),
+    """Cell rows of forecast cycles: one cycle per instrument and day, four leads."""
+    k = F.col("o_orderkey")
+    inst = F.when(F.col("o_orderstatus") == "O", "N").when(F.col("o_orderstatus") == "F", "A").otherwise("R")
+    return table(spark, d, "orders").select(
+        inst.alias("instrument"),
+        F.to_date("o_orderdate").alias("date"),
+        F.lit("12").alias("cycle"),
+        (k % 4 * 12).cast("int").alias("lead"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(k % 72).cast("int"))).alias("valid_time"),
+        (k % 15 + 25.0).alias("latitude"),
+        (k % 11 - 83.0).alias("longitude"),
+        (F.col("o_totalprice") / 50000 + 272.0).alias("t2m"),
+        k.alias("cell_id"),
+    )
+
+
+CYCLES = """(select case o_orderstatus when 'O' then 'N' when 'F' then 'A' else 'R' end as instrument,
+  cast(o_orderdate as date) as date, '12' as cycle, cast(o_orderkey % 4 * 12 as int) as lead,
+  o_orderdate + to_hours(cast(o_orderkey % 72 as int)) as valid_time, cast(o_orderkey % 15 + 25.0 as double) as latitude,
+  cast(o_orderkey % 11 - 83.0 as double) as longitude, o_totalprice/50000 + 272.0 as t2m, o_orderkey as cell_id from orders)"""
+
+
+def weather(spark: SparkSession, d: str) -> DataFrame:
+    """Station weather reports with several variables."""
+    x = F.col("l_extendedprice")
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("station"),
+        F.to_date("l_shipdate").alias("d"),
+        (F.col("l_quantity") - 5).alias("t"),
+        (x - F.floor(x / 100) * 100).alias("rh"),
+        (x / 3000).alias("wind_ms"),
+        (F.col("l_orderkey") % 360).cast("double").alias("wind_dir"),
+        (F.col("l_discount") * 100).alias("precip"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+    )
+
+
+WEATHER = """(select l_suppkey as station, cast(l_shipdate as date) as d, l_quantity - 5 as t,
+  l_extendedprice - floor(l_extendedprice/100)*100 as rh, l_extendedprice/3000 as wind_ms,
+  cast(l_orderkey % 360 as double) as wind_dir, l_discount*100 as precip, l_orderkey, l_linenumber, l_partkey from lineitem)"""
+
+
+def storms(spark: SparkSession, d: str) -> DataFrame:
+    """Cyclone track points: one storm per user."""
+    u, v = F.col("user_id"), F.col("value")
+    return events(spark, d).select(
+        u.alias("storm"),
+        "ts",
         "event_id",
+        (F.lit(1015.0) - v / 5).alias("hpa"),
+        (v * 0.6).alias("kmh"),
+        (F.col("event_id") % 60 + 1.0).alias("forward_kmh"),
+        (F.col("event_id") % 7 * 0.02).alias("slope"),
+        (F.col("event_id") % 12 + 20.0).alias("sst"),
+        (F.col("event_id") % 25 * 1.0).alias("shear"),
     )
 
 
-CYCLES = """(select event_type as site, cast(ts as date) as date, '12Z' as cycle, cast(event_id % 4 * 12 as int) as lead,
-  ts as valid_time, cast(user_id % 15 + 25.0 as double) as latitude, cast(user_id % 11 - 83.0 as double) as longitude,
-  value/5 + 268.15 as t2m, event_id from events)"""
+STORMS = """(select user_id as storm, ts, event_id, 1015.0 - value/5 as hpa, value*0.6 as kmh,
+  cast(event_id % 60 + 1.0 as double) as forward_kmh, cast(event_id % 7 as double)*0.02 as slope,
+  cast(event_id % 12 + 20.0 as double) as sst, cast(event_id % 25 as double) as shear from events)"""
+
+
+def weekday(c) :
+    """0 = Monday."""
+    return F.pmod(F.datediff(c, F.lit("1900-01-01").cast("date")), F.lit(7))
+
+
+def market(spark: SparkSession, d: str) -> DataFrame:
+    """Trading sessions: weekday closes per instrument."""
+    return prices(spark, d).filter(weekday(F.col("session")) < 5)
+
+
+MARKET = f"""(select * from {PRICES} where date_diff('day', date '1900-01-01', session) % 7 < 5)"""
