@@ -61,7 +61,7 @@ def status_of(staleness: Column, period: int = CYCLE_SECONDS) -> Column:
     return F.when(staleness.isNull(), "UNKNOWN").when(staleness >= period, "DEGRADED").otherwise("OK")
 
 
-def pipeline_status(cycles: DataFrame, metrics: DataFrame, asof: Column, keys: Sequence[str]) -> DataFrame:
+def cycle_status(cycles: DataFrame, metrics: DataFrame, asof: Column, keys: Sequence[str]) -> DataFrame:
     """Latest published cycle, worker heartbeat (else the publication) and freshness state per key."""
     c = cycles.groupBy(*keys).agg(
         F.max_by("forecast_cycle_id", F.struct("publication_ts", "forecast_cycle_id")).alias("latest_cycle_id"),

@@ -105,7 +105,7 @@ def rel_audit_page(spark, d):
 
 
 @query(
-    "rel_pipeline_status",
+    "rel_cycle_status",
     "O-REL-06",
     f"""with c as (select instrument, max(date) as d, max(publish_time) as p from {CYCLE_FEATURES} group by 1),
  m as (select 'A' as instrument, max(ts) as b from events)
@@ -114,12 +114,12 @@ def rel_audit_page(spark, d):
  from c left join m on c.instrument = m.instrument""",
     {"staleness_seconds": 1},
 )
-def rel_pipeline_status(spark, d):
+def rel_cycle_status(spark, d):
     c = cycle_frame(spark, d).select(
         "instrument", P.cycle_id(F.col("date"), F.col("cycle")).alias("forecast_cycle_id"), F.col("publish_time").alias("publication_ts")
     )
     m = events(spark, d).select(F.lit("A").alias("instrument"), F.lit("worker.last_run").alias("name"), "ts")
-    x = relational.pipeline_status(c, m, F.lit("2001-08-02").cast("timestamp"), K)
+    x = relational.cycle_status(c, m, F.lit("2001-08-02").cast("timestamp"), K)
     return x.select(
         "instrument", "latest_cycle_id", "staleness_seconds", F.unix_timestamp("worker_last_run").alias("worker"), "state"
     )

@@ -86,7 +86,7 @@ _CELLS = """(select event_type as site, cast(ts as date) as date, '12' as cycle,
 
 
 @query(
-    "str_cycle_pipeline",
+    "str_cycle_intake",
     "O-STR-01",
     f"""with v as (select site, date, count(distinct lead) = 4 as ok from {_CELLS} group by 1, 2),
  x as (select c.*, valid_time >= c.date + to_minutes(930) and valid_time <= c.date + to_minutes(930) + to_hours(48) as i from {_CELLS} c)
@@ -95,7 +95,7 @@ _CELLS = """(select event_type as site, cast(ts as date) as date, '12' as cycle,
  from x join v on x.site = v.site and x.date = v.date group by 1, 2, v.ok""",
     {"freeze_prob": 8},
 )
-def str_cycle_pipeline(spark, d):
+def str_cycle_intake(spark, d):
     s = event_stream(spark, d).select(
         F.col("event_type").alias("site"),
         F.to_date("ts").alias("date"),
@@ -113,7 +113,7 @@ def str_cycle_pipeline(spark, d):
 
     root = scratch_path(spark, "cycles")
     good, bad = f"{root}/accepted", f"{root}/rejected"
-    q = jobs.cycle_pipeline(s, lambda c: cycle_features(c, keys), verdict, keys, good, bad, f"{root}/checkpoint")
+    q = jobs.cycle_intake(s, lambda c: cycle_features(c, keys), verdict, keys, good, bad, f"{root}/checkpoint")
     q.awaitTermination()
     a = spark.read.parquet(good).select("site", "date", F.lit("accepted").alias("status"), "freeze_prob")
     r = spark.read.parquet(bad).select("site", "date", F.lit("rejected").alias("status"), F.lit(None).cast("double").alias("freeze_prob"))

@@ -32,7 +32,7 @@ def run_batches(
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def cycle_pipeline(
+def cycle_intake(
     stream: DataFrame,
     features: Callable[[DataFrame], DataFrame],
     verdicts: Callable[[DataFrame], DataFrame],
@@ -109,7 +109,7 @@ class RunLength(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", "last_day date, length int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         b = pd.concat(list(rows)).sort_values("day")
         last, length = self.run.get() if self.run.exists() else (None, 0)
         out = []
@@ -142,7 +142,8 @@ def run_length_alerts(stream: DataFrame, at_least: int) -> DataFrame:
 class FeedSession(StatefulProcessor):
     """First-in first-out connect/disconnect pairing per (tenant, session) with a time-out.
 
-    Events wait in state until the watermark has passed them, then pair in time order. The queue of open
+    Events wait in state until the watermark has passed them (a timer at the oldest one), then pair in
+    time order. The queue of open
     connects times out ``timeout_ms`` after its newest connect, so abandoned sessions do not pile up.
     """
 
@@ -154,21 +155,21 @@ class FeedSession(StatefulProcessor):
         self.pending = handle.getListState("pending", "ms long, tie long, up boolean")
         self.open = handle.getListState("open", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        late = timer_values.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs()
         due = None
         for b in rows:
             fresh = b[b.ms > late]
             self.pending.appendList([(int(m), int(t), bool(u)) for m, t, u in zip(fresh.ms, fresh.tie, fresh.up, strict=True)])
             if len(fresh):
-                top = int(fresh.ms.max())
-                due = top if due is None else max(due, top)
+                first = int(fresh.ms.min())
+                due = first if due is None else min(due, first)
         if due is not None:
             self.handle.registerTimer(due + 1)
         yield pd.DataFrame(columns=["tenant_id", "session_id", "connected_ms", "disconnected_ms"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        mark = timer_values.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
         ready = sorted(r for r in (tuple(x) for x in self.pending.get()) if r[0] <= mark)
         rest = [r for r in (tuple(x) for x in self.pending.get()) if r[0] > mark]
         queue = [x[0] for x in self.open.get()]
@@ -180,6 +181,8 @@ class FeedSession(StatefulProcessor):
                 out.append((*key, queue.pop(0), ms))
         queue = [q for q in queue if q + self.timeout_ms > mark]
         self.pending.put(rest) if rest else self.pending.clear()
+        if rest:
+            self.handle.registerTimer(min(r[0] for r in rest) + 1)
         self.open.put([(q,) for q in queue]) if queue else self.open.clear()
         if queue:
             self.handle.registerTimer(max(queue) + self.timeout_ms)
