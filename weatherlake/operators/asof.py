@@ -36,11 +36,10 @@ def asof(
     u = l.unionByName(r, allowMissingColumns=True)
     order = ["_t", "_side", *[f"_tie{i}" for i in range(n)]]
     if block is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        if forward:
-            u = u.withColumn("_m", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-        else:
-            u = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # forward matches scan backwards, so both directions use a growing frame (linear time)
+        point = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
+        w = Window.partitionBy(*keys).orderBy(*point).rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
     else:
         u = running(u, keys, block(F.col("_t")), order, {"_m": ("last", F.col("_r"))}, reverse=forward)
     hit = u.filter(F.col("_l").isNotNull())

@@ -126,7 +126,8 @@ def back_adjust(prices: DataFrame, rolls: DataFrame, keys: Sequence[str], close:
     A gap depends on raw closes only, so the factor of a row is the product of all later gaps.
     """
     f = rolls.filter(~F.col("flagged")).select(*keys, F.col("roll_date").alias("session"), F.col("factor").alias("_g"))
-    w = Window.partitionBy(*keys).orderBy("session").rowsBetween(1, Window.unboundedFollowing)
+    # newest first: a growing frame costs linear time, a shrinking one quadratic
+    w = Window.partitionBy(*keys).orderBy(F.col("session").desc()).rowsBetween(Window.unboundedPreceding, -1)
     x = prices.join(f, [*keys, "session"], "left").withColumn("_g", F.coalesce("_g", F.lit(1.0)))
     x = x.withColumn("adjustment_factor", F.coalesce(F.product("_g").over(w), F.lit(1.0)))
     return x.withColumn("close_adj", F.col(close) * F.col("adjustment_factor")).drop("_g")
