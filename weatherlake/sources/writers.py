@@ -21,7 +21,7 @@ def write_cycles(
     """
     todo = cells
     if store_exists(spark, path):
-        have = spark.read.parquet(path).select(*partition).distinct()
+        have = spark.read.schema(cells.schema).parquet(path).select(*partition).distinct()
         todo = cells.join(have, list(partition), "left_anti")
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in cells.columns]), F.lit(4))
     (
