@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weatherlake.operators import audit, metering, relational
+from weatherlake.operators.windows import days
 from weatherlake.sources import readers, writers
 
 T0 = datetime(2024, 1, 1)
@@ -19,7 +20,7 @@ def sealed(spark, n=60):
 
 
 def verify(df):
-    v = audit.verify_chains(df, ["tenant_id"], F.to_date("ts"), ["ts", "id"])
+    v = audit.verify_chains(df, ["tenant_id"], days("ts"), ["ts", "id"])
     return {r.tenant_id: (r.ok, r.first_bad) for r in v.collect()}
 
 
@@ -60,7 +61,7 @@ def test_feed_sessions_match_a_queue_with_orphans(spark):
         rows += [("t", s, *e) for e in ev]
     df = spark.createDataFrame(rows, "tenant_id string, session_id int, ts timestamp, id int, action string")
     got = {s: [] for s in want}
-    for r in metering.feed_sessions(df, ["tenant_id", "session_id"], F.to_date, "id").collect():
+    for r in metering.feed_sessions(df, ["tenant_id", "session_id"], days, "id").collect():
         got[r.session_id].append((r.connected, r.disconnected))
     assert {k: sorted(v) for k, v in got.items()} == want
 
@@ -103,7 +104,7 @@ def test_error_budget_ignores_fail_closed(spark):
 def test_batches_split_large_cycles(spark):
     rows = [("c1" if i < 25 else "c2", T0 + timedelta(minutes=i), i, "LONG") for i in range(30)]
     df = spark.createDataFrame(rows, "forecast_cycle_id string, ts timestamp, id int, action string").withColumn("publication_ts", F.lit("p"))
-    b = relational.signal_batches(df, F.hour("ts"), ["ts", "id"], ["action", "id"], part_size=10)
+    b = relational.signal_batches(df, days("ts"), ["ts", "id"], ["action", "id"], part_size=10)
     assert {(r.cycle_id, r.part, r.n_signals) for r in b.collect()} == {("c1", 0, 10), ("c1", 1, 10), ("c1", 2, 5), ("c2", 0, 5)}
 
 

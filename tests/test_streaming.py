@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weatherlake.operators import metering
+from weatherlake.operators.windows import days
 from weatherlake.plans.stream_queries import rocksdb
 from weatherlake.streaming import jobs
 
@@ -59,7 +60,7 @@ def test_feed_sessions_across_batches_equal_batch(spark, tmp_path):
         s = jobs.feed_sessions(stream(spark, root, schema), "ts", "id", F.col("action") == "feed.connect", delay="30 minutes")
         out = jobs.drain(s, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = sorted((r.connected_ms, r.disconnected_ms) for r in out.collect())
-    batch = metering.feed_sessions(spark.createDataFrame(rows, schema), ["tenant_id", "session_id"], F.to_date, "id")
+    batch = metering.feed_sessions(spark.createDataFrame(rows, schema), ["tenant_id", "session_id"], days, "id")
     want = sorted((r.a, r.b) for r in batch.select(F.unix_millis("connected").alias("a"), F.unix_millis("disconnected").alias("b")).collect())
     assert got == want and len(got) == 4
 

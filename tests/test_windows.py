@@ -22,17 +22,18 @@ def to_spark(spark, pdf):
 
 
 def block():
-    return F.floor(F.col("t") / 50)
+    return windows.Block(F.floor(F.col("t") / 50), F.col("t"))
 
 
+@pytest.mark.parametrize("hot", [10, 10_000])
 @pytest.mark.parametrize("reverse", [False, True])
-def test_running_kinds(spark, reverse):
+def test_running_kinds(spark, reverse, hot):
     pdf = frame()
     x = F.col("x")
     specs = {k: (k, x) for k in ("sum", "count", "product", "max", "min", "last", "first")}
     specs["product"] = ("product", F.when(x.isNotNull(), 1 + x / 1000))
     specs["total"] = ("total", x)
-    got = windows.running(to_spark(spark, pdf), ["k"], block(), ["t", "id"], specs, reverse).toPandas().set_index("id")
+    got = windows.running(to_spark(spark, pdf), ["k"], block(), ["t", "id"], specs, reverse, hot_rows=hot).toPandas().set_index("id")
     for _, g in pdf.groupby("k"):
         g = g[::-1] if reverse else g
         s = g.x
@@ -65,6 +66,16 @@ def test_tiles_match_whole_series(spark, tile):
         np.testing.assert_allclose(r.m5, g.x.rolling(5, min_periods=1).mean())
 
 
+def test_hot_blocks_split_in_order(spark):
+    n = 2000
+    rows = [("hot", int(t), i, 1.0) for i, t in enumerate(np.sort(np.random.default_rng(0).integers(0, 60, n)))]
+    df = spark.createDataFrame(rows, "k string, t long, id long, x double")
+    b = windows.with_blocks(df, ["k"], windows.Block(F.floor(F.col("t") / 100), F.col("t")), hot_rows=100)
+    sizes = b.groupBy("_blk", "_sub").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_sub").collect()
+    assert len(sizes) >= 18 and max(r.n for r in sizes) < 300
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+
+
 def test_features_match_pandas_and_ignore_the_future(spark):
     pdf = frame()
     args = (["k"], block(), ["t", "id"], ["x"])

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import running
+from weatherlake.operators.windows import Block, running
 
 
 def asof(
@@ -17,14 +17,14 @@ def asof(
     left_ts: Column,
     right_ts: Column,
     columns: Sequence[str],
-    block: Callable[[Column], Column] | None = None,
+    block: Callable[[Column], Block] | None = None,
     tie: Sequence[str] = (),
     forward: bool = False,
 ) -> DataFrame:
     """Add ``columns`` of the last right row at or before each left row (``forward``: first at or after).
 
     ``tie`` are right columns that order rows of equal time. Without ``block`` both sides must be daily
-    frames; with it (a monotone function of time, such as ``to_date``) raw rows of any length work.
+    frames; with it (such as ``windows.days``) raw rows of any length work.
     """
     n = len(tie)
     match = F.struct(*[F.col(c) for c in columns])

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import daily, running
+from weatherlake.operators.windows import Block, daily, running
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Block | None = None
 ) -> DataFrame:
     """Add ``_flag`` and ``_run``: the number of unflagged rows so far, constant inside a run.
 
@@ -33,7 +33,7 @@ def in_long_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag:
 
 
 def longest_run(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Block | None = None
 ) -> DataFrame:
     """Longest flagged run per key (0 when none); both steps are partial aggregates."""
     m = mark_runs(df, keys, order, flag, block)

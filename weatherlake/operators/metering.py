@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import running
+from weatherlake.operators.windows import Block, running
 
 # Bookkeeping actions that are never billed.
 INTERNAL_ACTIONS = (
@@ -55,7 +55,7 @@ def api_calls(
 
 
 def feed_sessions(
-    events: DataFrame, keys: Sequence[str], block: Callable[[Column], Column], tie: str, connect: str = "feed.connect", disconnect: str = "feed.disconnect"
+    events: DataFrame, keys: Sequence[str], block: Callable[[Column], Block], tie: str, connect: str = "feed.connect", disconnect: str = "feed.disconnect"
 ) -> DataFrame:
     """First-in first-out connect/disconnect pairs per key, ignoring disconnects with nothing open.
 
@@ -77,8 +77,9 @@ def feed_sessions(
             "_c": ("sum", F.when(up, 1).otherwise(0)),
             "_d": ("sum", F.when(up, 0).otherwise(1)),
         },
+        keep_blocks=True,
     )
-    x = running(x, keys, blk, order, {"_m": ("min", F.col("_s"))})
+    x = running(x, keys, None, order, {"_m": ("min", F.col("_s"))})
     opened = x.filter(up).select(*keys, F.col("_c").alias("n"), F.col("ts").alias("connected"))
     number = F.col("_d") - F.greatest(-F.col("_m"), F.lit(0))
     closed = (

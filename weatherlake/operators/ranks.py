@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import running, value_block
+from weatherlake.operators.windows import running, values
 
 
 def cumulative_counts(
@@ -27,7 +27,7 @@ def cumulative_counts(
     for n in weights:
         specs[f"{n}_le"] = ("sum", F.col(n))
         specs[f"{n}_all"] = ("total", F.col(n))
-    return running(per_value, keys, value_block(F.col(value)), [value], specs)
+    return running(per_value, keys, values(F.col(value)), [value], specs)
 
 
 def percentile_rank(

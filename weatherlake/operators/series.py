@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import POS, TILE, over_tiles, trailing
+from weatherlake.operators.windows import POS, TILE, Block, over_tiles, trailing
 
 LAGS = (1, 3, 6, 12, 24, 48, 72, 168)
 WINDOWS = (6, 12, 24, 48, 168)
@@ -74,7 +74,7 @@ def full_mean_columns(v: str, windows: Sequence[int], w: WindowSpec) -> dict[str
 def features(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Block,
     order: Sequence[str],
     variables: Sequence[str],
     stats: Sequence[str] = ("lag", "window", "trend", "anomaly", "rolling"),
@@ -103,7 +103,7 @@ def features(
 
 
 def ema(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], v: str, spans: Sequence[int] = EMA_SPANS
+    df: DataFrame, keys: Sequence[str], block: Block, order: Sequence[str], v: str, spans: Sequence[int] = EMA_SPANS
 ) -> DataFrame:
     """Exponential moving averages with alpha = 2 / (span + 1), seeded with the first value.
 
@@ -160,7 +160,7 @@ def _compatible(spans: Sequence[int]) -> list[list[int]]:
 def sequences(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Block,
     order: Sequence[str],
     columns: Sequence[str],
     length: int = 168,

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(series).orderBy(ts)`` sends a whole series to one task. That is right
 for daily frames (one row per key and day: a century is 36,525 rows) and wrong for raw observations.
 For raw rows two kernels are used; both need a ``block`` column that never decreases along the order
-(a calendar date for time series, ``value_block`` for numeric order):
+(``days`` for time series, ``values`` for numeric order). A block may itself be hot, so blocks over
+``HOT_ROWS`` rows are split further along the order:
 
 ``running``     prefix aggregates: block totals (map-side combined) -> carry per block -> row window
                 inside (key, block). The frame of block totals has one row per key and block.
@@ -14,12 +15,34 @@ For raw rows two kernels are used; both need a ``block`` column that never decre
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 POS = "_pos"
 TILE = "_tile"
+HOT_ROWS = 500_000
+SMALL_BYTES = 128 * 1024 * 1024
+
+
+@dataclass(frozen=True)
+class Block:
+    """Coarse monotone bucket of the order, and the number that splits a bucket with too many rows."""
+
+    coarse: Column
+    fine: Column
+
+
+def days(ts: str | Column) -> Block:
+    """Calendar days; a crowded day is split by microseconds."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return Block(F.to_date(c), F.unix_micros(c.cast("timestamp")))
+
+
+def values(x: Column) -> Block:
+    """Log-scale buckets of a number; a crowded bucket is split by the number itself."""
+    return Block(value_block(x), x)
 
 
 def daily(keys: Sequence[str], ts: str, *tie: str) -> WindowSpec:
@@ -78,37 +101,71 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local)
 
 
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate of the whole frame is under ``SMALL_BYTES``; unknown means no."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) <= SMALL_BYTES
+    except Exception:  # noqa: BLE001
+        return False
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], block: Block, hot_rows: int | None = None) -> DataFrame:
+    """Add ``_blk`` and ``_sub``: the coarse bucket, and its part when the bucket is crowded (else 0).
+
+    One narrow aggregate counts rows per (key, bucket); only buckets over the limit are kept, so the
+    table joined back has at most rows / limit entries. A frame that as a whole fits one task cannot
+    have a crowded bucket and skips that pass.
+    """
+    if hot_rows is None and fits_one_task(df):
+        return df.withColumns({"_blk": block.coarse, "_sub": F.lit(0).cast("long")})
+    hot_rows = hot_rows or HOT_ROWS
+    x = df.withColumns({"_blk": block.coarse, "_fine": block.fine.cast("double")})
+    n = x.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"), F.min("_fine").alias("_lo"), F.max("_fine").alias("_hi"))
+    parts = F.ceil(F.col("_n") / hot_rows)
+    hot = n.filter((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo"))).select(
+        *keys, "_blk", "_lo", (parts / (F.col("_hi") - F.col("_lo"))).alias("_rate")
+    )
+    j = x.join(hot, [*keys, "_blk"], "left")
+    sub = F.coalesce(F.floor((F.col("_fine") - F.col("_lo")) * F.col("_rate")), F.lit(0))
+    return j.withColumn("_sub", sub).drop("_fine", "_lo", "_rate")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Block | None,
     order: Sequence[str],
     specs: dict[str, tuple[str, Column]],
     reverse: bool = False,
+    hot_rows: int | None = None,
+    keep_blocks: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates per ``keys`` in ``order``.
 
     ``specs`` maps an output name to (kind, input); kinds are sum, count, product, max, min, last and
     first (NULLs skipped), plus ``total`` / ``size``: the sum / count over the whole series. With
     ``reverse`` the scan runs from the end, so ``last`` means the next non-NULL value. ``keys`` must
-    not be NULL and ``order`` must be unique per key.
+    not be NULL and ``order`` must be unique per key. A second scan of the same frame can pass
+    ``block=None`` when the first one kept its blocks.
     """
     names = list(specs)
     ins = {n: f"_in_{n}" for n in names}
-    src = df.withColumn("_blk", block)
+    blk = ["_blk", "_sub"]
+    src = df if block is None else with_blocks(df, keys, block, hot_rows)
     for n in names:
         src = src.withColumn(ins[n], specs[n][1])
     flip = {"last": "first", "first": "last"} if reverse else {}
     point = F.struct(*[F.col(c) for c in order])
-    part = src.groupBy(*keys, "_blk").agg(
+    part = src.groupBy(*keys, *blk).agg(
         *[_total(flip.get(specs[n][0], specs[n][0]), F.col(ins[n]), point).alias(f"_t_{n}") for n in names]
     )
-    blk_order = F.col("_blk").desc() if reverse else F.col("_blk").asc()
-    prior = Window.partitionBy(*keys).orderBy(blk_order).rowsBetween(Window.unboundedPreceding, -1)
+    blk_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in blk]
+    prior = Window.partitionBy(*keys).orderBy(*blk_order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     carry = part.select(
         *keys,
-        "_blk",
+        *blk,
         *[
             (
                 F.sum(f"_t_{n}").over(whole)
@@ -120,9 +177,9 @@ def running(
     )
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     inside = (
-        Window.partitionBy(*keys, "_blk").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, *blk).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = src.join(carry, [*keys, "_blk"], "left")
+    joined = src.join(carry, [*keys, *blk], "left")
     for n in names:
         kind = specs[n][0]
         c = F.col(f"_c_{n}")
@@ -135,11 +192,11 @@ def running(
                 else _over(kind, F.col(ins[n]), inside)
             )
             joined = joined.withColumn(n, _merge(kind, c, local))
-    return joined.drop("_blk", *ins.values(), *[f"_c_{n}" for n in names])
+    return joined.drop(*([] if keep_blocks else blk), *ins.values(), *[f"_c_{n}" for n in names])
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], size: str | None = None
+    df: DataFrame, keys: Sequence[str], block: Block, order: Sequence[str], size: str | None = None
 ) -> DataFrame:
     """Add ``_pos`` (1-based row number per key), and the series length when ``size`` names it."""
     specs: dict[str, tuple[str, Column]] = {POS: ("count", F.lit(1))}
@@ -151,7 +208,7 @@ def number_rows(
 def over_tiles(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Block,
     order: Sequence[str],
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int = 0,

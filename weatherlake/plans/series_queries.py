@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weatherlake.operators import series
+from weatherlake.operators.windows import days
 from weatherlake.plans.registry import query
 from weatherlake.plans.standins import OBS, obs
 
@@ -10,7 +11,7 @@ KEYS, ORDER = ["station"], ["ts", "event_id"]
 
 
 def _day():
-    return F.to_date("ts")
+    return days("ts")
 
 
 _W = "partition by station order by ts, event_id"

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from weatherlake.operators import audit, metering, relational
 from weatherlake.operators.metering import SEVERITY_KEYWORDS
+from weatherlake.operators.windows import days
 from weatherlake.plans.pit_queries import _LEDGER, K, ledger
 from weatherlake.plans.hazard_queries import CYCLE_FEATURES, cycle_frame
+from weatherlake.session import materialise
 from weatherlake.plans.registry import query
 from weatherlake.plans.signal_queries import SIGNAL_LOG, signal_log
 from weatherlake.operators import pit as P
@@ -150,7 +152,7 @@ def rel_signal_batches(spark, d):
         }
     )
     b = relational.signal_batches(
-        s, F.hour("ts"), ["ts", "event_id"], ["instrument", "action", "confidence"], part_size=100
+        s, days("ts"), ["ts", "event_id"], ["instrument", "action", "confidence"], part_size=100
     )
     doc = F.from_json("payload", "signals array<struct<instrument string, action string, confidence double>>")
     x = b.select("cycle_id", "part", F.posexplode(doc["signals"]).alias("pos", "s"))
@@ -189,7 +191,7 @@ def sealed(spark, d):
         "ts",
         F.to_json(F.struct("action", "actor_id", "request_id")).alias("payload"),
     )
-    return audit.seal_chains(a, "tenant_id", ["ts", "id"])
+    return materialise(audit.seal_chains(a, "tenant_id", ["ts", "id"]), "sealed")
 
 
 @query(
@@ -202,7 +204,7 @@ def sealed(spark, d):
 def au_verify_chain(spark, d):
     """Sealed chains with altered payloads, and one with a broken link."""
     s = sealed(spark, d)
-    rank = audit.chain_rows(s, ["tenant_id"], F.to_date("ts"), ["ts", "id"])
+    rank = audit.chain_rows(s, ["tenant_id"], days("ts"), ["ts", "id"])
     broken = (F.col("tenant_id") == "t3") & (F.col("position") == 17)
     t = rank.withColumns(
         {
@@ -210,7 +212,7 @@ def au_verify_chain(spark, d):
             "prev_hash": F.when(broken, F.lit("x")).otherwise(F.col("prev_hash")),
         }
     ).drop("bad", "position")
-    return audit.verify_chains(t, ["tenant_id"], F.to_date("ts"), ["ts", "id"])
+    return audit.verify_chains(t, ["tenant_id"], days("ts"), ["ts", "id"])
 
 
 @query(
@@ -219,8 +221,9 @@ def au_verify_chain(spark, d):
     f"""select coalesce(tenant_id, 'internal') as tenant_id, count(*) as n, count(*) - 1 as linked, true as ok from {AUDIT} group by 1""",
 )
 def au_seal_chain(spark, d):
-    v = audit.verify_chains(sealed(spark, d), ["tenant_id"], F.to_date("ts"), ["ts", "id"])
-    n = sealed(spark, d).groupBy("tenant_id").agg(F.count("prev_hash").alias("linked"))
+    s = sealed(spark, d)
+    v = audit.verify_chains(s, ["tenant_id"], days("ts"), ["ts", "id"])
+    n = s.groupBy("tenant_id").agg(F.count("prev_hash").alias("linked"))
     return v.join(n, "tenant_id").select("tenant_id", "n", "linked", "ok")
 
 
@@ -289,7 +292,7 @@ _FEED = f"""(select tenant_id, sum(floor(h)) as feed_hours from (select tenant_i
 
 def sessions(spark, d):
     a = audit_log(spark, d).withColumn("tenant_id", F.coalesce("tenant_id", F.lit("internal")))
-    return metering.feed_sessions(a, ["tenant_id", "session_id"], F.to_date, "id")
+    return metering.feed_sessions(a, ["tenant_id", "session_id"], days, "id")
 
 
 @query("mt_feed_hours", "O-MT-02", f"select * from {_FEED}", {"feed_hours": 3})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weatherlake.operators import quality, relational
 from weatherlake.operators.hazards import cycle_features
+from weatherlake.operators.windows import days
 from weatherlake.plans.registry import query
 from weatherlake.plans.signal_queries import SIGNAL_LOG
 from weatherlake.plans.standins import EVENT_SCHEMA, OBS
@@ -189,7 +190,7 @@ def str_signal_batches(spark, d):
     )
     out, ck = _paths(spark, "publish")
     fields = ["instrument", "action", "confidence"]
-    q = jobs.publish_batches(s, lambda x: relational.signal_batches(x, F.hour("ts"), ["ts", "event_id"], fields), out, ck)
+    q = jobs.publish_batches(s, lambda x: relational.signal_batches(x, days("ts"), ["ts", "event_id"], fields), out, ck)
     q.awaitTermination()
     doc = F.from_json("payload", "signals array<struct<instrument string, action string, confidence double>>")
     r = spark.read.schema("cycle_id string, part long, payload string").json(out)
