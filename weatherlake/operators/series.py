@@ -20,54 +20,123 @@ def lag_columns(v: str, lags: Sequence[int], w: WindowSpec) -> dict[str, Column]
     return {f"{v}_lag_{k}": F.lag(v, k).over(w) for k in lags}
 
 
+# Moments of a frame: values n, mean m, squared deviations q, extremes lo and hi, and for the trend the
+# mean position t, its squared deviations u and the co-deviation c. Two adjoining frames merge without
+# subtraction, so nothing cancels and a constant frame has exactly q = 0; an empty frame is all zeros.
+_ROW = {
+    "n": "if({v} is null, 0d, 1d)",
+    "m": "coalesce(cast({v} as double), 0d)",
+    "q": "0d",
+    "lo": "cast({v} as double)",
+    "hi": "cast({v} as double)",
+    "t": f"if({{v}} is null, 0d, cast({POS} as double))",
+    "u": "0d",
+    "c": "0d",
+}
+_SHARE = "({b}n / greatest({a}n + {b}n, 1d))"
+_MERGE = {
+    "n": "{a}n + {b}n",
+    "m": "{a}m + ({b}m - {a}m) * " + _SHARE,
+    "q": "{a}q + {b}q + ({b}m - {a}m) * ({b}m - {a}m) * {a}n * " + _SHARE,
+    "lo": "least({a}lo, {b}lo)",
+    "hi": "greatest({a}hi, {b}hi)",
+    "t": "{a}t + ({b}t - {a}t) * " + _SHARE,
+    "u": "{a}u + {b}u + ({b}t - {a}t) * ({b}t - {a}t) * {a}n * " + _SHARE,
+    "c": "{a}c + {b}c + ({b}m - {a}m) * ({b}t - {a}t) * {a}n * " + _SHARE,
+}
+_NEEDS = {"window": "n m q lo hi", "anomaly": "n m q", "rolling": "n m", "trend": "n m t u c"}
+
+
+def _frame(size: int, field: str) -> str:
+    return f"_f{size}_{field}"
+
+
+def _merged(fields: Sequence[str], a: str, b: str, out: str) -> dict[str, Column]:
+    return {f"{out}{f}": F.expr(_MERGE[f].format(a=a, b=b)) for f in fields}
+
+
+def _back(fields: Sequence[str], src: str, rows: int, out: str, w: WindowSpec) -> dict[str, Column]:
+    return {f"{out}{f}": F.lag(f"{src}{f}", rows, None if f in ("lo", "hi") else 0.0).over(w) for f in fields}
+
+
+def with_frames(x: DataFrame, v: str, sizes: Sequence[int], fields: Sequence[str], w: WindowSpec) -> DataFrame:
+    """Add the moments of the trailing ``size`` rows as ``_f<size>_<field>`` for every size.
+
+    Frames of 2, 4, 8, ... rows come from merging a frame with the one just before it; a frame of any
+    size is the merge of at most log2(size) of them. A row costs the logarithm of the frame length,
+    and all steps share one sort.
+    """
+    x = x.withColumns({f"_p0_{f}": F.expr(_ROW[f].format(v=v)) for f in fields})
+    top = max(sizes).bit_length() - 1
+    for k in range(1, top + 1):
+        x = x.withColumns(_back(fields, f"_p{k - 1}_", 2 ** (k - 1), "_b_", w))
+        x = x.withColumns(_merged(fields, "_b_", f"_p{k - 1}_", f"_p{k}_"))
+    back, plan = {}, {}
+    for size in sizes:
+        reach, plan[size] = 0, []
+        for k in reversed(range(size.bit_length())):
+            if size >> k & 1:
+                if reach:
+                    back |= _back(fields, f"_p{k}_", reach, f"_l{k}_{reach}_", w)
+                plan[size].append(f"_l{k}_{reach}_" if reach else f"_p{k}_")
+                reach += 2**k
+    if back:
+        x = x.withColumns(back)
+    for size, parts in plan.items():
+        x = x.withColumns({_frame(size, f): F.col(f"{parts[0]}{f}") for f in fields})
+        for part in parts[1:]:
+            x = x.withColumns(_merged(fields, part, f"_f{size}_", f"_f{size}_"))
+    return x.drop(*[f"_p{k}_{f}" for k in range(top + 1) for f in fields], *[f"_b_{f}" for f in fields], *back)
+
+
 def _if_long_enough(size: int, x: Column) -> Column:
     """A window longer than the series yields no feature."""
     return F.when(F.col(LENGTH) >= size, x)
 
 
-def rolling_columns(v: str, windows: Sequence[int], w: WindowSpec) -> dict[str, Column]:
+def _std(size: int) -> Column:
+    n = F.col(_frame(size, "n"))
+    return F.when(n >= 2, F.sqrt(F.col(_frame(size, "q")) / (n - 1)))
+
+
+def rolling_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
     """Mean, sample std, min and max with at least max(1, size // 2) observations."""
     out = {}
     for size in windows:
-        f = trailing(w, size)
-        enough = F.count(v).over(f) >= max(1, size // 2)
-        for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            out[f"{v}_roll{name}_{size}"] = _if_long_enough(size, F.when(enough, agg(v).over(f)))
+        enough = F.col(_frame(size, "n")) >= max(1, size // 2)
+        stats = {"mean": F.col(_frame(size, "m")), "std": _std(size), "min": F.col(_frame(size, "lo")), "max": F.col(_frame(size, "hi"))}
+        for name, value in stats.items():
+            out[f"{v}_roll{name}_{size}"] = _if_long_enough(size, F.when(enough, value))
     return out
 
 
-def trend_columns(v: str, windows: Sequence[int], w: WindowSpec) -> dict[str, Column]:
+def trend_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
     """Least-squares slope per step over full windows with two or more values.
 
     Partial leading windows give NULL: the array form of the feature, not the biased short-frame one.
     """
     out = {}
     for size in windows:
-        f = trailing(w, size)
-        ok = (F.count(F.lit(1)).over(f) == size) & (F.count(v).over(f) >= 2)
-        out[f"{v}_trend_{size}"] = F.when(ok, F.regr_slope(F.col(v), F.col(POS).cast("double")).over(f))
+        ok = (F.col(POS) >= size) & (F.col(_frame(size, "n")) >= 2)
+        out[f"{v}_trend_{size}"] = F.when(ok, F.col(_frame(size, "c")) / F.col(_frame(size, "u")))
     return out
 
 
-def zscore_columns(v: str, windows: Sequence[int], w: WindowSpec, limit: float = 3.0) -> dict[str, Column]:
+def zscore_columns(v: str, windows: Sequence[int], limit: float = 3.0) -> dict[str, Column]:
     out = {}
     for size in windows:
-        f = trailing(w, size)
-        enough = F.count(v).over(f) >= max(1, size // 2)
-        sd = F.nullif(F.stddev_samp(v).over(f), F.lit(0.0))
-        z = _if_long_enough(size, F.when(enough, (F.col(v) - F.avg(v).over(f)) / sd))
+        enough = F.col(_frame(size, "n")) >= max(1, size // 2)
+        z = F.when(enough, (F.col(v) - F.col(_frame(size, "m"))) / F.nullif(_std(size), F.lit(0.0)))
+        z = _if_long_enough(size, z)
         out[f"{v}_anomaly_{size}"] = z
         out[f"{v}_is_anomaly_{size}"] = F.coalesce(F.abs(z) > limit, F.lit(False))
     return out
 
 
-def full_mean_columns(v: str, windows: Sequence[int], w: WindowSpec) -> dict[str, Column]:
+def full_mean_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
     """Trailing mean, NULL until the window holds ``size`` values."""
     return {
-        f"{v}_rolling_{size}": F.when(
-            F.count(v).over(trailing(w, size)) == size, F.avg(v).over(trailing(w, size))
-        )
-        for size in windows
+        f"{v}_rolling_{size}": F.when(F.col(_frame(size, "n")) == size, F.col(_frame(size, "m"))) for size in windows
     }
 
 
@@ -83,20 +152,19 @@ def features(
 ) -> DataFrame:
     """All requested features of all variables from one tiling and one sort."""
 
+    makers = {"window": rolling_columns, "trend": trend_columns, "anomaly": zscore_columns, "rolling": full_mean_columns}
+    framed = [make for name, make in makers.items() if name in stats]
+    fields = [f for f in _ROW if any(f in _NEEDS[n].split() for n in stats if n in makers)]
+
     def build(x: DataFrame, w: WindowSpec) -> DataFrame:
-        cols: dict[str, Column] = {}
         for v in variables:
             if "lag" in stats:
-                cols |= lag_columns(v, lags, w)
-            if "window" in stats:
-                cols |= rolling_columns(v, windows, w)
-            if "trend" in stats:
-                cols |= trend_columns(v, windows, w)
-            if "anomaly" in stats:
-                cols |= zscore_columns(v, windows, w)
-            if "rolling" in stats:
-                cols |= full_mean_columns(v, windows, w)
-        return x.withColumns(cols)
+                x = x.withColumns(lag_columns(v, lags, w))
+            if framed and windows:
+                x = with_frames(x, v, windows, fields, w)
+                x = x.withColumns({n: c for make in framed for n, c in make(v, windows).items()})
+                x = x.drop(*[_frame(size, f) for size in windows for f in fields])
+        return x
 
     reach = max([*(lags if "lag" in stats else []), *[w - 1 for w in windows], 1])
     return over_tiles(df, keys, block, order, build, before=reach, size=LENGTH).drop(LENGTH)
