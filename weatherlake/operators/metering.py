@@ -199,7 +199,9 @@ def sync_stale(syncs: DataFrame, audit: DataFrame, jobs: DataFrame, tenants: Dat
     n = active.unionByName(done).join(paid, "tenant_id", "left_semi").limit(1).agg(F.count("*").alias("_active"))
     last = syncs.filter("status = 'submitted'").agg(F.max("submitted_at").alias("last_sync"))
     age = (F.unix_micros(asof) - F.unix_micros("last_sync")) / 3.6e9
-    one = last.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
+    one = last.unionByName(n, allowMissingColumns=True).agg(
+        F.max("last_sync").alias("last_sync"), F.max("_active").alias("_active")
+    )
     return one.select(
         "last_sync", F.when(F.col("last_sync").isNull(), F.col("_active") > 0).otherwise(age > max_hours).alias("stale")
     )

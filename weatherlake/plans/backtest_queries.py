@@ -12,10 +12,10 @@ KEYS = ["instrument"]
 
 
 def momentum(df):
-    """Two per cent long or short when the close is 5 % off the close five sessions ago; looks back only."""
+    """Half long or short when the close is 5 % off the close five sessions ago; looks back only."""
     w = Window.partitionBy("instrument").orderBy("session")
     m = F.col("close") / F.lag("close", 5).over(w) - 1
-    return df.withColumn("position", F.when(m > 0.05, 0.02).when(m < -0.05, -0.02).otherwise(0.0))
+    return df.withColumn("position", F.when(m > 0.05, 0.5).when(m < -0.05, -0.5).otherwise(0.0))
 
 
 _W = "(partition by {k} order by session)"
@@ -31,7 +31,7 @@ def _equity_sql(src, keys="instrument"):
  select *, coalesce(lag(equity) over {w} * gain, equity) as pre, turnover*0.0007 as cost from e)"""
 
 
-_MOM = f"""(select *, case when m > 0.05 then 0.02 when m < -0.05 then -0.02 else 0.0 end as position from
+_MOM = f"""(select *, case when m > 0.05 then 0.5 when m < -0.05 then -0.5 else 0.0 end as position from
  (select *, close/lag(close, 5) over (partition by instrument order by session) - 1 as m from {MARKET}))"""
 
 
@@ -52,7 +52,7 @@ def _equity(spark, d):
     "bt_equity",
     "O-BT-01",
     f"""select instrument, cast(session as varchar) as session, position, turnover, equity from {_equity_sql(_MOM)}""",
-    {"position": 4, "turnover": 4, "equity": 2},
+    {"position": 4, "turnover": 4, "equity": 3},
 )
 def bt_equity(spark, d):
     return _equity(spark, d).select(
@@ -66,7 +66,7 @@ def bt_equity(spark, d):
     f"""select instrument, cast(bar as int) as entry_idx, cast(exit_idx as int) as exit_idx, cast(session as varchar) as entry_time,
  cast(exit_time as varchar) as exit_time, close as entry_price, exit_price, pnl, pnl/equity as return, costs as costs_incurred
  from {_trades_sql(_equity_sql(_MOM))}""",
-    {"entry_price": 6, "exit_price": 6, "pnl": 2, "return": 7, "costs_incurred": 7},
+    {"entry_price": 9, "exit_price": 9, "pnl": 3, "return": 7, "costs_incurred": 7},
 )
 def bt_trades(spark, d):
     t = backtest.trades(_equity(spark, d), KEYS, "session")

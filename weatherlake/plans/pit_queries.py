@@ -62,7 +62,7 @@ def pit_fill_session(spark, d):
  cast(date_diff('day', s.session, c.date) as int) as stale_days,
  case when s.session is null then 'missing' when date_diff('day', s.session, c.date) > 2 then 'stale' else 'ok' end as close_status
  from {CYCLE_FEATURES} c asof left join {CAL} s on c.instrument = s.instrument and c.date >= s.session""",
-    {"realised": 6},
+    {"realised": 9},
 )
 def pit_realised_close(spark, d):
     x = P.realised_close(cycle_frame(spark, d), calendar(spark, d), K, 2)

@@ -130,7 +130,7 @@ OUTLOOK = f"""(select event_id, storm, cast((event_id*37)%101 as double)/100.0 a
   *(0.7+0.3*least(greatest(1-hours_to_landfall/168.0,0),1)) as e from x)
  select event_id, e as effective_prob, case when e > 0.05 then 'LONG' else 'FLAT' end as action, case when e > 0.05 then e else 0 end as confidence,
  case when e > 0.05 then {kelly('e', 2.5, 0.2)} else 0 end as size from y""",
-    {"effective_prob": 10, "confidence": 10, "size": 10},
+    {"effective_prob": 12, "confidence": 12, "size": 12},
 )
 def sg_hurricane(spark, d):
     out = signals.hurricane_signal(storm_outlook(spark, d), entry=0.05)

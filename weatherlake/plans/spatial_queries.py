@@ -356,11 +356,11 @@ def sp_stations_near(spark, d):
 
 
 def field(spark, d, lat0, dlat, lon0, dlon):
-    """Daily field on the given box; longitudes are normalised to -180..180."""
+    """Four model runs with a field every six days; longitudes are normalised to -180..180."""
     lon = F.pmod(F.col("j") * dlon + lon0 + 180.0, F.lit(360.0)) - 180.0
     return grid(spark, d).select(
-        F.lit("run").alias("run"),
-        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("time") % 1500).cast("int")).alias("day"),
+        F.concat(F.lit("r"), F.col("time") % 4).alias("run"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.floor(F.col("time") / 4) * 6).cast("int")).alias("day"),
         F.col("time").alias("frame"),
         (F.col("i") * dlat + lat0).alias("lat"),
         lon.alias("lon"),
@@ -369,7 +369,7 @@ def field(spark, d, lat0, dlat, lon0, dlon):
 
 
 def _field_sql(lat0, dlat, lon0, dlon):
-    return f"""(select time as frame, cast(date '2000-01-01' + cast(time % 1500 as int) as date) as time, lat0 as lat,
+    return f"""(select time as frame, 'r' || (time % 4) as run, cast(date '2000-01-01' + cast(time // 4 * 6 as int) as date) as time, lat0 as lat,
   case when lon0 >= 180 then lon0-360 else lon0 end as lon, v*10+i as v from (select time, i, v,
   cast(i*{dlat}+({lat0}) as double) as lat0, cast(j*{dlon}+({lon0}) as double) as lon0 from {GRID}))"""
 
@@ -384,13 +384,13 @@ _N = _field_sql(-7.0, 2.0, -175.0, 8.0)
 @query(
     "sp_nino34",
     "O-SP-20",
-    f"""with t as (select time, sum(v*cos(radians(lat)))/sum(cos(radians(lat))) as m from {_N}
-  where lat between -5 and 5 and lon between -170 and -120 group by 1)
- select cast(time as varchar) as time, m - avg(m) over (partition by month(time)) as nino34 from t""",
+    f"""with t as (select run, time, sum(v*cos(radians(lat)))/sum(cos(radians(lat))) as m from {_N}
+  where lat between -5 and 5 and lon between -170 and -120 group by 1, 2)
+ select run, cast(time as varchar) as time, m - avg(m) over (partition by run, month(time)) as nino34 from t""",
     {"nino34": 6},
 )
 def sp_nino34(spark, d):
-    return _day(grids.nino34(field(spark, d, -7.0, 2.0, -175.0, 8.0)))
+    return _day(grids.nino34(field(spark, d, -7.0, 2.0, -175.0, 8.0), ["run"]))
 
 
 _A = _field_sql(34.0, 5.0, -26.0, 1.0)
@@ -399,15 +399,15 @@ _A = _field_sql(34.0, 5.0, -26.0, 1.0)
 @query(
     "sp_nao",
     "O-SP-21",
-    f"""with t as (select time, sum(v*cos(radians(lat))) filter (where lat between 36 and 40)/sum(cos(radians(lat))) filter (where lat between 36 and 40)
+    f"""with t as (select run, time, sum(v*cos(radians(lat))) filter (where lat between 36 and 40)/sum(cos(radians(lat))) filter (where lat between 36 and 40)
   - sum(v*cos(radians(lat))) filter (where lat between 63 and 67)/sum(cos(radians(lat))) filter (where lat between 63 and 67) as x
-  from {_A} where lon between -22 and -18 group by 1)
- select cast(time as varchar) as time, (x - avg(x) over m)/(case when stddev_pop(x) over m > 0 then stddev_pop(x) over m else 1 end) as nao
- from t window m as (partition by month(time))""",
+  from {_A} where lon between -22 and -18 group by 1, 2)
+ select run, cast(time as varchar) as time, (x - avg(x) over m)/(case when stddev_pop(x) over m > 0 then stddev_pop(x) over m else 1 end) as nao
+ from t window m as (partition by run, month(time))""",
     {"nao": 6},
 )
 def sp_nao(spark, d):
-    return _day(grids.nao(field(spark, d, 34.0, 5.0, -26.0, 1.0)))
+    return _day(grids.nao(field(spark, d, 34.0, 5.0, -26.0, 1.0), ["run"]))
 
 
 _P = _field_sql(15.0, 6.0, -175.0, 9.0)
@@ -416,10 +416,10 @@ _P = _field_sql(15.0, 6.0, -175.0, 9.0)
 @query(
     "sp_pdo",
     "O-SP-22",
-    f"""with t as (select time, sum(v*cos(radians(lat)))/sum(cos(radians(lat))) as m from {_P}
-  where lat between 20 and 60 and lon between -170 and -115 group by 1),
- a as (select time, m - avg(m) over (partition by month(time)) as a from t)
- select 'run' as run, cast(time as varchar) as time, a/(select stddev_pop(a) from a) as pdo from a""",
+    f"""with t as (select run, time, sum(v*cos(radians(lat)))/sum(cos(radians(lat))) as m from {_P}
+  where lat between 20 and 60 and lon between -170 and -115 group by 1, 2),
+ a as (select run, time, m - avg(m) over (partition by run, month(time)) as a from t)
+ select run, cast(time as varchar) as time, a/stddev_pop(a) over (partition by run) as pdo from a""",
     {"pdo": 6},
 )
 def sp_pdo(spark, d):
@@ -432,10 +432,10 @@ _M = _field_sql(-14.0, 4.0, 40.0, 25.0)
 @query(
     "sp_mjo",
     "O-SP-23",
-    f"""with x as (select time, (v - avg(v) over (partition by lat, lon, dayofyear(time)))*cos(radians(lat)) as a from {_M}
+    f"""with x as (select run, time, (v - avg(v) over (partition by run, lat, lon, dayofyear(time)))*cos(radians(lat)) as a from {_M}
   where lat between -10 and 10 and (lon >= 60 or lon <= -150)),
- t as (select time, avg(a) as r from x group by 1), s as (select time, r/(select stddev_pop(r) from t) as r from t)
- select 'run' as run, cast(time as varchar) as time, r as rmm1, r as rmm2, sqrt(2*r*r) as amplitude,
+ t as (select run, time, avg(a) as r from x group by 1, 2), s as (select run, time, r/stddev_pop(r) over (partition by run) as r from t)
+ select run, cast(time as varchar) as time, r as rmm1, r as rmm2, sqrt(2*r*r) as amplitude,
  cast(case when r >= 0 then 2 else 6 end as int) as mjo_phase from s where abs(r) > 1e-9""",
     {"rmm1": 6, "rmm2": 6, "amplitude": 6},
 )
