@@ -176,14 +176,14 @@ def cloud_fraction(grid: DataFrame, keys: Sequence[str], t: str, threshold: floa
 # time axis is bounded by the calendar, not by the data volume.
 
 
-def _box_mean(grid: DataFrame, box: Column, keys: Sequence[str]) -> Column:
+def _box_mean(box: Column) -> Column:
     w = F.when(box & F.col("v").isNotNull(), F.cos(F.radians("lat")))
     return F.sum(F.col("v") * w) / F.sum(w)
 
 
 def nino34(grid: DataFrame, keys: Sequence[str] = (), anomalous: bool = True) -> DataFrame:
     box = F.col("lat").between(-5, 5) & F.col("lon").between(-170, -120)
-    t = grid.filter(box).groupBy(*keys, "time").agg(_box_mean(grid, box, keys).alias("nino34"))
+    t = grid.filter(box).groupBy(*keys, "time").agg(_box_mean(box).alias("nino34"))
     if anomalous:
         t = t.withColumn("nino34", F.col("nino34") - F.avg("nino34").over(Window.partitionBy(*keys, F.month("time"))))
     return t
@@ -193,7 +193,7 @@ def nao(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     lon = F.col("lon").between(-22, -18)
     az, ice = lon & F.col("lat").between(36, 40), lon & F.col("lat").between(63, 67)
     t = grid.filter(az | ice).groupBy(*keys, "time").agg(
-        (_box_mean(grid, az, keys) - _box_mean(grid, ice, keys)).alias("_d")
+        (_box_mean(az) - _box_mean(ice)).alias("_d")
     )
     m = Window.partitionBy(*keys, F.month("time"))
     sd = F.stddev_pop("_d").over(m)
@@ -204,7 +204,7 @@ def nao(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def pdo(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     box = F.col("lat").between(20, 60) & F.col("lon").between(-170, -115)
-    t = grid.filter(box).groupBy(*keys, "time").agg(_box_mean(grid, box, keys).alias("_m"))
+    t = grid.filter(box).groupBy(*keys, "time").agg(_box_mean(box).alias("_m"))
     t = t.withColumn("_a", F.col("_m") - F.avg("_m").over(Window.partitionBy(*keys, F.month("time"))))
     sd = F.stddev_pop("_a").over(Window.partitionBy(*keys))
     return t.select(*keys, "time", (F.col("_a") / F.when(sd > 0, sd).otherwise(1.0)).alias("pdo"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import POS, TILE, Block, over_tiles, trailing
+from weatherlake.operators.windows import POS, Block, over_tiles, trailing
 
 LAGS = (1, 3, 6, 12, 24, 48, 72, 168)
 WINDOWS = (6, 12, 24, 48, 168)
@@ -188,7 +188,7 @@ def ema(
         tile = max(math.floor(660 / max(decay.values())) - halo, halo)
 
         def build(x: DataFrame, w: WindowSpec, group=group, decay=decay) -> DataFrame:
-            k = (F.col(POS) - F.first(POS).over(w.rowsBetween(w_all(), 0))).cast("double")
+            k = (F.col(POS) - F.first(POS).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("double")
             x = x.withColumn("_k", k)
             cols = {}
             for s in group:
@@ -196,7 +196,7 @@ def ema(
                 term = F.when(F.col("_k") == 0, F.col(v)).otherwise(
                     F.lit(alpha) * F.col(v) * F.exp(F.col("_k") * decay[s])
                 )
-                acc = F.sum(term).over(w.rowsBetween(w_all(), 0))
+                acc = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
                 cols[f"{v}_ema_{s}"] = acc * F.exp(-F.col("_k") * decay[s])
             return x.withColumns(cols).drop("_k")
 
@@ -204,12 +204,6 @@ def ema(
     return df
 
 
-def w_all() -> int:
-    from pyspark.sql import Window
-
-    return Window.unboundedPreceding
-
-
 def _compatible(spans: Sequence[int]) -> list[list[int]]:
     """Group spans whose tiles fit one overflow-free size; very different spans get their own pass."""
     groups: list[list[int]] = []
@@ -244,4 +238,3 @@ def sequences(
     return over_tiles(df, keys, block, order, build, before=length - 1)
 
 
-__all__ = ["ema", "features", "sequences", "TILE"]

@@ -16,16 +16,15 @@ def write_cycles(
 ) -> None:
     """Append the units that the store does not hold yet, one folder per unit.
 
-    Rows are clustered by unit before the write so that a unit's folder gets few files; a very large
-    unit is split over several tasks by a hash salt, and ``maxRecordsPerFile`` bounds each file.
+    The rebalance hint clusters rows by unit so that a folder gets few files; adaptive execution splits a
+    very large unit over several tasks and packs small ones, and ``maxRecordsPerFile`` bounds each file.
     """
     todo = cells
     if store_exists(spark, path):
         have = spark.read.schema(cells.schema).parquet(path).select(*partition).distinct()
         todo = cells.join(have, list(partition), "left_anti")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in cells.columns]), F.lit(4))
     (
-        todo.repartition(*partition, salt)
+        todo.hint("rebalance", *[F.col(c) for c in partition])
         .write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*partition)
