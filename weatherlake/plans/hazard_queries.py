@@ -379,7 +379,7 @@ def cycle_frame(spark, d):
     "O-HZ-20",
     f"""select instrument, cast(date as varchar) as date, cast(epoch(event_peak_time) as bigint) as peak, temperature_min, freeze_prob,
  grid_cells, horizon_cells from {CYCLE_FEATURES}""",
-    {"temperature_min": 7, "freeze_prob": 8},
+    {"temperature_min": 7, "freeze_prob": 8, "peak": 0},
 )
 def hz_cycle_features(spark, d):
     return cycle_frame(spark, d).select(

@@ -62,7 +62,7 @@ def pit_fill_session(spark, d):
  cast(date_diff('day', s.session, c.date) as int) as stale_days,
  case when s.session is null then 'missing' when date_diff('day', s.session, c.date) > 2 then 'stale' else 'ok' end as close_status
  from {CYCLE_FEATURES} c asof left join {CAL} s on c.instrument = s.instrument and c.date >= s.session""",
-    {"realised": 9},
+    {"realised": 9, "stale_days": 0},
 )
 def pit_realised_close(spark, d):
     x = P.realised_close(cycle_frame(spark, d), calendar(spark, d), K, 2)
@@ -615,7 +615,7 @@ def dq_staleness(spark, d):
  select instrument, cast(date as varchar) as date, strftime(date, '%Y%m%d') || '_12z' as forecast_cycle_id, case when reason is null then 'ok' else 'rejected' end as status, reason, booked,
  case when booked then cast(count(*) filter (where booked) over (partition by instrument order by date rows unbounded preceding) as bigint) end as episode_id,
  case when booked then next2_close/close-1 end as gross, case when booked then next2_close/close-1-0.003-benchmark end as net_of_benchmark from w""",
-    {"gross": 8, "net_of_benchmark": 8},
+    {"gross": 8, "net_of_benchmark": 8, "episode_id": 0},
 )
 def dq_replay(spark, d):
     f = cycle_frame(spark, d)

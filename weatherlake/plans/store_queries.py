@@ -202,6 +202,7 @@ def sealed(spark, d):
     f"""with x as (select coalesce(tenant_id, 'internal') as tenant_id, id, row_number() over (partition by coalesce(tenant_id, 'internal') order by ts, id) - 1 as p from {AUDIT}),
  bad as (select tenant_id, min(p) as p from x where id % 997 = 5 or (tenant_id = 't3' and p = 17) group by 1)
  select x.tenant_id, count(*) as n, bad.p is null as ok, cast(bad.p as bigint) as first_bad from x left join bad on x.tenant_id = bad.tenant_id group by 1, bad.p""",
+    {"first_bad": 0},
 )
 def au_verify_chain(spark, d):
     """Sealed chains with altered payloads, and one with a broken link."""
@@ -438,6 +439,7 @@ def mt_usage_batches(spark, d):
  s as (select max(ts) filter (where action = 'api.signup' and id % 7 = 0) as l from {AUDIT})
  select 'late' as at, cast(floor(epoch(l)) as bigint) as last_sync, epoch(timestamp '{ASOF}') - epoch(l) > 86400 as stale from s
  union all select 'none', null, n > 0 from a""",
+    {"last_sync": 0},
 )
 def mt_sync_stale(spark, d):
     a = audit_log(spark, d)
