@@ -90,7 +90,7 @@ _MK = "case region when 'A' then 'ERCOT' when 'N' then 'PJM' else 'OTHER' end"
     f"""with s as (select *, {_MK} as market, strftime(d, '%Y-%m') as mon from {CLIMATE_DAILY}),
  r as (select *, sum(case when t > 20 then 0 else 1 end) over (partition by region, mon order by d rows unbounded preceding) as g from s),
  l as (select region, mon, max(n) as longest_run from (select region, mon, g, count(*) filter (where t > 20) as n from r group by 1, 2, 3) group by 1, 2),
- a as (select region, mon, any_value(market) as market, sum(greatest(t-18.3,0)) as cdd, avg(wind/50-0.35) as w from s group by 1, 2),
+ a as (select region, mon, any_value(market) as market, sum(greatest(t-18.3,0)) as cdd, avg(wind/50-0.3513) as w from s group by 1, 2),
  b as (select a.region, a.mon, market, cdd, longest_run, case when w < 0.15 then 1.0+2.0*(case market when 'ERCOT' then 0.30 when 'PJM' then 0.08 else 0.10 end) else 1.0 end as wind_amplifier
   from a join l on a.region = l.region and a.mon = l.mon),
  c as (select *, least(least(cdd/500.0,1)*wind_amplifier, 0.95) as c, longest_run >= 3 as f from b)
@@ -101,7 +101,7 @@ _MK = "case region when 'A' then 'ERCOT' when 'N' then 'PJM' else 'OTHER' end"
 def sg_heat(spark, d):
     m = F.when(F.col("region") == "A", "ERCOT").when(F.col("region") == "N", "PJM").otherwise("OTHER")
     s = climate_daily(spark, d).select(
-        "region", F.date_format("d", "yyyy-MM").alias("mon"), "d", "t", (F.col("wind") / 50 - 0.35).alias("cf"), m.alias("market")
+        "region", F.date_format("d", "yyyy-MM").alias("mon"), "d", "t", (F.col("wind") / 50 - 0.3513).alias("cf"), m.alias("market")
     )
     return signals.heat_signal(s, ["region", "mon"], "market", "d", "t", "cf", hot=20.0)
 
