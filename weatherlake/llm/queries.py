@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherlake.llm import bpe, chat, exact_dedup, latent, packing, perplexity, sharding, toxicity
+from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_lm, packing, perplexity, sharding, toxicity
 from weatherlake.llm.common import stored, table
 from weatherlake.llm.labelled import held_out
 
@@ -123,3 +123,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).drop("text")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
