@@ -44,6 +44,12 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose row number is in ``kept``, with all their columns, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias(ROW))
+    return whole.join(kept, ROW, "left_semi").select("_doc.*")
+
+
 def id_hash(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import ROW, ascii_lower, body, stored, with_row
+from weatherlake.llm.common import ROW, ascii_lower, body, keep_rows, stored, with_row
 
 FAN = 8
 KEY = ["digest", "n_bytes", "text_sha256"]
@@ -92,4 +92,4 @@ def find_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents without the copies, with all their columns."""
     kept = merge_runs(digest_rows(docs), keep).select(F.col(f"keep.{ROW}").alias(ROW))
-    return with_row(docs).join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_rows(docs, kept)

@@ -129,3 +129,10 @@ def score(docs: DataFrame, model: Neighbours, out_col: str = "score", block: int
         return f
 
     return map_columns(docs, ["text"], [(out_col, "double")], make)
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents that score at least ``threshold``, with all their columns."""
+    model = fit(docs, labels)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    return score(whole, model).filter(F.col("score") >= threshold).select("_doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_lm, packing, perplexity, sharding, toxicity
+from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, sharding, toxicity
 from weatherlake.llm.common import stored, table
 from weatherlake.llm.labelled import held_out
 
@@ -105,8 +105,9 @@ from summed group by conv_id
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    measured = stored(perplexity.measure(docs, perplexity.train(docs)).drop("text"), "rule-counts")
-    return perplexity.judge(measured, perplexity.bands(measured))
+    models = perplexity.train(docs)
+    measured = stored(perplexity.measure(docs, models).drop("text"), "rule-counts")
+    return perplexity.judge(measured, perplexity.bands(measured, models), models)
 
 
 @query
@@ -128,3 +129,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
