@@ -361,7 +361,8 @@ def similar(docs: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> Dat
     )
     texts = with_row(docs).select(ROW, body().alias("text"))
     checked = stored(
-        spread.join(texts, ROW).select("task", "grp", "side", ROW, "copies", "text").groupBy("task").applyInArrow(verify, "a long, b long, linked long"),
+        # the members grow with the corpus, so they are never broadcast to the texts
+        texts.join(spread.hint("merge"), ROW).select("task", "grp", "side", ROW, "copies", "text").groupBy("task").applyInArrow(verify, "a long, b long, linked long"),
         "join-links",
     )
     linked = checked.groupBy(F.col("a").alias(ROW)).agg(F.sum("linked").alias("linked"))
