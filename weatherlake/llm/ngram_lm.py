@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from weatherlake.llm.common import LOWER, UPPER, body, id_hash
 from weatherlake.session import scratch_path
 
-BLOCK = 8 << 20
+BLOCK, RANGE = 4 << 20, 16 << 20
 BUCKETS = 24  # of each kind of context
 STEPS = 44  # log2 half-steps of an estimate, 0 for an estimate of zero
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -263,7 +263,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     rows = parts(docs)
     facts = rows.agg(F.sum(F.octet_length("text")), F.sum((F.col("use") != HELD).cast("long")), F.sum((F.col("use") == COUNTED).cast("long"))).first()
     size, starts, counted_starts = (int(x or 0) for x in facts)
-    buckets = ranges = max(8, -(-size // block_bytes))
+    buckets, ranges = max(8, -(-size // (2 * block_bytes))), max(8, -(-size // RANGE))
     bits = min(64, 24 + math.ceil(math.log2(size + 256)))
 
     def bucketed(df: DataFrame, label: str) -> DataFrame:
