@@ -105,7 +105,7 @@ class Neighbours:
         cosine = z @ self.known.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** POWER
+        weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-3) ** POWER
         out[full] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
 

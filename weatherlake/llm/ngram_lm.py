@@ -10,8 +10,8 @@ The final estimates use all training texts.
 All counts are exact and distributed; no n-gram table is collected or broadcast. Documents are cut into blocks of
 about ``BLOCK`` bytes as they are read. A block asks for each of its distinct n-grams once: sorted hashes, cut by
 hash range, with the block's own training counts. A range adds the blocks' counts up and answers every block with
-the totals. Trigrams are asked for only where both of their bigrams occur outside the block, since otherwise the
-block's own count is the total. An n-gram with a third of all tokens is one entry per block. Blocks and answers
+the totals. Trigrams are sent only where both of their bigrams occur in another block too (in any text) and in some
+training text, since otherwise the block's own count is the total and no other block needs it. An n-gram with a third of all tokens is one entry per block. Blocks and answers
 are stored in tables bucketed by block, so joining them moves nothing.
 
 Hashes keep 24 bits more than the logarithm of the corpus size, so the expected share of n-grams that collide is
@@ -177,12 +177,11 @@ class Block:
                 yield r, pack(deltas(keys[i:j]), counted[i:j], aside[i:j])
 
 
-def read_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Totals (counted, aside) in key order."""
-    got = [unpack(r["body"], np.uint32, np.uint32) for r in sorted(rows, key=lambda r: r["part"])]
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([g[i] for g in got]).astype(np.int64) for i in (0, 1))
+def read_answers(rows: list[dict]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Totals (counted, aside) in key order, and whether another block has the key."""
+    got = [unpack(r["body"], np.uint32, np.uint32, np.bool_) for r in sorted(rows, key=lambda r: r["part"])]
+    counted, aside, shared = (np.concatenate([np.zeros(0, k), *(g[i] for g in got)]) for i, k in enumerate((np.int64, np.int64, np.bool_)))
+    return (counted, aside), shared
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -192,7 +191,8 @@ def answer(table: pa.Table) -> pa.Table:
     keys, at = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
     counted, aside = (np.bincount(at, np.concatenate([g[i] for g in got]), len(keys)).astype(np.uint32) for i in (1, 2))
     ends = np.cumsum([0, *(len(g[0]) for g in got)])
-    bodies = [pack(counted[at[i:j]], aside[at[i:j]]) for i, j in zip(ends, ends[1:])]
+    shared = np.bincount(at, minlength=len(keys)) > 1
+    bodies = [pack(counted[at[i:j]], aside[at[i:j]], shared[at[i:j]]) for i, j in zip(ends, ends[1:])]
     both = counted.astype(np.int64) + aside
     bodies.append(np.array([int((both > 0).sum()), int(both.sum()), int(counted.sum())], np.int64).tobytes())
     kinds = {"block": pa.int64(), "order": pa.int32(), "part": pa.int32(), "body": pa.binary()}
@@ -205,19 +205,21 @@ class Estimates:
 
     def __init__(self, data: bytes, answers: list[list[dict]], bits: int):
         self.block = b = Block(data, bits)
-        self.totals = [read_answers(answers[0]), read_answers(answers[1])]
+        self.totals = [read_answers(answers[0])[0]]
+        pairs, self.shared = read_answers(answers[1])
+        self.totals.append(pairs)
         if len(answers) > 2:
             tri = [own.astype(np.int64) for own in b.own[2]]
             chosen = self.open_trigrams()
-            for mine, all_of_it in zip(tri, read_answers(answers[2])):
+            for mine, all_of_it in zip(tri, read_answers(answers[2])[0]):
                 mine[chosen] = all_of_it
             self.totals.append(tuple(tri))
 
     def open_trigrams(self) -> np.ndarray:
-        """Trigrams whose two bigrams both occur in training texts outside the block."""
+        """Trigrams whose bigrams both occur in another block and in training texts."""
         b = self.block
-        outside = sum(self.totals[1]) > b.own[1][0].astype(np.int64) + b.own[1][1]
-        at = outside[b.at[1]] & outside[b.pair_before] & ~b.first
+        common = self.shared & (sum(self.totals[1]) > 0)
+        at = common[b.at[1]] & common[b.pair_before] & ~b.first
         return np.flatnonzero(np.bincount(b.at[2][at], minlength=len(b.keys[2])) > 0)
 
     def ratios(self, take, starts: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
