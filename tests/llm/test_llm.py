@@ -465,7 +465,7 @@ def test_classifiers_on_odd_rows(spark, which, request):
         same = defaultdict(set)
         for r in got:
             same[r.text].add(r.score)
-        assert all(len(s) == 1 for s in same.values())
+        assert all(max(s) - min(s) < 1e-4 for s in same.values())
     left = latent.drop_rejected(df, labels)
     assert left.columns == df.columns
     if which == "odd":
