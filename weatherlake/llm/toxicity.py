@@ -118,6 +118,8 @@ class Passages:
         return math.log1p(sum(x[3] for x in self.find(text)))
 
     def score(self, text: str) -> float:
+        if not self.lexicon:
+            return 0.0
         z = self.weights[0] + self.weights[1] * self.evidence(text)
         return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
