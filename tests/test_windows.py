@@ -164,3 +164,27 @@ def test_percentile_rank_counts_ties_half(spark):
     q = spark.createDataFrame([("a", 2.0), ("a", 2.5), ("a", 0.0), ("b", 1.0)], "k string, x double")
     got = {(r.k, r.x): r.pct_rank for r in ranks.percentile_rank(q, h, ["k"], "x").collect()}
     assert got == {("a", 2.0): 62.5, ("a", 2.5): 75.0, ("a", 0.0): 0.0, ("b", 1.0): None}
+
+
+def test_bursts_and_null_keys(spark):
+    """A second with most of the rows, a NULL key and a NULL time: right values, and parts of bounded size."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from weatherlake.operators import windows
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(microseconds=i), i) for i in range(4000)] + [("a", t0 + dt.timedelta(hours=h), 4000 + h) for h in range(1, 9)]
+    rows += [(None, t0 + dt.timedelta(days=i), 5000 + i) for i in range(6)] + [("b", None, 6000), ("b", t0, 6001)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i long")
+    parts = windows.with_blocks(df, ["k"], windows.days("ts"), hot_rows=1000).groupBy("k", "_blk", "_sub").count().collect()
+    assert max(r["count"] for r in parts) <= 200 and sum(r["count"] for r in parts) == len(rows)
+    out = windows.running(df, ["k"], windows.days("ts"), ["ts", "i"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("i"))}, hot_rows=1000)
+    want = {}
+    for key in ("a", None, "b"):
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or t0, r[2])), 1):
+            total += r[2]
+            want[r[2]] = (n, total)
+    assert {r.i: (r.n, r.s) for r in out.collect()} == want

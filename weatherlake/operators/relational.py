@@ -22,13 +22,15 @@ def instruments_rollup(signals: DataFrame, asof: Column) -> DataFrame:
 def latest_signals(
     signals: DataFrame, instrument: str, limit: int = 20, since: str | None = None, cycle_id: str | None = None, tie: str = "event_id"
 ) -> DataFrame:
-    """Newest signals of an instrument; the limit (1..100) is part of the query."""
+    """Newest signals of an instrument; the limit (1..100) is part of the query, another one is refused."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
     x = signals.filter(F.col("instrument") == instrument)
     if since is not None:
         x = x.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
     if cycle_id is not None:
         x = x.filter(F.col("forecast_cycle_id") == cycle_id)
-    return x.orderBy(F.col("ts").desc(), F.col(tie).desc()).limit(max(1, min(limit, 100)))
+    return x.orderBy(F.col("ts").desc(), F.col(tie).desc()).limit(limit)
 
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:

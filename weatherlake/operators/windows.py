@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 POS = "_pos"
 TILE = "_tile"
 HOT_ROWS = 500_000
-SMALL_BYTES = 128 * 1024 * 1024
+PARTS = 64  # of a crowded block
 
 
 @dataclass(frozen=True)
@@ -101,34 +103,32 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local)
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate of the whole frame is under ``SMALL_BYTES``; unknown means no."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size)) <= SMALL_BYTES
-    except Exception:  # noqa: BLE001
-        return False
+def left_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Left join on columns in which NULL equals NULL; the columns appear once."""
+    names = {c: f"_r_{c}" for c in cols}
+    renamed = right.withColumnsRenamed(names)
+    on = reduce(and_, [left[c].eqNullSafe(renamed[r]) for c, r in names.items()])
+    return left.join(renamed, on, "left").drop(*names.values())
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], block: Block, hot_rows: int | None = None) -> DataFrame:
     """Add ``_blk`` and ``_sub``: the coarse bucket, and its part when the bucket is crowded (else 0).
 
-    One narrow aggregate counts rows per (key, bucket); only buckets over the limit are kept, so the
-    table joined back has at most rows / limit entries. A frame that as a whole fits one task cannot
-    have a crowded bucket and skips that pass.
+    One narrow aggregate counts rows per (key, bucket). Crowded buckets alone are read again for quantiles of
+    the fine order, so parts have near-equal numbers of rows also when rows come in bursts; rows with one and
+    the same order value stay together. Only crowded buckets are joined back: rows / limit entries at most.
     """
-    if hot_rows is None and fits_one_task(df):
-        return df.withColumns({"_blk": block.coarse, "_sub": F.lit(0).cast("long")})
     hot_rows = hot_rows or HOT_ROWS
+    by = [*keys, "_blk"]
     x = df.withColumns({"_blk": block.coarse, "_fine": block.fine.cast("double")})
-    n = x.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"), F.min("_fine").alias("_lo"), F.max("_fine").alias("_hi"))
-    parts = F.ceil(F.col("_n") / hot_rows)
-    hot = n.filter((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo"))).select(
-        *keys, "_blk", "_lo", (parts / (F.col("_hi") - F.col("_lo"))).alias("_rate")
-    )
-    j = x.join(hot, [*keys, "_blk"], "left")
-    sub = F.coalesce(F.floor((F.col("_fine") - F.col("_lo")) * F.col("_rate")), F.lit(0))
-    return j.withColumn("_sub", sub).drop("_fine", "_lo", "_rate")
+    n = x.groupBy(*by).agg(F.count("*").alias("_n"))
+    hot = n.filter(F.col("_n") > hot_rows)
+    steps = [i / PARTS for i in range(1, PARTS)]
+    inside = left_join(x.select(*by, "_fine"), hot, by).filter(F.col("_n").isNotNull())
+    cuts = inside.groupBy(*by).agg(F.percentile_approx("_fine", steps, 10 * PARTS).alias("_cuts"))
+    j = left_join(x, cuts, by)
+    sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_fine"))), F.lit(0))
+    return j.withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(sub).cast("long")).drop("_fine", "_cuts")
 
 
 def running(
@@ -145,8 +145,8 @@ def running(
 
     ``specs`` maps an output name to (kind, input); kinds are sum, count, product, max, min, last and
     first (NULLs skipped), plus ``total`` / ``size``: the sum / count over the whole series. With
-    ``reverse`` the scan runs from the end, so ``last`` means the next non-NULL value. ``keys`` must
-    not be NULL and ``order`` must be unique per key. A second scan of the same frame can pass
+    ``reverse`` the scan runs from the end, so ``last`` means the next non-NULL value. NULL keys
+    form a series of their own and rows with a NULL order come first; ``order`` must be unique per key. A second scan of the same frame can pass
     ``block=None`` when the first one kept its blocks.
     """
     names = list(specs)
@@ -179,7 +179,7 @@ def running(
     inside = (
         Window.partitionBy(*keys, *blk).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = src.join(carry, [*keys, *blk], "left")
+    joined = left_join(src, carry, [*keys, *blk])
     for n in names:
         kind = specs[n][0]
         c = F.col(f"_c_{n}")

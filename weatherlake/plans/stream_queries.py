@@ -29,7 +29,8 @@ def rocksdb(spark):
 def event_stream(spark, d):
     # the files store timestamps without zone; they are read as such and become UTC instants
     schema = EVENT_SCHEMA.replace("ts timestamp", "ts timestamp_ntz")
-    return jobs.file_stream(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, because a stream takes one file only by pattern; it matches a folder of part files as well
+    return jobs.file_stream(spark, f"{d}/[e]vents.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _paths(spark, name):

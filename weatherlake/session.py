@@ -40,12 +40,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the cluster's shared checkpoint folder.
+    """A fresh folder name below the shared folder in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where ``spark.checkpoint.dir`` is unset (tests).
+    Only a local session, where driver and executors are one process, may go without: it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weatherlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
