@@ -406,7 +406,7 @@ def test_lm_estimates_by_brute_force():
         for block, d in enumerate(data):
             b = ngram_lm.Block(d, bits)
             for o in orders:
-                asked += [(block, o, r, x) for r, x in b.asked(o, chosen[block] if chosen else None, 4, bits)]
+                asked += [(block, o, r, x) for r, x in b.asked(o, chosen[block] if chosen else None, 4)]
         out = defaultdict(list)
         for o in orders:
             for part in range(4):

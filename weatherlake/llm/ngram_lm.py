@@ -14,8 +14,8 @@ the totals. Trigrams are sent only where both of their bigrams occur in another
 training text, since otherwise the block's own count is the total and no other block needs it. An n-gram with a third of all tokens is one entry per block. Blocks and answers
 are stored in tables bucketed by block, so joining them moves nothing.
 
-Hashes keep 24 bits more than the logarithm of the corpus size, so the expected share of n-grams that collide is
-below 1 in 10 million at any size.
+Hashes of words keep 24 bits more than the logarithm of the corpus size, those of longer n-grams 20, so the
+expected share of n-grams that collide is about 1 in 10 million at any size.
 
 Defined results: null text is empty and has the one token "end"; a null id hashes as the empty text; repeated
 rows count as often as they occur; without training texts every estimate is the one of order 0; an empty table
@@ -67,7 +67,7 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def squeeze(x: np.ndarray) -> bytes:
     """Bytes of equal significance together, then compressed; counts and differences of sorted keys get small."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def expand(data: bytes, kind: type) -> np.ndarray:
@@ -141,7 +141,7 @@ class Block:
         self.use, lengths, tokens, hashes = unpack(data, np.uint8, np.uint32, np.uint32, np.uint64)
         self.lengths = lengths.astype(np.int64)
         self.ends = np.cumsum(self.lengths)
-        n, shift = len(tokens), np.uint64(64 - bits)
+        n, self.bits = len(tokens), [bits, bits - 4, bits - 4]
         first = np.zeros(n, bool)
         first[self.ends - self.lengths] = True
         before = np.concatenate([[0], tokens[:-1]])
@@ -155,8 +155,8 @@ class Block:
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
         self.own: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in keys:
-            unique, at = np.unique(k >> shift, return_inverse=True)
+        for k, kept in zip(keys, self.bits):
+            unique, at = np.unique(k >> np.uint64(64 - kept), return_inverse=True)
             self.keys.append(unique)
             self.at.append(at)
             self.own.append(tuple(np.bincount(at[self.of == u], minlength=len(unique)).astype(np.uint32) for u in (COUNTED, ASIDE)))
@@ -164,12 +164,12 @@ class Block:
         self.context = np.concatenate([[0], self.at[0][:-1]])
         self.pair_before = np.concatenate([[0], self.at[1][:-1]])
 
-    def asked(self, order: int, chosen: np.ndarray | None, ranges: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    def asked(self, order: int, chosen: np.ndarray | None, ranges: int) -> Iterator[tuple[int, bytes]]:
         """(range, request) for the chosen keys of an order."""
         keys, (counted, aside) = self.keys[order], self.own[order]
         if chosen is not None:
             keys, counted, aside = keys[chosen], counted[chosen], aside[chosen]
-        home = ((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
+        home = ((keys >> np.uint64(self.bits[order] - 32)) * np.uint64(ranges)) >> np.uint64(32)
         cut = np.searchsorted(home, np.arange(ranges + 1, dtype=np.uint64))
         for r in range(ranges):
             i, j = int(cut[r]), int(cut[r + 1])
@@ -293,14 +293,14 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 grams = Block(data, bits)
-                found = [(block, o, r, x) for o in (0, 1) for r, x in grams.asked(o, None, ranges, bits)]
+                found = [(block, o, r, x) for o in (0, 1) for r, x in grams.asked(o, None, ranges)]
                 yield batch(list(zip(*found)))
 
     def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data, a0, a1 in zip(*(c.to_pylist() for c in b.columns)):
                 e = Estimates(data, [a0, a1], bits)
-                found = [(block, 2, r, x) for r, x in e.block.asked(2, e.open_trigrams(), ranges, bits)]
+                found = [(block, 2, r, x) for r, x in e.block.asked(2, e.open_trigrams(), ranges)]
                 if found:
                     yield batch(list(zip(*found)))
 
