@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import map_columns
+from weatherlake.llm.common import map_columns, stored
 from weatherlake.llm.labelled import sample
 from weatherlake.llm.perplexity import base_counts
 
@@ -61,9 +61,10 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Neighbours:
     """The fitted model: term columns, weights, projection, labelled unit vectors."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        self.prior = float(np.mean([y for _, y in rows])) if rows else 1.0
-        found = [(terms(t), y) for t, y in rows if t]
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]]):
+        """``rows``: term numbers, their weights and the label of each labelled text."""
+        self.prior = float(np.mean([y for _, _, y in rows])) if rows else 1.0
+        found = [((k, w), y) for k, w, y in rows if len(k)]
         self.labels = np.array([y for _, y in found], np.float32)
         df = np.zeros(SHAPES**3 + EXTRA, np.int64)
         for (k, _), _ in found:
@@ -110,10 +111,19 @@ class Neighbours:
         return np.clip(out, 0.0, 1.0)
 
 
+def term_lists(texts: list) -> list[list[bytes]]:
+    found = [terms(t or "") for t in texts]
+    return [[k.astype(np.int64).tobytes() for k, _ in found], [w.astype(np.float64).tobytes() for _, w in found]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> Neighbours:
-    """Learn from a bounded sample; at most ``rows`` labelled texts go to the driver as term lists would."""
+    """Learn from a bounded sample of at most ``rows`` labelled texts. Texts stay on the executors; the driver gets
+    each one's term numbers and weights, at most one per term (``SHAPES`` ** 3 + ``EXTRA``) however long the text."""
     picked = sample(docs, labels, label, rows)
-    return Neighbours([(r["text"], r["y"]) for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()])
+    lists = map_columns(picked, ["text"], [("keys", "binary"), ("weights", "binary")], lambda: term_lists)
+    lists = stored(lists.select("doc_id", "keys", "weights", "y"), "quality-terms")
+    found = lists.orderBy(F.xxhash64("doc_id"), "doc_id", "keys", "weights").toLocalIterator()
+    return Neighbours([(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["weights"], np.float64), r["y"]) for r in found])
 
 
 def score(docs: DataFrame, model: Neighbours, out_col: str = "score", block: int = 256) -> DataFrame:

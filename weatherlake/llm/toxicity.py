@@ -75,19 +75,20 @@ def count_tokens(picked: DataFrame) -> list[tuple[str, int, int]]:
     return rows.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame) -> tuple[dict[str, float], float, float]:
-    """Lexicon of certain log-odds, and the token totals of both classes."""
+def log_odds(counts: DataFrame) -> tuple[dict[str, float], dict[str, int], float]:
+    """Lexicon of certain log-odds, its tokens' counts in clean texts, and the token total of the clean texts."""
     totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n_toxic, n_clean = float(totals[0] or 0), float(totals[1] or 0)
     if not n_toxic or not n_clean:
-        return {}, n_toxic, n_clean
+        return {}, {}, n_clean
     share = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
     a, b = F.col("toxic") + PRIOR * n_toxic * share, F.col("clean") + PRIOR * n_clean * share
     odds = F.log(a / (n_toxic * (1 + PRIOR) - a)) - F.log(b / (n_clean * (1 + PRIOR) - b))
-    sure = counts.filter(F.col("toxic") + F.col("clean") > 1).select("token", odds.alias("odds"), (SURE * F.sqrt(1 / a + 1 / b)).alias("margin"))
+    sure = counts.filter(F.col("toxic") + F.col("clean") > 1).select("token", "clean", odds.alias("odds"), (SURE * F.sqrt(1 / a + 1 / b)).alias("margin"))
     sure = sure.filter(F.abs("odds") > F.col("margin"))
     top = sure.orderBy(F.desc(F.abs("odds") - F.col("margin")), "token").limit(LEXICON).collect()
-    return {r["token"]: r["odds"] - math.copysign(r["margin"], r["odds"]) for r in top}, n_toxic, n_clean
+    lexicon = {r["token"]: r["odds"] - math.copysign(r["margin"], r["odds"]) for r in top}
+    return lexicon, {r["token"]: r["clean"] for r in top}, n_clean
 
 
 class Passages:
@@ -114,13 +115,14 @@ class Passages:
         found = [(a, b, s, self.rate * s - size) for a, b, s in segments(values)]
         return [x for x in found if x[3] > 0]
 
-    def evidence(self, text: str) -> float:
-        return math.log1p(sum(x[3] for x in self.find(text)))
+    @staticmethod
+    def evidence(found: list[tuple[int, int, float, float]]) -> float:
+        return math.log1p(sum(x[3] for x in found))
 
-    def score(self, text: str) -> float:
+    def score(self, found: list[tuple[int, int, float, float]]) -> float:
         if not self.lexicon:
             return 0.0
-        z = self.weights[0] + self.weights[1] * self.evidence(text)
+        z = self.weights[0] + self.weights[1] * self.evidence(found)
         return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
@@ -150,13 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     """Learn from a bounded labelled sample: token counts, clean-text law and the final curve."""
     picked = stored(sample(docs, labels, label, rows), "toxic-sample")
     counts = stored(count_tokens(picked), "toxic-counts")
-    lexicon, _, n_clean = log_odds(counts)
+    lexicon, clean_count, n_clean = log_odds(counts)
     model = Passages(lexicon)
     if not lexicon:
         return model
-    hits = counts.filter(F.col("token").isin([t for t, v in lexicon.items() if v > DRIFT][:5000])).select("token", "clean").collect()
-    value = np.array([lexicon[r["token"]] - DRIFT for r in hits] + [-DRIFT])
-    seen = np.array([r["clean"] for r in hits], float)
+    value = np.array([v - DRIFT for v in lexicon.values()] + [-DRIFT])
+    seen = np.array([clean_count[t] for t in lexicon], float)
     weight = np.concatenate([seen + 0.5, [max(n_clean - seen.sum(), 1.0)]])
     model.rate = solve_rate(value, weight / weight.sum())
     law = picked.sparkSession.sparkContext.broadcast(model)
@@ -186,7 +187,7 @@ def evidence(docs: DataFrame, model: Passages) -> DataFrame:
 
     def make() -> Callable:
         model = shared.value
-        return lambda texts: [[model.evidence(t or "") for t in texts]]
+        return lambda texts: [[model.evidence(model.find(t or "")) for t in texts]]
 
     return map_columns(docs, ["text"], [("evidence", "double")], make)
 
@@ -197,6 +198,11 @@ def score(docs: DataFrame, model: Passages) -> DataFrame:
 
     def make() -> Callable:
         model = shared.value
-        return lambda texts: [[model.score(t or "") for t in texts], [len(model.find(t or "")) for t in texts]]
+
+        def f(texts: list) -> list[list]:
+            found = [model.find(t or "") for t in texts]
+            return [[model.score(x) for x in found], [len(x) for x in found]]
+
+        return f
 
     return map_columns(docs, ["text"], [("score", "double"), ("passages", "long")], make)
