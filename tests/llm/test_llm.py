@@ -489,7 +489,7 @@ def test_held_out_accuracy(spark, name, label, least):
 
 def test_neighbours_are_exact():
     texts = [("Plain words in a row here.", 1), ("Other plain words go there.", 1), ("SHOUT!! SHOUT!! LOUD!!", 0), ("$$$ *** ### %%%", 0)] * 3
-    m = latent.Neighbours(texts)
+    m = latent.Neighbours([(*latent.terms(t), y) for t, y in texts])
     asked = ["Some plain words in a line.", "LOUD!! NOISE!!", ""]
     got = m.scores(asked)
     for t, s in zip(asked[:2], got):
