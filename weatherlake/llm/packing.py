@@ -33,14 +33,17 @@ from weatherlake.llm.bpe import CACHE, SHORT, loaded, read_file
 from weatherlake.llm.common import ROW, body, stored, sums_before, with_row
 
 END_ID = 1
+#: The letter that stands for the space byte in byte-level vocabularies.
+SPACE = "\u0120"
 PIECES = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class UnitTokenizer:
     """Ids by the tokenizers library, with a cache of the stretches between single spaces.
 
-    A space before a character that is no white space starts a token in byte-level vocabularies, so such
-    stretches can be encoded one by one; any other text is encoded as a whole.
+    A space before a character that is no white space starts a token in byte-level vocabularies, and no other
+    token starts with that space. So the unknown stretches of a text are encoded in one call and cut apart at
+    the tokens that start with a space; a text with other spacing is encoded as a whole.
     """
 
     def __init__(self, source: str):
@@ -49,28 +52,35 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         self.units: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
-            return self.whole([text])[0]
+            return self.whole(text).tobytes()
         first, *rest = text.split(" ")
         found = list(map(self.units.get, rest))
-        if None in found:
-            new = [i for i, x in enumerate(found) if x is None]
-            if any(not rest[i] or rest[i][0].isspace() for i in new):
-                return self.whole([text])[0]
-            if len(self.units) + len(new) > CACHE:
-                self.units.clear()
-            for i, ids in zip(new, self.whole([" " + rest[i] for i in new])):
-                found[i] = ids
-                if len(rest[i]) <= SHORT:
-                    self.units[rest[i]] = ids
-        return (self.whole([first])[0] if first else b"") + b"".join(found)
+        new = [i for i, x in enumerate(found) if x is None] if None in found else []
+        if any(not rest[i] or rest[i][0].isspace() for i in new):
+            return self.whole(text).tobytes()
+        if not first and not new:
+            return b"".join(found)
+        ids = self.whole(" ".join([first, *[rest[i] for i in new]]))
+        raw, width = ids.tobytes(), ids.itemsize
+        cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(raw)]
+        if len(self.units) + len(new) > CACHE:
+            self.units.clear()
+        for i, a, b in zip(new, cuts, cuts[1:]):
+            found[i] = raw[a:b]
+            if len(rest[i]) <= SHORT:
+                self.units[rest[i]] = found[i]
+        return raw[: cuts[0]] + b"".join(found)
 
 
 def token_rows(docs: DataFrame, path: str, text_col: str, source_col: str) -> DataFrame:
