@@ -539,3 +539,29 @@ def test_pipeline(spark):
     assert sum(labels.get(r.doc_id) == 0 for r in left) <= 0.1 * sum(v == 0 for v in labels.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert {p.doc_id for p in packed} == {r.doc_id for r in left}
+
+
+def test_row_numbers_outlive_a_new_split(spark, monkeypatch):
+    """A later plan that cuts the files otherwise (executors lost or added) still meets the stored numbers."""
+    given = [(i, f"text {i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(12)) + (" end" if i % 2 else "")) for i in range(400)]
+    df = stored(spark.createDataFrame([*given, *given], "doc_id long, text string").repartition(24), "split")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    frequencies = ngram_join.frequencies
+
+    def split(read):
+        spark.conf.set(name, "4m")
+        return frequencies(read)
+
+    try:
+        parts = df.rdd.getNumPartitions()
+        left = exact_dedup.drop_copies(df)
+        spark.conf.set(name, "4m")
+        assert spark.read.parquet(*df.inputFiles()).rdd.getNumPartitions() > parts
+        assert sorted(left.collect()) == sorted(given)
+        spark.conf.set(name, before)
+        monkeypatch.setattr(ngram_join, "frequencies", split)
+        assert sorted(ngram_join.drop_similar(df).collect()) == given[::2]
+        spark.conf.set(name, before)
+        assert {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.similar(df).collect()} == {(i, i - i % 2, 3) for i in range(400)}
+    finally:
+        spark.conf.set(name, before)

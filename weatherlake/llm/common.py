@@ -39,15 +39,24 @@ def ascii_lower(c: Column) -> Column:
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """Add ``_row``, a number of the row. It repeats on every read of files, also after a lost executor, so
-    that repeated rows (equal ids, equal texts) can be told apart. The input must come from files."""
+    """Add ``_row``, a number of the row, so that repeated rows (equal ids, equal texts) can be told apart.
+    It holds for one scan only, as the next plan may split the files anew: store it with what belongs to it."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose row number is in ``kept``, with all their columns, whatever their names."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias(ROW))
-    return whole.join(kept, ROW, "left_semi").select("_doc.*")
+def whole(docs: DataFrame) -> Column:
+    """All columns as the struct ``_doc``, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stored rows (_row, _doc): the one place from which numbers, texts and kept documents are taken."""
+    return stored(docs.select(F.monotonically_increasing_id().alias(ROW), whole(docs)), "numbered")
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of the stored ``rows`` whose row number is in ``kept``, with all their columns."""
+    return rows.select(ROW, "_doc").join(kept, ROW, "left_semi").select("_doc.*")
 
 
 def id_hash(doc_id: str = "doc_id") -> Column:

@@ -22,17 +22,22 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import ROW, ascii_lower, body, keep_rows, stored, with_row
+from weatherlake.llm.common import ROW, ascii_lower, body, keep_rows, stored, whole, with_row
 
 FAN = 8
 KEY = ["digest", "n_bytes", "text_sha256"]
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One small stored row per document: row number, input partition, id and digests of the folded text."""
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One small stored row per document: row number, input partition, id and digests of the folded text.
+
+    ``carry`` stores the document with them, as ``_doc``.
+    """
     folded = ascii_lower(body(text_col))
-    rows = with_row(docs).select(
+    doc = [whole(docs)] if carry else []
+    rows = with_row(docs.select("*", *doc)).select(
         ROW,
+        *["_doc" for _ in doc],
         F.spark_partition_id().alias("part"),
         F.col(id_col).alias("doc_id"),
         folded.alias("_folded"),
@@ -40,6 +45,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(
         rows.select(
             ROW,
+            *["_doc" for _ in doc],
             "part",
             "doc_id",
             F.xxhash64("_folded").alias("digest"),
@@ -91,5 +97,6 @@ def find_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents without the copies, with all their columns."""
-    kept = merge_runs(digest_rows(docs), keep).select(F.col(f"keep.{ROW}").alias(ROW))
-    return keep_rows(docs, kept)
+    rows = digest_rows(docs, carry=True)
+    kept = merge_runs(rows, keep).select(F.col(f"keep.{ROW}").alias(ROW))
+    return keep_rows(rows, kept)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import ROW, body, keep_rows, stored, with_row
+from weatherlake.llm.common import ROW, body, keep_rows, numbered, stored
 from weatherlake.llm.components import components
 from weatherlake.llm.ngram_lm import deltas, joined, pack, squeeze, expand, unpack, word_hash, words_of
 
@@ -92,8 +92,8 @@ def batches_of(texts: list[str], size: int = 512) -> Iterator[tuple[int, list[np
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """Stored rows: (row, doc_id, n, digest, class) per document, (chunk, counts) of the frequency sketch per partition."""
-    rows = with_row(docs).select(ROW, F.col("doc_id").cast("long"), body().alias("text"))
+    """Stored rows: (row, doc_id, n, digest, class) per numbered document, (chunk, counts) of the frequency sketch per partition."""
+    rows = docs.select(ROW, F.col("doc_id").cast("long"), body().alias("text"))
     cells = 1 << SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,13 @@ def spanning(left: np.ndarray, right: np.ndarray, found: np.ndarray) -> np.ndarr
 
 
 def similar(docs: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> DataFrame:
-    """(_row, doc_id, n_shingles, component_id, n_links, kept) of every document."""
+    """(_row, doc_id, n_shingles, component_id, n_links, component) of every document."""
+    return similar_rows(numbered(docs.select("doc_id", "text")), hot_size, block_sets)
+
+
+def similar_rows(rows: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> DataFrame:
+    """``similar`` of stored numbered rows; every pass over the texts reads the same numbers."""
+    docs = rows.select(ROW, "_doc.doc_id", "_doc.text")
     size = docs.agg(F.sum(F.octet_length(body()))).first()[0] or 0
     ranges = max(32, -(-size // RANGE_BYTES))
     read = read_sets(docs)
@@ -359,7 +365,7 @@ def similar(docs: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> Dat
         F.when(low == high, -1).when(F.col("mine") == low, 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", low, high)).alias("task"),
     )
-    texts = with_row(docs).select(ROW, body().alias("text"))
+    texts = docs.select(ROW, body().alias("text"))
     checked = stored(
         # the members grow with the corpus, so they are never broadcast to the texts
         texts.join(spread.hint("merge"), ROW).select("task", "grp", "side", ROW, "copies", "text").groupBy("task").applyInArrow(verify, "a long, b long, linked long"),
@@ -379,7 +385,7 @@ def similar(docs: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> Dat
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The documents with one of each component left, the one with the smallest id, with all their columns."""
-    rows = similar(docs)
+    rows = numbered(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
-    kept = rows.groupBy("component").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    return keep_rows(docs, kept)
+    kept = similar_rows(rows).groupBy("component").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    return keep_rows(rows, kept)
