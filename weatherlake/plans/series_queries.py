@@ -202,3 +202,123 @@ def ts_sequences(spark, d):
         F.element_at(v, -1).alias("tail"),
         F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"),
     )
+
+
+# The queries above with fewer windows, lags or rows keep their SQL; these five run the operators with all of them.
+
+
+@query(
+    "ts_rolling_trend_all",
+    "O-TS-03",
+    "select event_id, "
+    + ", ".join(
+        f"case when count(*) over ({_f(k)}) = {k} then regr_slope(temp_c, rn) over ({_f(k)}) end as temp_c_trend_{k}"
+        for k in series.WINDOWS
+    )
+    + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})",
+    {f"temp_c_trend_{k}": 6 for k in series.WINDOWS},
+)
+def ts_rolling_trend_all(spark, d):
+    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("trend",)).drop("station", "ts", "temp_c")
+
+
+@query(
+    "ts_rolling_zscore_all",
+    "O-TS-04",
+    "select *, "
+    + ", ".join(f"coalesce(abs(temp_c_anomaly_{k}) > 3, false) as temp_c_is_anomaly_{k}" for k in series.WINDOWS)
+    + " from (select event_id, "
+    + ", ".join(_z_sql(k) for k in series.WINDOWS)
+    + f" from {OBS})",
+    {f"temp_c_anomaly_{k}": 6 for k in series.WINDOWS},
+)
+def ts_rolling_zscore_all(spark, d):
+    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("anomaly",)).drop("station", "ts", "temp_c")
+
+
+@query(
+    "ts_full_mean_all",
+    "O-TS-06",
+    "select event_id, "
+    + ", ".join(
+        f"case when count(temp_c) over ({_f(k)}) = {k} then avg(temp_c) over ({_f(k)}) end as temp_c_rolling_{k}"
+        for k in series.WINDOWS
+    )
+    + f" from {OBS}",
+    {f"temp_c_rolling_{k}": 7 for k in series.WINDOWS},
+)
+def ts_full_mean_all(spark, d):
+    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("rolling",)).drop("station", "ts", "temp_c")
+
+
+_VARIABLES = ("temp_c", "precip")
+
+
+def _every_sql(v):
+    yield from (f"lag({v}, {k}) over ({_W}) as {v}_lag_{k}" for k in series.LAGS)
+    for k in series.WINDOWS:
+        yield from (x.replace("temp_c", v) for x in [*_roll_sql(k), _z_sql(k)])
+        yield f"case when count(*) over ({_f(k)}) = {k} then regr_slope({v}, rn) over ({_f(k)}) end as {v}_trend_{k}"
+        yield f"case when count({v}) over ({_f(k)}) = {k} then avg({v}) over ({_f(k)}) end as {v}_rolling_{k}"
+
+
+def _ema_sql():
+    spans = [(v, k, f"{v}_ema_{k}") for v in _VARIABLES for k in series.EMA_SPANS]
+    first = ", ".join(f"{v} as {n}" for v, _, n in spans)
+    more = ", ".join(f"r.{n} + 2.0/{k + 1}*(s.{v} - r.{n})" for v, k, n in spans)
+    return f"""(with recursive s as (select event_id, station, temp_c, precip, row_number() over ({_W}) as rn from {OBS}),
+ r as (select event_id, station, rn, {first} from s where rn = 1
+  union all select s.event_id, s.station, s.rn, {more} from r join s on s.station = r.station and s.rn = r.rn + 1)
+ select event_id, {", ".join(n for _, _, n in spans)} from r)"""
+
+
+@query(
+    "ts_feature_builder_all",
+    "O-TS-07",
+    "select f.*, "
+    + ", ".join(
+        f"coalesce(abs({v}_anomaly_{k}) > 3, false) as {v}_is_anomaly_{k}" for v in _VARIABLES for k in series.WINDOWS
+    )
+    + ", e.* exclude (event_id) from (select event_id, "
+    + ", ".join(x for v in _VARIABLES for x in _every_sql(v))
+    + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})) f join {_ema_sql()} e on f.event_id = e.event_id",
+    {
+        n: 6
+        for v in _VARIABLES
+        for n in (
+            *(f"{v}_lag_{k}" for k in series.LAGS),
+            *(f"{v}_ema_{k}" for k in series.EMA_SPANS),
+            *(
+                f"{v}_{s}_{k}"
+                for s in ("rollmean", "rollstd", "rollmin", "rollmax", "trend", "anomaly", "rolling")
+                for k in series.WINDOWS
+            ),
+        )
+    },
+)
+def ts_feature_builder_all(spark, d):
+    out = obs(spark, d).select("event_id", "station", "ts", *_VARIABLES)
+    out = series.features(out, KEYS, _day(), ORDER, _VARIABLES)
+    for v in _VARIABLES:
+        out = series.ema(out, KEYS, _day(), ORDER, v)
+    return out.drop("station", "ts", *_VARIABLES)
+
+
+@query(
+    "ts_sequences_all",
+    "O-TS-22",
+    f"""select event_id, cast(168 as int) as n, first_value(temp_c) over ({_f(168)}) as head, temp_c as tail,
+ sum(temp_c) over ({_f(168)}) + (168 - count(*) over ({_f(168)})) * first_value(temp_c) over ({_f(168)}) as total
+ from {OBS}""",
+    {"head": 9, "tail": 9, "total": 6},
+)
+def ts_sequences_all(spark, d):
+    s = series.sequences(_src(spark, d), KEYS, _day(), ORDER, ["ts", "temp_c"])
+    v = F.transform("sequence", lambda x: x["temp_c"])
+    return s.select(
+        "event_id",
+        F.size("sequence").alias("n"),
+        F.element_at(v, 1).alias("head"),
+        F.element_at(v, -1).alias("tail"),
+        F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"),
+    )
