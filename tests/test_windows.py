@@ -128,6 +128,17 @@ def test_ema_equals_recursion_over_many_tiles(spark):
         np.testing.assert_allclose(got[f"x_ema_{s}"], want, rtol=1e-9, atol=1e-11)
 
 
+def test_ema_keeps_rows_without_a_value(spark):
+    rows = [("s", i, i, None if i % 3 == 1 else float(i)) for i in range(12)] + [("gone", i, 100 + i, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, x double")
+    got = {r.id: r.x_ema_3 for r in series.ema(df, ["k"], block(), ["t", "id"], "x", spans=(3, 12, 48)).collect()}
+    want, last = {}, None
+    for _, _, i, x in rows:
+        last = last if x is None else x if last is None else last + (x - last) / 2
+        want[i] = None if x is None else pytest.approx(last)
+    assert got == want
+
+
 def test_sequences_pad_with_first_row(spark):
     df = spark.createDataFrame([("s", i, i, float(i)) for i in range(5)], "k string, t long, id long, x double")
     out = series.sequences(df, ["k"], block(), ["t", "id"], ["x"], length=3).orderBy("id").collect()

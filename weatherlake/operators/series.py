@@ -179,8 +179,10 @@ def ema(
     The weight of a row decays by (1 - alpha) per step, so after 40 / -ln(1 - alpha) rows it is below
     5e-18, under double rounding. A tile with that halo therefore equals the full recursion, and
     inside a tile the recursion is a scaled running sum, which stays in the JVM. Tiles are sized so
-    that the scale factor cannot overflow. NULL values are left out first.
+    that the scale factor cannot overflow. Rows with a NULL value take no part in the smoothing and stay in
+    the result with NULL averages.
     """
+    gaps = df.filter(F.col(v).isNull())
     df = df.filter(F.col(v).isNotNull())
     for group in _compatible(spans):
         decay = {s: -math.log(1 - 2 / (s + 1)) for s in group}
@@ -201,7 +203,7 @@ def ema(
             return x.withColumns(cols).drop("_k")
 
         df = over_tiles(df, keys, block, order, build, before=halo, tile=tile)
-    return df
+    return df.unionByName(gaps, allowMissingColumns=True)
 
 
 def _compatible(spans: Sequence[int]) -> list[list[int]]:
