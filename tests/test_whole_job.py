@@ -30,3 +30,8 @@ def test_all_windows(spark, con, name):  # noqa: F811
 def test_sequences_have_all_rows(spark, con):  # noqa: F811
     assert entry.queries()["ts_sequences_all"](spark, DIR).first().n == 168
     matches_sql(spark, con, "ts_sequences_all")
+
+
+def test_bootstrap_has_all_resamples(spark):
+    p = [r.p_value * 10_001 for r in entry.queries()["ev_bootstrap"](spark, DIR).collect()]
+    assert p and p == pytest.approx([round(x) for x in p], abs=1e-6)

@@ -438,7 +438,7 @@ def _numbered(spark, d):
 
 @query("ev_bootstrap", "O-EV-02")
 def ev_bootstrap(spark, d):
-    boot = ev.bootstrap_sharpes(_numbered(spark, d), K, YEARS, resamples=1000)
+    boot = ev.bootstrap_sharpes(_numbered(spark, d), K, YEARS)
     return ev.bootstrap_summary(boot, K)
 
 
