@@ -32,6 +32,13 @@ def test_sequences_have_all_rows(spark, con):  # noqa: F811
     matches_sql(spark, con, "ts_sequences_all")
 
 
+def test_units_of_all_years(spark, con):  # noqa: F811
+    got = entry.queries()["dq_missing_units_all"](spark, DIR)
+    assert {r[0] for r in got.selectExpr("substr(date, 1, 4)").distinct().collect()} >= {str(y) for y in range(1995, 2002)}
+    matches_sql(spark, con, "dq_missing_units_all")
+    matches_sql(spark, con, "dq_gates_all")
+
+
 def test_bootstrap_has_all_resamples(spark):
     p = [r.p_value * 10_001 for r in entry.queries()["ev_bootstrap"](spark, DIR).collect()]
     assert p and p == pytest.approx([round(x) for x in p], abs=1e-6)

@@ -574,6 +574,45 @@ def dq_gates(spark, d):
     return quality.dataset_gates(cycles(spark, d), pit(spark, d), K, "1999-01-01", "1999-12-31", ["12"], LEADS, 1)
 
 
+# The two queries above check fixed dates and keep their SQL; these check every day the table spans. The last day
+# is then the table's own, so the staleness gate of ``dq_gates_all`` can't fail; ``dq_gates`` and ``dq_staleness`` judge that.
+_WANTED = f"""w as (select i.instrument, cast(d.d as date) as date, l.lead from (select distinct instrument from {CYCLES}) i,
+  (select unnest(generate_series(lo, hi, interval 1 day)) as d from (select cast(min(date) as timestamp) as lo, cast(max(date) as timestamp) as hi from {CYCLES})) d,
+  (select unnest([0, 12, 24, 36]) as lead) l)"""
+
+
+def _span(cells):
+    first, last = cells.agg(F.min("date"), F.max("date")).first()
+    return str(first), str(last)
+
+
+@query(
+    "dq_missing_units_all",
+    "O-DQ-01",
+    f"""with {_WANTED} select w.instrument, cast(w.date as varchar) as date, '12' as cycle, w.lead from w left join (select distinct instrument, date, lead from {CYCLES}) h
+ on w.instrument = h.instrument and w.date = h.date and w.lead = h.lead where h.date is null""",
+)
+def dq_missing_units_all(spark, d):
+    x = cycles(spark, d)
+    return _str(quality.missing_units(x, K, *_span(x), ["12"], LEADS), "date")
+
+
+@query(
+    "dq_gates_all",
+    "O-DQ-01",
+    f"""with {_WANTED},
+ inv as (select instrument, date, lead, count(distinct latitude) as lats, count(*) filter (where not (t2m between 200 and 330)) as bad from {CYCLES} group by 1, 2, 3),
+ g as (select 'completeness' as gate, count(*) as f from w left join inv h on w.instrument = h.instrument and w.date = h.date and w.lead = h.lead where h.date is null
+  union all select 'schema', count(*) filter (where bad > 0 or lats < 1) from inv
+  union all select 'pit', count(*) filter (where abs(fwd_return) > 0.5 or abs(fwd2_return) > 0.5 or fwd2_return is null) from {PIT}
+  union all select 'staleness', 0)
+ select gate, f = 0 as ok, cast(f as bigint) as failures from g""",
+)
+def dq_gates_all(spark, d):
+    x = cycles(spark, d)
+    return quality.dataset_gates(x, pit(spark, d), K, *_span(x), ["12"], LEADS, 1)
+
+
 _VERDICT = f"""(with i as (select instrument, date, cycle, lead, count(*) as n, count(t2m) as p from {CYCLES} group by 1, 2, 3, 4)
  select instrument, date, cycle, sum(n) as grid_cells, case when not list_has_all(list(lead), [0, 12]) then 'missing_leads' when count(*) filter (where n <> 1) > 0 then 'wrong_cell_count'
  when sum(p) = 0 then 'no_temperature' end as reason from i group by 1, 2, 3)"""
