@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, sharding, suffix_dedup, toxicity
+from weatherlake.llm import bpe, centroids, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, phrases, sharding, suffix_dedup, toxicity
 from weatherlake.llm.common import stored, table
 from weatherlake.llm.labelled import held_out
 
@@ -148,3 +148,96 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    dist = "list_sum(list_transform(generate_series(1, {s}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))".format(s=size)
+    steps = [
+        f"""v as materialized (
+  select vec_id, list_transform(embedding, lambda e: cast(floor(64 * cast(e as double)) as bigint)) as x
+  from embeddings where len(embedding) = {size} and list_count(list_filter(embedding, lambda e: isfinite(e))) = {size}
+), c0 as materialized (
+  select cast(row_number() over (order by sha256('1:' || vec_id)) - 1 as int) as c, x
+  from v qualify row_number() over (order by sha256('1:' || vec_id)) <= {k}
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} as materialized (
+  select v.vec_id, any_value(v.x) as x, min(({dist}, c.c)) as best from v, c{r} c group by v.vec_id
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} as (
+  select c, i, cast(floor_div as bigint) as y from (
+    select best[2] as c, i, sum(x[i]) as s, count(*) as n,
+           (s - (((s % n) + n) % n)) // n as floor_div
+    from a{r}, generate_series(1, {size}) g(i) group by best[2], i)
+), c{r + 1} as materialized (
+  select c{r}.c, coalesce(any_value(n.x), any_value(c{r}.x)) as x
+  from c{r} left join (select c, list(y order by i) as x from m{r} group by c) n on n.c = c{r}.c group by c{r}.c
+)"""
+            )
+    return f"""
+with {", ".join(steps)}
+select vec_id, cast(best[2] as int) as cluster, cast(best[1] as bigint) as distance,
+       cast(sum(best[1]) over (partition by best[2]) as bigint) as cluster_inertia,
+       cast(sum(best[1]) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.x, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c{rounds}.c = best[2]
+"""
+
+
+SQL["op13_centroid_clusters"] = _centroid_sql()
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), sizes=3, threshold=10, inside=50, top=2000)
+
+
+SQL["op11_phrase_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as materialized (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), grams as (
+  select lang, size, unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) as g
+  from words, generate_series(1, 3) s(size) where len(w) >= size
+), f as materialized (
+  select lang, g, size, count(*) as n from grams group by all
+), totals as (
+  select lang, cast(sum(n) as bigint) as n from f where size = 1 group by lang
+), cand as materialized (
+  select lang, g, size, n as a, string_split(g, ' ') as w from f where size >= 2 and n >= 10
+), inner_of as (
+  select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as g, a from cand where size = 3
+), longest as (
+  select lang, g, max(a) as longest from inner_of group by all
+), kept as (
+  select c.* from cand c left join longest x on x.lang = c.lang and x.g = c.g
+  where x.longest is null or 100 * x.longest < 50 * c.a
+), cuts as (
+  select *, unnest(generate_series(1, size - 1)) as k from kept
+), scored as (
+  select c.lang, c.g, c.a, c.k, p.n as l, q.n as r,
+         (1000000::hugeint * c.a * c.a) // (p.n::hugeint * q.n) as score
+  from cuts c join f p on p.lang = c.lang and p.g = array_to_string(c.w[1:c.k], ' ')
+              join f q on q.lang = c.lang and q.g = array_to_string(c.w[c.k + 1:c.size], ' ')
+), worst as (
+  select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1
+)
+select w.lang, row_number() over o as rank, w.g as phrase, w.a, w.l, w.r, t.n, cast(w.score as bigint) as score
+from worst w join totals t on t.lang = w.lang
+window o as (partition by w.lang order by w.score desc, w.a desc, w.g)
+qualify row_number() over o <= 2000
+"""

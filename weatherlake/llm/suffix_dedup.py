@@ -173,7 +173,8 @@ def multikey_order(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
             ordered = at[np.lexsort([t[at] for t in reversed(tokens[depth:])])]
         else:
             token = tokens[depth][at]
-            pivot = np.sort(token[:: max(1, len(token) // 15)])[7]
+            drawn = np.sort(token[:: max(1, len(token) // 15)])
+            pivot = drawn[len(drawn) // 2]
             less, more = token < pivot, token > pivot
             todo += [(at[more], depth), (at[~(less | more)], depth + 1), (at[less], depth)]
             continue
