@@ -223,8 +223,9 @@ def test_clusters(spark, monkeypatch, k, rounds):
 def test_bounds_spare_rescans():
     """A round that moves centroids little pops few vectors, and no vector that changes its cluster is missed."""
     draw = np.random.default_rng(1)
-    x = draw.integers(-500, 500, (3000, 8))
-    drift = centroids.Drift(draw.integers(-500, 500, (12, 8)))
+    middle = draw.integers(-500, 500, (12, 8))
+    x = middle[draw.integers(0, 12, 3000)] + draw.integers(-90, 90, (3000, 8))
+    drift = centroids.Drift(x[:12])
     heaps = centroids.Heaps.start(x, drift)
     popped = []
     for _ in range(12):
@@ -233,7 +234,7 @@ def test_bounds_spare_rescans():
         heaps = centroids.Heaps.read([None, *heaps.row([], np.zeros(0, np.int64))[1:]], 8)
         popped.append(len(heaps.round(drift)))
         assert (heaps.cluster == centroids.distances(x, drift.centroids).argmin(1)).all()
-    assert popped[-1] < len(x) / 3
+    assert popped[-1] < len(x) / 10 and max(popped) > 0
 
 
 def test_large_components_are_refused(spark):
