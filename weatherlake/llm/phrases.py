@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -38,15 +39,21 @@ RUN, MASS = (1 << 21) - 2, 2 << 20
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Folds A-Z, turns every break into a full stop, which is no part of a word, and tabs into spaces.
 FOLD = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", LOWER.encode() + b"." * len(BREAKS) + b" ")
+SPACE, NOTHING, NEWLINE = (pa.scalar(x, pa.large_binary()) for x in (b" ", b"", b"\n"))
 SALTS = 8
 RUNS = "part long, lang string, mass long, words long, grams binary, counts binary"
 FOUND = "lang string, phrase string, words int, n long"
 
 
-def word_numbers(texts: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Numbers of all words of the texts, 0 between pieces."""
-    words = b".".join(texts).translate(FOLD).replace(b".", b" . ").split()
-    return np.array([vocabulary.setdefault(w, len(vocabulary)) for w in [*words, b"."]], np.int64)
+def words_of(text: bytes) -> pa.Array:
+    """All words of the text, with full stops between pieces and at the end."""
+    return pa.array((text + b".").translate(FOLD).replace(b".", b" . ").split(), pa.large_binary())
+
+
+def word_numbers(words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of all words, 0 between pieces, and the vocabulary that they number."""
+    coded = pa.concat_arrays([pa.array([b"."], pa.large_binary()), *words]).dictionary_encode()
+    return coded.indices.to_numpy()[1:].astype(np.int64), coded.dictionary
 
 
 def ngrams(numbers: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +75,10 @@ def ngrams(numbers: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.nd
     return np.stack([c[first] for c in columns], 1), counts
 
 
-def summaries(lang: str, numbers: np.ndarray, vocabulary: list[bytes], hashes: np.ndarray, sizes: int, parts: int) -> pa.RecordBatch:
+def summaries(lang: str, numbers: np.ndarray, vocabulary: pa.Array, sizes: int, parts: int) -> pa.RecordBatch:
     """The run's counts of one language, one row per hash partition."""
     seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], np.uint64)
     grams, counts, homes, single = [], [], [], []
     for size in range(1, sizes + 1):
         rows, n = ngrams(numbers, size, len(vocabulary).bit_length())
@@ -79,19 +87,25 @@ def summaries(lang: str, numbers: np.ndarray, vocabulary: list[bytes], hashes: n
             mixed = (mixed ^ hashes[rows[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
         homes.append((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32))
-        columns = [[vocabulary[i] for i in rows[:, k].tolist()] for k in range(size)]
-        grams += columns[0] if size == 1 else map(b" ".join, zip(*columns))
+        words = [vocabulary.take(pa.array(rows[:, k])) for k in range(size)]
+        line = pc.binary_join_element_wise(*words, SPACE) if size > 1 else words[0]
+        grams.append(pc.binary_join_element_wise(line, NOTHING, NEWLINE))
         counts.append(n)
         single.append(n if size == 1 else np.zeros(len(n), np.int64))
-    home, n, one = np.concatenate(homes).astype(np.int64), np.concatenate(counts), np.concatenate(single)
+    home, n, one = np.concatenate(homes), np.concatenate(counts), np.concatenate(single)
+    home = home.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers sort by radix
     order = np.argsort(home, kind="stable")
+    n, one = n[order], one[order]
     present, first = np.unique(home[order], return_index=True)
+    # all n-grams in the order of the partitions as one text, a line each
+    lines = pa.concat_arrays(grams).take(pa.array(order))
+    ends = np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1, lines.offset * 8)
+    text = memoryview(lines.buffers()[2])
     cut = [*first.tolist(), len(order)]
-    zip_up = zstandard.ZstdCompressor(level=3).compress
+    zip_up = zstandard.ZstdCompressor(level=1).compress
     out: list[list] = [[] for _ in range(6)]
     for part, i, j in zip(present.tolist(), cut, cut[1:]):
-        at = order[i:j]
-        row = [part, lang, int(n[at].sum()), int(one[at].sum()), zip_up(b"\n".join([grams[k] for k in at.tolist()])), pack(n[at].astype(np.uint32))]
+        row = [part, lang, int(n[i:j].sum()), int(one[i:j].sum()), zip_up(text[ends[i] : ends[j] - 1]), pack(n[i:j].astype(np.uint32))]
         for column, value in zip(out, row):
             column.append(value)
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -152,17 +166,14 @@ def frequent(docs: DataFrame, sizes: int, threshold: int) -> DataFrame:
     parts = max(32, size * sizes // 6 // MASS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[bytes, int] = {b".": 0}
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[pa.Array]] = {}
         total = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(vocabulary)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-            for lang, numbers in held.items():
-                each = np.concatenate(numbers)
-                if each.any():
-                    yield summaries(lang, each, words, hashes, sizes, parts)
+            for lang, words in held.items():
+                numbers, vocabulary = word_numbers(words)
+                if numbers.any():
+                    yield summaries(lang, numbers, vocabulary, sizes, parts)
 
         for b in batches:
             langs: dict[str, list[bytes]] = {}
@@ -173,10 +184,10 @@ def frequent(docs: DataFrame, sizes: int, threshold: int) -> DataFrame:
                     # a word and what parts it from the next are two bytes at least
                     if total and total + len(group) // 2 + 1 > RUN:
                         yield from out()
-                        vocabulary, held, total = {b".": 0}, {}, 0
-                    numbers = word_numbers([group], vocabulary)
-                    held.setdefault(lang, []).append(numbers)
-                    total += int((numbers > 0).sum()) + 1
+                        held, total = {}, 0
+                    words = words_of(group)
+                    held.setdefault(lang, []).append(words)
+                    total += len(words)
         yield from out()
 
     def settle(key: tuple, t: pa.Table) -> pa.Table:
