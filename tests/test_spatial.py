@@ -39,6 +39,53 @@ def test_polygon_needs_three_vertices():
         spatial.inside_polygon(F.lit(0.0), F.lit(0.0), [(0, 0), (1, 1)])
 
 
+def test_many_large_polygons_from_a_table(spark):
+    """1,000 polygons of 10,000 vertices each: no expression grows with them, and sampled points agree with the formula."""
+    n, m = 1000, 10_000
+    k, q = F.col("polygon"), F.col("seq")
+    r = F.lit(2.0) + F.sin(q * (k % 7 + 3) * 2 * np.pi / m)
+    v = spark.range(n * m).select((F.col("id") / m).cast("long").alias("polygon"), (F.col("id") % m).alias("seq"))
+    v = v.select("polygon", "seq", (k % 40 * 3 - 60 + r * F.cos(q * 2 * np.pi / m)).alias("lat"), ((k / 40).cast("long") * 10 - 120 + r * F.sin(q * 2 * np.pi / m)).alias("lon"))
+    rng = np.random.default_rng(2)
+    at = np.c_[rng.uniform(-64, 62, 400), rng.uniform(-125, 135, 400)]
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "id long, lat double, lon double")
+    out = spatial.points_in_polygons(points, v)
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 30_000
+    got = sorted((r.id, r.polygon) for r in out.collect())
+    p = np.arange(n)
+    dy, dx = at[:, None, 0] - (p % 40 * 3 - 60), at[:, None, 1] - (p // 40 * 10 - 120)
+    angle = np.arctan2(dx, dy) % (2 * np.pi)
+    edge = 2.0 + np.sin(angle * (p % 7 + 3))
+    far = np.abs(np.hypot(dx, dy) - edge) > 1e-3  # points too near a border for the formula are left to rounding
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.hypot(dx, dy) < edge)}
+    assert far[tuple(np.array(sorted(want)).T)].all() and got == sorted(want) and len(got) > 100
+
+
+def test_polygon_table_equals_the_literal_test(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 3.0), (4.0, 3.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [("u", i, a, b) for i, (a, b) in enumerate(ring)] + [("two", 0, 0.0, 0.0), ("two", 1, 5.0, 5.0), ("u", None, 9.0, 9.0)]
+    v = spark.createDataFrame(rows, "polygon string, seq int, lat double, lon double")
+    at = [(i, float(a), float(b)) for i, (a, b) in enumerate((a / 2, b / 2) for a in range(-1, 10) for b in range(-1, 10))]
+    p = spark.createDataFrame([*at, (999, None, 1.0), (998, 0.5, 0.5), (998, 0.5, 0.5)], "id long, lat double, lon double")
+    literal = p.filter(spatial.inside_polygon(F.col("lat"), F.col("lon"), ring)).select("id")
+    for per_band in (1, 16):
+        got = spatial.points_in_polygons(p, v, per_band, cell=2.0).collect()
+        assert {r.polygon for r in got} == {"u"} and sorted(r.id for r in got) == sorted(r.id for r in literal.collect())
+
+
+def test_nearest_however_far(spark):
+    rng = np.random.default_rng(5)
+    p = np.r_[np.c_[rng.uniform(-90, 90, 80), rng.uniform(-180, 180, 80)], [[10.0, 20.0]] * 3]
+    v = np.r_[np.c_[rng.normal(10, 0.01, 300), rng.normal(20, 0.01, 300)], [[-80.0, 179.0], [10.0, 20.0]]]
+    ps = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(-1, None, 0.0)], "id long, lat double, lon double")
+    vs = spark.createDataFrame([(float(a), float(b)) for a, b in v], "o_lat double, o_lon double")
+    got = {r.id: r.nearest_km for r in spatial.nearest(ps, vs).collect()}
+    want = hav(p[:, None, 0], p[:, None, 1], v[None, :, 0], v[None, :, 1]).min(1)
+    assert got.pop(-1) is None
+    np.testing.assert_allclose([got[i] for i in range(len(p))], want, atol=1e-6)
+    assert {r.nearest_km for r in spatial.nearest(ps, vs.limit(0)).collect()} == {None}
+
+
 def test_unknown_country(spark):
     with pytest.raises(ValueError):
         spatial.subset_country(spark.createDataFrame([(0.0, 0.0)], "lat double, lon double"), "XX")

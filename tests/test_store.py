@@ -1,5 +1,6 @@
 """Audit chains, metering, reconciliation and sources."""
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from weatherlake.operators import audit, metering, relational
-from weatherlake.operators.windows import days
 from weatherlake.sources import readers, writers
 
 T0 = datetime(2024, 1, 1)
@@ -20,7 +20,7 @@ def sealed(spark, n=60):
 
 
 def verify(df):
-    v = audit.verify_chains(df, ["tenant_id"], days("ts"), ["ts", "id"])
+    v = audit.verify_chains(df, ["tenant_id"], ["ts", "id"])
     return {r.tenant_id: (r.ok, r.first_bad) for r in v.collect()}
 
 
@@ -61,7 +61,7 @@ def test_feed_sessions_match_a_queue_with_orphans(spark):
         rows += [("t", s, *e) for e in ev]
     df = spark.createDataFrame(rows, "tenant_id string, session_id int, ts timestamp, id int, action string")
     got = {s: [] for s in want}
-    for r in metering.feed_sessions(df, ["tenant_id", "session_id"], days, "id").collect():
+    for r in metering.feed_sessions(df, ["tenant_id", "session_id"], "id").collect():
         got[r.session_id].append((r.connected, r.disconnected))
     assert {k: sorted(v) for k, v in got.items()} == want
 
@@ -104,7 +104,7 @@ def test_error_budget_ignores_fail_closed(spark):
 def test_batches_split_large_cycles(spark):
     rows = [("c1" if i < 25 else "c2", T0 + timedelta(minutes=i), i, "LONG") for i in range(30)]
     df = spark.createDataFrame(rows, "forecast_cycle_id string, ts timestamp, id int, action string").withColumn("publication_ts", F.lit("p"))
-    b = relational.signal_batches(df, days("ts"), ["ts", "id"], ["action", "id"], part_size=10)
+    b = relational.signal_batches(df, ["ts", "id"], ["action", "id"], part_size=10)
     assert {(r.cycle_id, r.part, r.n_signals) for r in b.collect()} == {("c1", 0, 10), ("c1", 1, 10), ("c1", 2, 5), ("c2", 0, 5)}
 
 
@@ -160,3 +160,46 @@ def test_weather_documents(spark):
     h, d = readers.parse_weather(df, ["t2"], ["mx"], keep=["doc"])
     assert sorted((r.doc, r.location, r.t2, r.latitude) for r in h.collect()) == [("a", 0, 3.5, 1.5), ("b", 0, 3.5, 1.5), ("b", 1, 3.5, 1.5)]
     assert {r.daily_mx for r in d.collect()} == {9.0}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+@pytest.mark.parametrize("steps", [1, 2, 64])
+def test_chunks_hold_whole_steps(spark, batch, steps):
+    """Every chunk has whole steps and, but for the last of a partition, the number asked for, at any batch size."""
+    rows = [(t, float(i)) for t in [None, 0, 1, 2, 3, 4, 5] for i in range(1 if t == 3 else 11)]
+    df = spark.createDataFrame(rows, "t long, v double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+
+        def seen(pdf):
+            per = pdf.groupby("t", dropna=False).v.agg(["count", "sum"]).reset_index()
+            return per.rename(columns={"count": "n", "sum": "total"}).assign(steps=len(per))
+
+        got = writers.chunked_map(df, "t", seen, "t double, n long, total double, steps long", partitions=1, steps=steps).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted((r.t is None or math.isnan(r.t), r.t or 0.0, r.n, r.total) for r in got) == sorted(
+        (t is None, float(t or 0), 1 if t == 3 else 11, 0.0 if t == 3 else 55.0) for t in [None, 0, 1, 2, 3, 4, 5]
+    )
+    assert all(r.steps <= steps for r in got) and sum(r.steps < min(steps, 7) for r in got) < max(steps, 2)
+
+
+def test_price_lines_that_do_not_fit_are_set_aside(spark, tmp_path):
+    (tmp_path / "OJ.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,10\n2024-01-03,x,2,1,1,1\n2024-01-04,1,2,1,NaN,5\n")
+    (tmp_path / "KC.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,9.5,10\n")
+    good, bad = readers.split_prices(spark, str(tmp_path))
+    assert sorted((r.ticker, str(r.Date), r.Close) for r in good.collect()) == [("KC", "2024-01-02", 9.5), ("OJ", "2024-01-02", 1.5), ("OJ", "2024-01-04", None)]
+    assert [(r.ticker, r.line) for r in bad.collect()] == [("OJ", "2024-01-03,x,2,1,1,1")]
+
+
+def test_units_from_file_names_skip_files(spark, tmp_path):
+    """Identity from names; files outside the dates and leads are not opened, so a broken one there does no harm."""
+    for name in ("gfs_20240101_12z_f000", "gfs_20240101_12z_f024", "gfs_20240102_12z_f000"):
+        spark.createDataFrame([(name, 1.0)], "src string, t2m double").coalesce(1).write.parquet(str(tmp_path / name) + ".parquet")
+    (tmp_path / "gfs_20230101_12z_f000.parquet").write_bytes(b"broken")
+    (tmp_path / "notes.parquet").write_bytes(b"broken")
+    x = readers.read_cycle_files(spark, str(tmp_path), "src string, t2m double", first="20240101", leads=[0])
+    assert sorted((r.date, r.cycle, r.lead, r.src) for r in x.collect()) == [
+        ("20240101", "12", 0, "gfs_20240101_12z_f000"), ("20240102", "12", 0, "gfs_20240102_12z_f000")
+    ]

@@ -1,4 +1,4 @@
-"""Block scans and tiles against pandas, with one series holding most rows."""
+"""Range scans and tiles against pandas, with one series holding most rows."""
 
 import numpy as np
 import pandas as pd
@@ -21,19 +21,26 @@ def to_spark(spark, pdf):
     return spark.createDataFrame(rows, "k string, t long, id long, x double")
 
 
-def block():
-    return windows.Block(F.floor(F.col("t") / 50), F.col("t"))
+@pytest.fixture(params=["few ranges", "many ranges"])
+def ranges(spark, request):
+    """Ranges as few as Spark likes, or cut every few rows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    if request.param == "many ranges":
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
 
 
-@pytest.mark.parametrize("hot", [10, 10_000])
 @pytest.mark.parametrize("reverse", [False, True])
-def test_running_kinds(spark, reverse, hot):
+def test_running_kinds(spark, ranges, reverse):
     pdf = frame()
     x = F.col("x")
     specs = {k: (k, x) for k in ("sum", "count", "product", "max", "min", "last", "first")}
     specs["product"] = ("product", F.when(x.isNotNull(), 1 + x / 1000))
     specs["total"] = ("total", x)
-    got = windows.running(to_spark(spark, pdf), ["k"], block(), ["t", "id"], specs, reverse, hot_rows=hot).toPandas().set_index("id")
+    got = windows.running(to_spark(spark, pdf), ["k"], ["t", "id"], specs, reverse).toPandas().set_index("id")
     for _, g in pdf.groupby("k"):
         g = g[::-1] if reverse else g
         s = g.x
@@ -50,13 +57,13 @@ def test_running_kinds(spark, reverse, hot):
 
 
 @pytest.mark.parametrize("tile", [7, 40, 10_000])
-def test_tiles_match_whole_series(spark, tile):
+def test_tiles_match_whole_series(spark, ranges, tile):
     pdf = frame()
 
     def build(df, w):
         return df.withColumns({"lag3": F.lag("x", 3).over(w), "ahead": F.lead("x", 2).over(w), "m5": F.avg("x").over(w.rowsBetween(-4, 0))})
 
-    out = windows.over_tiles(to_spark(spark, pdf), ["k"], block(), ["t", "id"], build, before=5, after=2, tile=tile)
+    out = windows.over_tiles(to_spark(spark, pdf), ["k"], ["t", "id"], build, before=5, after=2, tile=tile)
     got = out.toPandas().set_index("id")
     assert len(got) == len(pdf)
     for _, g in pdf.groupby("k"):
@@ -66,19 +73,61 @@ def test_tiles_match_whole_series(spark, tile):
         np.testing.assert_allclose(r.m5, g.x.rolling(5, min_periods=1).mean())
 
 
-def test_hot_blocks_split_in_order(spark):
-    n = 2000
-    rows = [("hot", int(t), i, 1.0) for i, t in enumerate(np.sort(np.random.default_rng(0).integers(0, 60, n)))]
-    df = spark.createDataFrame(rows, "k string, t long, id long, x double")
-    b = windows.with_blocks(df, ["k"], windows.Block(F.floor(F.col("t") / 100), F.col("t")), hot_rows=100)
-    sizes = b.groupBy("_blk", "_sub").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_sub").collect()
-    assert len(sizes) >= 18 and max(r.n for r in sizes) < 300
-    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+def test_ema_of_several_variables_with_gaps(spark, ranges):
+    """NULLs anywhere, series of any length over any cut, two variables and spans from 1 to 200 in one pass."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, n in (("hot", 900), ("b", 40), (None, 30), ("gone", 5)):
+        for t in range(n):
+            x = None if k == "gone" or rng.random() < 0.3 else float(rng.normal(0, 50))
+            rows.append((k, t, len(rows), x, None if rng.random() < 0.8 else float(rng.normal(5, 1))))
+    rows = [(k, t, i, None if k == "hot" and 200 < t < 420 else x, y) for k, t, i, x, y in rows]
+    df = spark.createDataFrame(rows, "k string, t long, id long, x double, y double")
+    out = series.ema(df, ["k"], ["t", "id"], ["x", "y"], spans=(1, 3, 12, 200))
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for k in {r[0] for r in rows}:
+        for v, at in (("x", 3), ("y", 4)):
+            for s in (1, 3, 12, 200):
+                level = None
+                for r in (r for r in rows if r[0] == k):
+                    value, mine = r[at], got[r[2]][f"{v}_ema_{s}"]
+                    if value is None:
+                        assert mine is None
+                        continue
+                    level = value if level is None else level + 2 / (s + 1) * (value - level)
+                    assert mine == pytest.approx(level, rel=1e-9, abs=1e-9)
+
+
+def test_plans_grow_with_the_variables_and_read_the_source_twice_at_most(spark):
+    df = to_spark(spark, frame())
+    for v in "abcdef":
+        df = df.withColumn(v, F.col("x") + 1)
+    leaves = lambda d: d._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    args = (["k"], ["t", "id"])
+    assert leaves(series.features(df, *args, ["x"], stats=("lag",), windows=())) <= 2
+    assert leaves(windows.running(df, *args, {"n": ("count", F.lit(1))})) <= 2
+    assert leaves(series.ema(df, *args, list("abcdef"))) == leaves(series.ema(df, *args, ["a"])) <= 2
+
+
+def test_a_million_rows_of_one_time(spark):
+    """One key and one timestamp: the tie column alone cuts it into ranges of near-equal size."""
+    n = 1_000_000
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(n).select(F.lit("k").alias("k"), F.lit(7).alias("t"), (F.col("id") * 7919 % n).alias("id"))
+        out = windows.running(df, ["k"], ["t", "id"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("id"))}, keep_ranges=True)
+        facts = out.groupBy("_range").agg(F.count("*").alias("rows"), F.count_if((F.col("n") != F.col("id") + 1) | (F.col("s") != F.col("id") * F.col("n") / 2)).alias("wrong")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(facts) == 4 and sum(r.rows for r in facts) == n and not sum(r.wrong for r in facts)
+    assert max(r.rows for r in facts) < 0.4 * n
 
 
 def test_features_match_pandas_and_ignore_the_future(spark):
     pdf = frame()
-    args = (["k"], block(), ["t", "id"], ["x"])
+    args = (["k"], ["t", "id"], ["x"])
     opts = {"lags": (1, 24), "windows": (6, 24, 48)}
     got = series.features(to_spark(spark, pdf), *args, **opts).toPandas().set_index("id").sort_index()
     for _, g in pdf.groupby("k"):
@@ -108,21 +157,21 @@ def test_features_match_pandas_and_ignore_the_future(spark):
 def test_constant_series_has_no_zscore(spark):
     rows = [("c", i, i, 2.5) for i in range(40)]
     df = spark.createDataFrame(rows, "k string, t long, id long, x double")
-    out = series.features(df, ["k"], block(), ["t", "id"], ["x"], stats=("anomaly",), windows=(6, 12)).toPandas()
+    out = series.features(df, ["k"], ["t", "id"], ["x"], stats=("anomaly",), windows=(6, 12)).toPandas()
     assert out.x_anomaly_6.isna().all() and not out.x_is_anomaly_6.any()
 
 
 def test_long_windows_are_dropped_for_short_series(spark):
     df = spark.createDataFrame([("s", i, i, float(i)) for i in range(20)], "k string, t long, id long, x double")
-    out = series.features(df, ["k"], block(), ["t", "id"], ["x"], stats=("window",), windows=(6, 24)).toPandas()
+    out = series.features(df, ["k"], ["t", "id"], ["x"], stats=("window",), windows=(6, 24)).toPandas()
     assert out.x_rollmean_24.isna().all() and out.x_rollmean_6.notna().sum() == 18
 
 
-def test_ema_equals_recursion_over_many_tiles(spark):
+def test_ema_equals_recursion_over_many_ranges(spark, ranges):
     rng = np.random.default_rng(5)
     n = 4000
     pdf = pd.DataFrame({"k": "hot", "t": np.arange(n), "id": np.arange(n), "x": rng.normal(0, 10, n)})
-    got = series.ema(to_spark(spark, pdf), ["k"], block(), ["t", "id"], "x", spans=(3, 12, 48)).toPandas().sort_values("id")
+    got = series.ema(to_spark(spark, pdf), ["k"], ["t", "id"], "x", spans=(3, 12, 48)).toPandas().sort_values("id")
     for s in (3, 12, 48):
         want = pdf.x.ewm(span=s, adjust=False).mean()
         np.testing.assert_allclose(got[f"x_ema_{s}"], want, rtol=1e-9, atol=1e-11)
@@ -131,7 +180,7 @@ def test_ema_equals_recursion_over_many_tiles(spark):
 def test_ema_keeps_rows_without_a_value(spark):
     rows = [("s", i, i, None if i % 3 == 1 else float(i)) for i in range(12)] + [("gone", i, 100 + i, None) for i in range(2)]
     df = spark.createDataFrame(rows, "k string, t long, id long, x double")
-    got = {r.id: r.x_ema_3 for r in series.ema(df, ["k"], block(), ["t", "id"], "x", spans=(3, 12, 48)).collect()}
+    got = {r.id: r.x_ema_3 for r in series.ema(df, ["k"], ["t", "id"], "x", spans=(3, 12, 48)).collect()}
     want, last = {}, None
     for _, _, i, x in rows:
         last = last if x is None else x if last is None else last + (x - last) / 2
@@ -141,15 +190,15 @@ def test_ema_keeps_rows_without_a_value(spark):
 
 def test_sequences_pad_with_first_row(spark):
     df = spark.createDataFrame([("s", i, i, float(i)) for i in range(5)], "k string, t long, id long, x double")
-    out = series.sequences(df, ["k"], block(), ["t", "id"], ["x"], length=3).orderBy("id").collect()
+    out = series.sequences(df, ["k"], ["t", "id"], ["x"], length=3).orderBy("id").collect()
     assert [[v.x for v in r.sequence] for r in out][:3] == [[0, 0, 0], [0, 0, 1], [0, 1, 2]]
 
 
-def test_longest_run_with_and_without_blocks(spark):
+def test_longest_run_with_and_without_ranges(spark):
     pdf = frame()
     df = to_spark(spark, pdf)
     flag = F.col("x") > 9
-    got = {r.k: r.longest_run for r in islands.longest_run(df, ["k"], ["t", "id"], flag, block()).collect()}
+    got = {r.k: r.longest_run for r in islands.longest_run(df, ["k"], ["t", "id"], flag, long=True).collect()}
     plain = {r.k: r.longest_run for r in islands.longest_run(df, ["k"], ["t", "id"], flag).collect()}
     want = {}
     for k, g in pdf.groupby("k"):
@@ -177,8 +226,8 @@ def test_percentile_rank_counts_ties_half(spark):
     assert got == {("a", 2.0): 62.5, ("a", 2.5): 75.0, ("a", 0.0): 0.0, ("b", 1.0): None}
 
 
-def test_bursts_and_null_keys(spark):
-    """A second with most of the rows, a NULL key and a NULL time: right values, and parts of bounded size."""
+def test_bursts_and_null_keys(spark, ranges):
+    """A second with most of the rows, a NULL key and a NULL time."""
     import datetime as dt
 
     from pyspark.sql import functions as F
@@ -189,9 +238,7 @@ def test_bursts_and_null_keys(spark):
     rows = [("a", t0 + dt.timedelta(microseconds=i), i) for i in range(4000)] + [("a", t0 + dt.timedelta(hours=h), 4000 + h) for h in range(1, 9)]
     rows += [(None, t0 + dt.timedelta(days=i), 5000 + i) for i in range(6)] + [("b", None, 6000), ("b", t0, 6001)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, i long")
-    parts = windows.with_blocks(df, ["k"], windows.days("ts"), hot_rows=1000).groupBy("k", "_blk", "_sub").count().collect()
-    assert max(r["count"] for r in parts) <= 200 and sum(r["count"] for r in parts) == len(rows)
-    out = windows.running(df, ["k"], windows.days("ts"), ["ts", "i"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("i"))}, hot_rows=1000)
+    out = windows.running(df, ["k"], ["ts", "i"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("i"))})
     want = {}
     for key in ("a", None, "b"):
         total = 0

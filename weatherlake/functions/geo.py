@@ -54,12 +54,12 @@ def geopotential_to_height(phi: Column, lat: Column) -> Column:
 def coast_distance(lat: Column, lon: Column, coastline: list[tuple[float, float]] | None = None) -> Column:
     """Distance to the nearest coastline vertex; without one, 0 on land boxes, else to coarse anchors (max 1000).
 
-    The vertices become a literal array, so their number is limited; for larger coastlines use
-    ``spatial.nearest_within`` on a vertex table.
+    The vertices become literals, so their number is limited; for larger coastlines use ``spatial.nearest`` on a
+    vertex table.
     """
     if coastline is not None:
         if len(coastline) > 5000:
-            raise ValueError("over 5000 vertices: use spatial.nearest_within with a vertex table")
+            raise ValueError("over 5000 vertices: use spatial.nearest with a vertex table")
         return F.least(*_distances(lat, lon, coastline))
     boxes = [(lat > a) & (lat < b) & (lon > c) & (lon < d) for a, b, c, d in LAND_BOXES]
     land = boxes[0]

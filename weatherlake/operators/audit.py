@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from weatherlake.operators.windows import POS, Block, over_tiles
+from weatherlake.operators.windows import POS, over_tiles
 
 GENESIS = "genesis"
 # Request paths whose calls must leave an audit row.
@@ -21,7 +21,7 @@ def row_hash(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit(GENESIS)), F.lit("|"), payload), 256)
 
 
-def chain_rows(audit: DataFrame, chain: Sequence[str], block: Block, order: Sequence[str]) -> DataFrame:
+def chain_rows(audit: DataFrame, chain: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows with their 0-based chain position and ``bad``: a wrong hash or a broken link.
 
     Every row is checked against its predecessor only, so chains of any length run in tiles.
@@ -32,11 +32,11 @@ def chain_rows(audit: DataFrame, chain: Sequence[str], block: Block, order: Sequ
         ok = (F.col("hash") == row_hash(F.col("prev_hash"), F.col("payload"))) & F.col("prev_hash").eqNullSafe(before)
         return x.withColumn("bad", ~F.coalesce(ok, F.lit(False))).withColumn("position", F.col(POS) - 1)
 
-    return over_tiles(audit, chain, block, order, build, before=1)
+    return over_tiles(audit, chain, order, build, before=1)
 
 
-def verify_chains(audit: DataFrame, chain: Sequence[str], block: Block, order: Sequence[str]) -> DataFrame:
-    rows = chain_rows(audit, chain, block, order)
+def verify_chains(audit: DataFrame, chain: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rows = chain_rows(audit, chain, order)
     first = F.min(F.when(F.col("bad"), F.col("position")))
     return rows.groupBy(*chain).agg(F.count("*").alias("n"), (~F.max("bad")).alias("ok"), first.alias("first_bad"))
 

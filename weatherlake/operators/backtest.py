@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weatherlake.operators.ranks import exact_quantiles
-from weatherlake.operators.windows import Block, running
+from weatherlake.operators.windows import running
 
 YEAR = 252.0
 SignalRule = Callable[[DataFrame], DataFrame]
@@ -243,12 +243,12 @@ def risk_parity(returns: DataFrame, groups: Sequence[str], instrument: str, r: s
 
 
 def trade_log_pnl(
-    log: DataFrame, keys: Sequence[str], block: Block, order: Sequence[str], pnl: str, capital: float
+    log: DataFrame, keys: Sequence[str], order: Sequence[str], pnl: str, capital: float
 ) -> DataFrame:
-    """Metrics of an equity path built from trade results; accounts may be of any length (block scans)."""
-    path = running(log, keys, block, order, {"_sum": ("sum", F.col(pnl))}, keep_blocks=True)
+    """Metrics of an equity path built from trade results; accounts may be of any length (range scans)."""
+    path = running(log, keys, order, {"_sum": ("sum", F.col(pnl))}, keep_ranges=True)
     path = path.withColumn("equity", F.col("_sum") + capital)
-    path = running(path, keys, None, order, {"_top": ("max", F.col("equity"))})
+    path = running(path, keys, order, {"_top": ("max", F.col("equity"))}, ranged=True)
     before = F.col("equity") - F.col(pnl)
     peak = F.greatest("_top", F.lit(capital))
     path = path.withColumns(

@@ -105,6 +105,24 @@ def nearest(
     return grid.select(*by, "i", "j", "v").join(p, ["i", "j"]).select(*by, "id", F.col("v").alias("value"))
 
 
+def regrid_to_resolution(grid: DataFrame, resolution: float, by: Sequence[str] = ("time",), method: str = "bilinear") -> DataFrame:
+    """(by, i, j, lat, lon, value): every frame on a regular grid of ``resolution`` degrees over the data's own extent.
+
+    Both axes come from one aggregate of the data (six numbers); ``method`` is bilinear (edges included) or nearest.
+    """
+    src_lat, src_lon = data_axes(grid)
+    lat = Axis.spanning(src_lat.start, src_lat.start + src_lat.step * (src_lat.n - 1), resolution)
+    lon = Axis.spanning(src_lon.start, src_lon.start + src_lon.step * (src_lon.n - 1), resolution)
+    target = regular_grid(grid.sparkSession, lat, lon)
+    if method == "bilinear":
+        got = bilinear(grid, target, src_lat, src_lon, by, include_edge=True)
+    elif method == "nearest":
+        got = nearest(grid, target, src_lat.values(), src_lon.values(), by)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return got.join(target, "id").select(*by, "i", "j", "lat", "lon", "value")
+
+
 def conservative(
     grid: DataFrame, src_lat: Axis, src_lon: Axis, lat: Axis, lon: Axis, by: Sequence[str] = ("time",)
 ) -> DataFrame:
@@ -142,27 +160,36 @@ def _derivative(v: str, x: str, w) -> Column:
     return F.when(hs.isNull(), (b - f) / hd).when(hd.isNull(), (f - a) / hs).otherwise(inner)
 
 
-def _per_km(keys: Sequence[str]):
-    """Windows along one row and one column of a frame: bounded by the axis lengths."""
+def _per_km(keys: Sequence[str], dx_km: float | None):
+    """Windows along one row and one column of a frame (bounded by the axis lengths), and km per unit of lon and lat.
+
+    With ``dx_km`` a degree is that many km in both directions, without the shrinking towards the poles.
+    """
     along_lon = Window.partitionBy(*keys, "lat").orderBy("lon")
     along_lat = Window.partitionBy(*keys, "lon").orderBy("lat")
+    if dx_km is not None:
+        if dx_km <= 0:
+            raise ValueError("dx_km must be positive")
+        return along_lon, along_lat, F.lit(float(dx_km)), F.lit(float(dx_km))
     dx = F.cos(F.radians("lat")) * KM_PER_DEGREE
-    return along_lon, along_lat, F.when(F.abs(dx) > 1e-6, dx).otherwise(1e-6)
+    return along_lon, along_lat, F.when(F.abs(dx) > 1e-6, dx).otherwise(1e-6), F.lit(KM_PER_DEGREE)
 
 
-def gradient(grid: DataFrame, keys: Sequence[str] = ("time",), v: str = "v") -> DataFrame:
-    along_lon, along_lat, dx = _per_km(keys)
+def gradient(grid: DataFrame, keys: Sequence[str] = ("time",), v: str = "v", dx_km: float | None = None) -> DataFrame:
+    along_lon, along_lat, dx, dy = _per_km(keys, dx_km)
     g = grid.withColumn("d_dx", _derivative(v, "lon", along_lon) / dx).withColumn(
-        "d_dy", _derivative(v, "lat", along_lat) / KM_PER_DEGREE
+        "d_dy", _derivative(v, "lat", along_lat) / dy
     )
     return g.withColumn("magnitude", F.sqrt(F.col("d_dx") ** 2 + F.col("d_dy") ** 2)).withColumn(
         "direction", F.atan2("d_dy", "d_dx")
     )
 
 
-def divergence(grid: DataFrame, keys: Sequence[str] = ("time",), u: str = "u", v: str = "v") -> DataFrame:
-    along_lon, along_lat, dx = _per_km(keys)
-    d = _derivative(u, "lon", along_lon) / dx + _derivative(v, "lat", along_lat) / KM_PER_DEGREE
+def divergence(
+    grid: DataFrame, keys: Sequence[str] = ("time",), u: str = "u", v: str = "v", dx_km: float | None = None
+) -> DataFrame:
+    along_lon, along_lat, dx, dy = _per_km(keys, dx_km)
+    d = _derivative(u, "lon", along_lon) / dx + _derivative(v, "lat", along_lat) / dy
     return grid.withColumn("divergence", d).withColumn("convergence", -F.col("divergence"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from weatherlake.functions import thermal
 from weatherlake.operators.asof import asof
-from weatherlake.operators.windows import days
 
 FREEZE_K = 273.15
 
@@ -55,7 +54,7 @@ def earlier_value(
     """The value known ``seconds`` before each row (as-of), for tendencies and 24-hour drops."""
     back = F.timestamp_micros(F.unix_micros(ts) - seconds * 1_000_000)
     r = df.select(*keys, ts, tie, F.col(value).alias(out))
-    return asof(df, r, keys, back, F.col(ts), [out], block=days, tie=[tie])
+    return asof(df, r, keys, back, F.col(ts), [out], tie=[tie], long=True)
 
 
 def farm_output(df: DataFrame, keys: Sequence[str], power: str, capacity: str) -> DataFrame:

@@ -7,22 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import Block, daily, running
+from weatherlake.operators.windows import daily, running
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Block | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, long: bool = False
 ) -> DataFrame:
     """Add ``_flag`` and ``_run``: the number of unflagged rows so far, constant inside a run.
 
-    Without ``block`` the frame must be daily; with it, raw rows of any length are scanned in blocks.
+    Without ``long`` the frame must be daily; with it, raw rows of any length are scanned in ranges.
     """
     df = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     off = F.when(F.col("_flag"), 0).otherwise(1)
-    if block is None:
+    if not long:
         w = daily(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn("_run", F.sum(off).over(w))
-    return running(df, keys, block, order, {"_run": ("sum", off)})
+    return running(df, keys, order, {"_run": ("sum", off)})
 
 
 def in_long_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, at_least: int) -> DataFrame:
@@ -33,9 +33,9 @@ def in_long_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag:
 
 
 def longest_run(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, block: Block | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, long: bool = False
 ) -> DataFrame:
     """Longest flagged run per key (0 when none); both steps are partial aggregates."""
-    m = mark_runs(df, keys, order, flag, block)
+    m = mark_runs(df, keys, order, flag, long)
     per_run = m.groupBy(*keys, "_run").agg(F.count_if("_flag").alias("_len"))
     return per_run.groupBy(*keys).agg(F.max("_len").alias("longest_run"))

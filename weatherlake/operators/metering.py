@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import Block, running
+from weatherlake.operators.windows import running
 
 # Bookkeeping actions that are never billed.
 INTERNAL_ACTIONS = (
@@ -56,31 +56,30 @@ def api_calls(
 
 
 def feed_sessions(
-    events: DataFrame, keys: Sequence[str], block: Callable[[Column], Block], tie: str, connect: str = "feed.connect", disconnect: str = "feed.disconnect"
+    events: DataFrame, keys: Sequence[str], tie: str, connect: str = "feed.connect", disconnect: str = "feed.disconnect"
 ) -> DataFrame:
     """First-in first-out connect/disconnect pairs per key, ignoring disconnects with nothing open.
 
     The open count is a walk of +1 / -1 steps that cannot fall under zero. With S its free sum and M the
     running minimum of S, max(0, -M) disconnects have been ignored so far, so the matched number of a
     disconnect is (disconnects so far) - max(0, -M); an ignored one repeats the number before it. Two
-    block scans and an equality join on the number replace the per-session queue.
+    range scans and an equality join on the number replace the per-session queue.
     """
     up = F.col("action") == connect
     x = events.filter(F.col("action").isin(connect, disconnect)).select(*keys, "ts", tie, "action")
-    order, blk = ["ts", tie], block(F.col("ts"))
+    order = ["ts", tie]
     x = running(
         x,
         keys,
-        blk,
         order,
         {
             "_s": ("sum", F.when(up, 1).otherwise(-1)),
             "_c": ("sum", F.when(up, 1).otherwise(0)),
             "_d": ("sum", F.when(up, 0).otherwise(1)),
         },
-        keep_blocks=True,
+        keep_ranges=True,
     )
-    x = running(x, keys, None, order, {"_m": ("min", F.col("_s"))})
+    x = running(x, keys, order, {"_m": ("min", F.col("_s"))}, ranged=True)
     opened = x.filter(up).select(*keys, F.col("_c").alias("n"), F.col("ts").alias("connected"))
     number = F.col("_d") - F.greatest(-F.col("_m"), F.lit(0))
     closed = (

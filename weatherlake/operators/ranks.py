@@ -1,7 +1,7 @@
 """Ranks, exact quantiles and counts below a value, without a single sorted partition.
 
 Equal values are counted first (map-side combined), so a value shared by a third of all rows is one
-row; the distinct values are then scanned in log-scale blocks.
+row; the distinct values are then scanned in ranges.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import running, values
+from weatherlake.operators.windows import running
 
 
 def cumulative_counts(
@@ -27,7 +27,7 @@ def cumulative_counts(
     for n in weights:
         specs[f"{n}_le"] = ("sum", F.col(n))
         specs[f"{n}_all"] = ("total", F.col(n))
-    return running(per_value, keys, values(F.col(value)), [value], specs)
+    return running(per_value, keys, [value], specs)
 
 
 def percentile_rank(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weatherlake.operators.windows import POS, Block, number_rows
+from weatherlake.operators.windows import POS, number_rows
 
 INCIDENT_ACTIONS = ("metering.s1", "metering.suspend", "metering.block_invoice")
 CYCLE_SECONDS = 86_400
@@ -85,13 +85,13 @@ def incidents(audit: DataFrame, actions: Sequence[str] = INCIDENT_ACTIONS, limit
     return x.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit).select("ts", "tenant_id", "action", summary.alias("summary"))
 
 
-def signal_batches(signals: DataFrame, block: Block, order: Sequence[str], fields: Sequence[str], part_size: int = 1000) -> DataFrame:
+def signal_batches(signals: DataFrame, order: Sequence[str], fields: Sequence[str], part_size: int = 1000) -> DataFrame:
     """One JSON document per cycle with its signals in time order.
 
     A cycle with more than ``part_size`` signals becomes several numbered parts, so no document and no
     task holds an unbounded group.
     """
-    n = number_rows(signals, ["forecast_cycle_id"], block, order)
+    n = number_rows(signals, ["forecast_cycle_id"], order)
     n = n.withColumn("part", F.floor((F.col(POS) - 1) / part_size))
     item = F.struct(POS, *[F.col(f) for f in fields])
     g = n.groupBy("forecast_cycle_id", "part").agg(

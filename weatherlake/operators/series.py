@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from weatherlake.operators.windows import POS, Block, over_tiles, trailing
+from weatherlake.operators.windows import PLACE, POS, RANGE, left_join, over_tiles, sorted_ranges, trailing
+from weatherlake.session import materialise
 
 LAGS = (1, 3, 6, 12, 24, 48, 72, 168)
 WINDOWS = (6, 12, 24, 48, 168)
@@ -143,7 +146,6 @@ def full_mean_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
 def features(
     df: DataFrame,
     keys: Sequence[str],
-    block: Block,
     order: Sequence[str],
     variables: Sequence[str],
     stats: Sequence[str] = ("lag", "window", "trend", "anomaly", "rolling"),
@@ -167,64 +169,121 @@ def features(
         return x
 
     reach = max([*(lags if "lag" in stats else []), *[w - 1 for w in windows], 1])
-    return over_tiles(df, keys, block, order, build, before=reach, size=LENGTH).drop(LENGTH)
+    return over_tiles(df, keys, order, build, before=reach, size=LENGTH).drop(LENGTH)
 
 
 def ema(
-    df: DataFrame, keys: Sequence[str], block: Block, order: Sequence[str], v: str, spans: Sequence[int] = EMA_SPANS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], variables: str | Sequence[str], spans: Sequence[int] = EMA_SPANS
 ) -> DataFrame:
-    """Exponential moving averages with alpha = 2 / (span + 1), seeded with the first value.
-
-    Assumption: the smoothing kernel of the original library is external; this is its usual form.
-    The weight of a row decays by (1 - alpha) per step, so after 40 / -ln(1 - alpha) rows it is below
-    5e-18, under double rounding. A tile with that halo therefore equals the full recursion, and
-    inside a tile the recursion is a scaled running sum, which stays in the JVM. Tiles are sized so
-    that the scale factor cannot overflow. Rows with a NULL value take no part in the smoothing and stay in
-    the result with NULL averages.
+    """Exponential moving averages with alpha = 2 / (span + 1), seeded with a series' first value.
+
+    Assumption: the smoothing kernel of the original library is external; this is its usual form. A row is the
+    affine map y -> (1 - alpha) y + alpha x of the average before it, a NULL row the identity, and a series' first
+    value the constant x. Ranges of rows are scanned by composing maps (all variables and spans at once), seeded with
+    the first value they hold. A series that goes on from an earlier range was seeded wrongly by some amount, of which
+    (1 - alpha) ** n is left after n values: that much is added when the ends of the ranges before it, composed in
+    order, are known. Rows with a NULL value stay in the result with NULL averages.
     """
-    gaps = df.filter(F.col(v).isNull())
-    df = df.filter(F.col(v).isNotNull())
-    for group in _compatible(spans):
-        decay = {s: -math.log(1 - 2 / (s + 1)) for s in group}
-        halo = math.ceil(40 / min(decay.values()))
-        tile = max(math.floor(660 / max(decay.values())) - halo, halo)
-
-        def build(x: DataFrame, w: WindowSpec, group=group, decay=decay) -> DataFrame:
-            k = (F.col(POS) - F.first(POS).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("double")
-            x = x.withColumn("_k", k)
-            cols = {}
-            for s in group:
-                alpha = 2 / (s + 1)
-                term = F.when(F.col("_k") == 0, F.col(v)).otherwise(
-                    F.lit(alpha) * F.col(v) * F.exp(F.col("_k") * decay[s])
-                )
-                acc = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                cols[f"{v}_ema_{s}"] = acc * F.exp(-F.col("_k") * decay[s])
-            return x.withColumns(cols).drop("_k")
-
-        df = over_tiles(df, keys, block, order, build, before=halo, tile=tile)
-    return df.unionByName(gaps, allowMissingColumns=True)
-
-
-def _compatible(spans: Sequence[int]) -> list[list[int]]:
-    """Group spans whose tiles fit one overflow-free size; very different spans get their own pass."""
-    groups: list[list[int]] = []
-    for s in sorted(spans):
-        for g in groups:
-            both = [*g, s]
-            d = [-math.log(1 - 2 / (x + 1)) for x in both]
-            if 660 / max(d) >= 2 * math.ceil(40 / min(d)):
-                g.append(s)
-                break
-        else:
-            groups.append([s])
-    return groups
+    names = [variables] if isinstance(variables, str) else list(variables)
+    alphas = [2 / (s + 1) for s in spans]
+    made = [f"{v}_ema_{s}" for v in names for s in spans]
+    seen = [f"_seen_{v}" for v in names]
+    src = sorted_ranges(df.drop(*made), keys, order)
+    schema = ", ".join([f"`{c}` double" for c in made] + [f"`{c}` long" for c in seen])
+    local = src.mapInArrow(_affine_scan(list(keys), names, alphas, made, seen), StructType([*src.schema.fields, *StructType.fromDDL(schema).fields]))
+    local = materialise(local, "ema-ranges")
+
+    by = [*keys, RANGE]
+    ends = [F.max(c).alias(c) for c in seen]
+    for v in names:
+        at = F.when(F.col(v).isNotNull(), F.col(PLACE))
+        ends += [F.min_by(F.col(v).cast("double"), at).alias(f"_first_{v}"), *[F.max_by(c, at).alias(c) for c in made if c.startswith(f"{v}_ema_")]]
+    part = local.groupBy(*by).agg(*ends).withColumn("_parts", F.count("*").over(Window.partitionBy(*keys)))
+    # keys of several ranges: a range has two at most, the one it begins with and the one it ends with
+    broken = part.filter("_parts > 1").orderBy(RANGE).collect()
+    shifts = _carried([r.asDict() for r in broken], list(keys), names, list(spans))
+    fields = [part.schema[c] for c in by]
+    table = df.sparkSession.createDataFrame(shifts, StructType([*fields, *StructType.fromDDL(", ".join(f"`_shift_{c}` double" for c in made)).fields]))
+    joined = left_join(local, table, by, small=True)
+    mended = {}
+    for v in names:
+        for s, alpha in zip(spans, alphas):
+            c = f"{v}_ema_{s}"
+            left = F.pow(F.lit(1 - alpha), F.col(f"_seen_{v}")) * F.col(f"_shift_{c}")
+            mended[c] = F.when(F.col(v).isNotNull(), F.col(c) + F.coalesce(left, F.lit(0.0)))
+    return joined.withColumns(mended).drop(RANGE, PLACE, *seen, *[f"_shift_{c}" for c in made])
+
+
+def _carried(ends: list[dict], keys: list[str], names: list[str], spans: list[int]) -> list[tuple]:
+    """(keys, range, shifts): by how much the seed of each range of a broken series was wrong. ``ends`` come in the
+    order of the ranges."""
+    state: dict[tuple, dict[str, float]] = {}
+    out = []
+    for r in ends:
+        key = tuple(r[k] for k in keys)
+        before = state.setdefault(key, {})
+        shift = []
+        for v in names:
+            first, n = r[f"_first_{v}"], r[f"_seen_{v}"]
+            for s in spans:
+                c = f"{v}_ema_{s}"
+                wrong = before[c] - first if c in before and first is not None else None
+                shift.append(wrong)
+                if first is not None:
+                    before[c] = r[c] + (wrong * (1 - 2 / (s + 1)) ** n if wrong is not None else 0.0)
+        out.append((*key, r[RANGE], *shift))
+    return out
+
+
+def _affine_scan(keys: list[str], names: list[str], alphas: list[float], made: list[str], seen: list[str]):
+    """Map over sorted rows: the averages of every (key, range), and how many values a row has seen with its own."""
+    decay = np.tile(1 - np.array(alphas), len(names))
+    spread = np.repeat(np.arange(len(names)), len(alphas))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        level, count = np.zeros(len(made)), np.zeros(len(names), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.zeros(b.num_rows, bool)
+            for k in keys:
+                code = b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts[1:] |= code[1:] != code[:-1]
+            first = tuple(b.column(k)[0].as_py() for k in keys)
+            starts[0] = first != key
+            x = np.stack([b.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False) for v in names], 1)
+            there = np.stack([b.column(v).is_valid().to_numpy(zero_copy_only=False) for v in names], 1)
+            total = np.cumsum(there, 0)
+            begin = np.maximum.accumulate(np.where(starts, np.arange(len(x)), 0))
+            n = total - (total - there)[begin] + np.where((np.cumsum(starts) == 0)[:, None], count, 0)
+            scale = np.where(there[:, spread], decay, 1.0)
+            add = np.where(there[:, spread], (1 - decay) * x[:, spread], 0.0)
+            seed = there[:, spread] & (n == 1)[:, spread]
+            add[seed] = x[:, spread][seed]
+            scale[seed] = 0.0
+            scale[starts] = 0.0
+            if not starts[0]:
+                add[0] += scale[0] * level
+                scale[0] = 0.0
+            step = 1
+            while step < len(x) and scale[step:].any():
+                # compose each map with the one of the rows before it; spans of composed rows double
+                add[step:] += scale[step:] * add[:-step]
+                scale[step:] *= scale[:-step]
+                scale[scale < 1e-300] = 0.0
+                step *= 2
+            key, level, count = tuple(b.column(k)[-1].as_py() for k in keys), add[-1], n[-1]
+            shown = there[:, spread]
+            columns = [pa.array(add[:, i], mask=~shown[:, i]) for i in range(len(made))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns, *[pa.array(n[:, i]) for i in range(len(names))]], names=[*b.schema.names, *made, *seen])
+
+    return run
 
 
 def sequences(
     df: DataFrame,
     keys: Sequence[str],
-    block: Block,
     order: Sequence[str],
     columns: Sequence[str],
     length: int = 168,
@@ -237,6 +296,6 @@ def sequences(
         pad = F.array_repeat(F.col("_got")[0], F.lit(length) - F.size("_got"))
         return x.withColumn("sequence", F.concat(pad, F.col("_got"))).drop("_got")
 
-    return over_tiles(df, keys, block, order, build, before=length - 1)
+    return over_tiles(df, keys, order, build, before=length - 1)
 
 

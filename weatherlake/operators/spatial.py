@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weatherlake.functions.geo import KM_PER_DEGREE, haversine
 from weatherlake.functions.tables import COUNTRY_BBOX
+from weatherlake.session import materialise
 
 ALIASES = {"lat": ("latitude", "lat", "y"), "lon": ("longitude", "lon", "x")}
 
@@ -92,6 +94,62 @@ def inside_polygon(lat: Column, lon: Column, vertices: Sequence[tuple[float, flo
     return crossings % 2 == 1
 
 
+def polygon_edges(vertices: DataFrame) -> DataFrame:
+    """Edges (polygon, a_lat, a_lon, b_lat, b_lon) of closed rings from vertex rows (polygon, seq, lat, lon).
+
+    A ring closes itself; vertices without a place are left out, and so are polygons of fewer than three vertices and
+    level edges, which no crossing test needs.
+    """
+    v = vertices.dropna(subset=["polygon", "seq", "lat", "lon"])
+    ring = Window.partitionBy("polygon").orderBy("seq")
+    whole = Window.partitionBy("polygon")
+    here = F.struct("lat", "lon")
+    x = v.select(
+        "polygon",
+        F.col("lat").alias("a_lat"),
+        F.col("lon").alias("a_lon"),
+        F.coalesce(F.lead(here).over(ring), F.first(here).over(ring)).alias("_b"),
+        F.count("*").over(whole).alias("_n"),
+    )
+    x = x.filter("_n >= 3").select("polygon", "a_lat", "a_lon", F.col("_b.lat").alias("b_lat"), F.col("_b.lon").alias("b_lon"))
+    return x.filter("a_lat <> b_lat")
+
+
+def points_in_polygons(points: DataFrame, vertices: DataFrame, per_band: int = 16, cell: float = 5.0) -> DataFrame:
+    """(id, polygon) for every point (id, lat, lon) inside a polygon of the vertex table, by the even-odd rule.
+
+    Points meet the polygons whose box holds them through an equality join on cells of ``cell`` degrees. A polygon's
+    edges lie in latitude bands, as many as give a band about ``per_band`` of them, and a point meets those of its band
+    only: it is inside when an odd number of them crosses the ray to the east. Points at one place are tested once.
+    """
+    edges = polygon_edges(vertices)
+    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
+    box = edges.groupBy("polygon").agg(
+        F.min(low).alias("south"), F.max(high).alias("north"), F.min(F.least("a_lon", "b_lon")).alias("west"),
+        F.max(F.greatest("a_lon", "b_lon")).alias("east"), F.ceil(F.count("*") / per_band).alias("bands"),
+    )
+
+    def band(lat: Column) -> Column:
+        """Never decreasing in the latitude, so an edge's bands are those between its ends'."""
+        at = F.floor((lat - F.col("south")) / (F.col("north") - F.col("south")) * F.col("bands"))
+        return F.greatest(F.least(at, F.col("bands") - 1), F.lit(0))
+
+    grid = lambda x: F.floor(x / cell)
+    tiles = box.withColumn("_r", F.explode(F.sequence(grid(F.col("south")), grid(F.col("north")))))
+    tiles = tiles.withColumn("_c", F.explode(F.sequence(grid(F.col("west")), grid(F.col("east")))))
+    places = points.dropna(subset=["lat", "lon"]).select("lat", "lon").distinct()
+    places = places.withColumns({"_r": grid(F.col("lat")), "_c": grid(F.col("lon"))})
+    inside = in_bbox(F.col("lat"), F.col("lon"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
+    near = places.join(tiles, ["_r", "_c"]).filter(inside).select("lat", "lon", "polygon", band(F.col("lat")).alias("_band"))
+    parts = edges.join(box, "polygon").withColumn("_band", F.explode(F.sequence(band(low), band(high))))
+    parts = parts.select("polygon", "_band", "a_lat", "a_lon", "b_lat", "b_lon")
+    lat, lon = F.col("lat"), F.col("lon")
+    x = F.col("a_lon") + (lat - F.col("a_lat")) * (F.col("b_lon") - F.col("a_lon")) / (F.col("b_lat") - F.col("a_lat"))
+    crossing = ((F.col("a_lat") > lat) != (F.col("b_lat") > lat)) & (lon < x)
+    hits = near.join(parts, ["polygon", "_band"]).filter(crossing).groupBy("lat", "lon", "polygon").agg(F.count("*").alias("_n"))
+    return points.join(hits.filter("_n % 2 = 1").select("lat", "lon", "polygon"), ["lat", "lon"]).select("id", "polygon")
+
+
 def coordinate_report(df: DataFrame) -> DataFrame:
     """One row of NULL and range counts with extreme examples; longitude range is only a warning."""
     lat, lon = F.col("lat"), F.col("lon")
@@ -168,10 +226,8 @@ def cressman(points: DataFrame, obs: DataFrame, radius_km: float = 200.0, by: Se
     return out.withColumn("analysis", F.col("background") + F.coalesce(fix, F.lit(0.0))).drop("_s", "_w")
 
 
-def inverse_distance(
-    points: DataFrame, obs: DataFrame, max_km: float = 20037.6, power: float = 2.0, by: Sequence[str] = ()
-) -> DataFrame:
-    """IDW; a point on an observation takes that value (lowest obs_id). The default radius reaches all."""
+def inverse_distance(points: DataFrame, obs: DataFrame, max_km: float, power: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
+    """IDW over observations up to ``max_km``; a point on an observation takes that value (lowest obs_id)."""
     j = radius_join(points, _at_location(obs, by), max_km, by)
     w = F.when(F.col("d") > 0, F.lit(1.0) / F.pow("d", F.lit(power)))
     g = j.groupBy(*by, "id").agg(
@@ -187,6 +243,29 @@ def nearest_within(points: DataFrame, vertices: DataFrame, max_km: float) -> Dat
     return points.join(g, "id", "left")
 
 
+def nearest(points: DataFrame, vertices: DataFrame, first_km: float = 25.0) -> DataFrame:
+    """Distance to the nearest vertex (o_lat, o_lon), however far, as ``nearest_km``; NULL without vertices.
+
+    Rings grow by two: a round joins the circle of its radius for the points that no smaller circle answered, and keeps
+    one minimum per point. A point so meets about as many vertices as lie within twice the distance of its nearest.
+    Points and vertices at one place are searched once.
+    """
+    v = vertices.dropna(subset=["o_lat", "o_lon"]).select("o_lat", "o_lon").distinct()
+    open_places = materialise(points.dropna(subset=["lat", "lon"]).select("lat", "lon").distinct(), "ring-points")
+    found, radius, half = [], first_km, math.pi * 6371.0
+    while True:
+        hit = radius_join(open_places, v, min(radius, half * 1.001)).groupBy("lat", "lon").agg(F.min("d").alias("nearest_km"))
+        hit = materialise(hit, "ring-hits")
+        found.append(hit)
+        if radius >= half:
+            break
+        open_places = materialise(open_places.join(hit, ["lat", "lon"], "left_anti"), "ring-points")
+        if open_places.isEmpty():
+            break
+        radius *= 2
+    return points.join(reduce(DataFrame.unionAll, found), ["lat", "lon"], "left").select(*points.columns, "nearest_km")
+
+
 def weighted_to_target(
     df: DataFrame, keys: Sequence[str], value: str, lat0: float, lon0: float, max_km: float = 500.0, power: float = 2.0
 ) -> DataFrame:

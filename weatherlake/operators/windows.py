@@ -2,49 +2,32 @@
 
 A plain ``Window.partitionBy(series).orderBy(ts)`` sends a whole series to one task. That is right
 for daily frames (one row per key and day: a century is 36,525 rows) and wrong for raw observations.
-For raw rows two kernels are used; both need a ``block`` column that never decreases along the order
-(``days`` for time series, ``values`` for numeric order). A block may itself be hot, so blocks over
-``HOT_ROWS`` rows are split further along the order:
-
-``running``     prefix aggregates: block totals (map-side combined) -> carry per block -> row window
-                inside (key, block). The frame of block totals has one row per key and block.
-``over_tiles``  bounded ROWS frames: global row position from ``running``, equal tiles of positions,
-                the last ``before`` rows of a tile copied into the next one.
+Raw rows are range-partitioned once by (key, order) instead, so that a hot key, a burst or a single
+timestamp is cut anywhere its tie columns allow; ranges have near-equal numbers of rows by Spark's
+sampling. The ranges are written once with each row's range and place, which the steps after that
+build on:
+
+``running``     prefix aggregates: totals per (key, range), a carry for keys that go on in the next
+                range (at most one per range), rows windowed inside (key, range).
+``over_tiles``  bounded ROWS frames: the row number is the place in the range plus the carry; equal
+                tiles of row numbers, with the last ``before`` rows of a tile copied into the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from weatherlake.session import materialise
+
 POS = "_pos"
 TILE = "_tile"
-HOT_ROWS = 500_000
-PARTS = 64  # of a crowded block
-
-
-@dataclass(frozen=True)
-class Block:
-    """Coarse monotone bucket of the order, and the number that splits a bucket with too many rows."""
-
-    coarse: Column
-    fine: Column
-
-
-def days(ts: str | Column) -> Block:
-    """Calendar days; a crowded day is split by microseconds."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return Block(F.to_date(c), F.unix_micros(c.cast("timestamp")))
-
-
-def values(x: Column) -> Block:
-    """Log-scale buckets of a number; a crowded bucket is split by the number itself."""
-    return Block(value_block(x), x)
+#: Range of a row, and its place in the range.
+RANGE, PLACE = "_range", "_place"
 
 
 def daily(keys: Sequence[str], ts: str, *tie: str) -> WindowSpec:
@@ -56,14 +39,8 @@ def trailing(w: WindowSpec, size: int) -> WindowSpec:
     return w.rowsBetween(-(size - 1), 0)
 
 
-def value_block(x: Column, per_octave: int = 64) -> Column:
-    """Monotone log-scale bucket of a number, so a numeric order can be cut without statistics."""
-    mag = F.floor(F.log(F.lit(1.0) + F.abs(x) * 1e6) * per_octave)
-    return F.when(x < 0, -mag).otherwise(mag).cast("long")
-
-
-def _total(kind: str, x: Column, order: Column) -> Column:
-    present = F.when(x.isNotNull(), order)
+def _total(kind: str, x: Column) -> Column:
+    present = F.when(x.isNotNull(), F.col(PLACE))
     return {
         "sum": F.sum(x),
         "total": F.sum(x),
@@ -103,112 +80,91 @@ def _merge(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local)
 
 
-def left_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Left join on columns in which NULL equals NULL; the columns appear once."""
+def left_join(left: DataFrame, right: DataFrame, cols: Sequence[str], small: bool = False) -> DataFrame:
+    """Left join on columns in which NULL equals NULL; the columns appear once. ``small`` broadcasts the right side."""
     names = {c: f"_r_{c}" for c in cols}
     renamed = right.withColumnsRenamed(names)
     on = reduce(and_, [left[c].eqNullSafe(renamed[r]) for c, r in names.items()])
-    return left.join(renamed, on, "left").drop(*names.values())
+    return left.join(F.broadcast(renamed) if small else renamed, on, "left").drop(*names.values())
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], block: Block, hot_rows: int | None = None) -> DataFrame:
-    """Add ``_blk`` and ``_sub``: the coarse bucket, and its part when the bucket is crowded (else 0).
+def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows in ranges of (keys, order), sorted, with ``_range`` (ascending) and ``_place`` (in the range, from 0)."""
+    x = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return x.withColumns({RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
 
-    One narrow aggregate counts rows per (key, bucket). Crowded buckets alone are read again for quantiles of
-    the fine order, so parts have near-equal numbers of rows also when rows come in bursts; rows with one and
-    the same order value stay together. Only crowded buckets are joined back: rows / limit entries at most.
-    """
-    hot_rows = hot_rows or HOT_ROWS
-    by = [*keys, "_blk"]
-    x = df.withColumns({"_blk": block.coarse, "_fine": block.fine.cast("double")})
-    n = x.groupBy(*by).agg(F.count("*").alias("_n"))
-    hot = n.filter(F.col("_n") > hot_rows)
-    steps = [i / PARTS for i in range(1, PARTS)]
-    inside = left_join(x.select(*by, "_fine"), hot, by).filter(F.col("_n").isNotNull())
-    cuts = inside.groupBy(*by).agg(F.percentile_approx("_fine", steps, 10 * PARTS).alias("_cuts"))
-    j = left_join(x, cuts, by)
-    sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_fine"))), F.lit(0))
-    return j.withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(sub).cast("long")).drop("_fine", "_cuts")
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``sorted_ranges``, stored: the cut depends on a sample, so every step must read the same one."""
+    return materialise(sorted_ranges(df, keys, order), "ranges")
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    block: Block | None,
     order: Sequence[str],
     specs: dict[str, tuple[str, Column]],
     reverse: bool = False,
-    hot_rows: int | None = None,
-    keep_blocks: bool = False,
+    ranged: bool = False,
+    keep_ranges: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates per ``keys`` in ``order``.
 
     ``specs`` maps an output name to (kind, input); kinds are sum, count, product, max, min, last and
     first (NULLs skipped), plus ``total`` / ``size``: the sum / count over the whole series. With
     ``reverse`` the scan runs from the end, so ``last`` means the next non-NULL value. NULL keys
-    form a series of their own and rows with a NULL order come first; ``order`` must be unique per key. A second scan of the same frame can pass
-    ``block=None`` when the first one kept its blocks.
+    form a series of their own and rows with a NULL order come first; ``order`` must be unique per key. A second
+    scan of the same frame can pass ``ranged`` when the first one kept its ranges.
     """
     names = list(specs)
     ins = {n: f"_in_{n}" for n in names}
-    blk = ["_blk", "_sub"]
-    src = df if block is None else with_blocks(df, keys, block, hot_rows)
-    for n in names:
-        src = src.withColumn(ins[n], specs[n][1])
+    src = df.withColumns({ins[n]: specs[n][1] for n in names})
+    if not ranged:
+        src = in_ranges(src, keys, order)
+    by = [*keys, RANGE]
     flip = {"last": "first", "first": "last"} if reverse else {}
-    point = F.struct(*[F.col(c) for c in order])
-    part = src.groupBy(*keys, *blk).agg(
-        *[_total(flip.get(specs[n][0], specs[n][0]), F.col(ins[n]), point).alias(f"_t_{n}") for n in names]
-    )
-    blk_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in blk]
-    prior = Window.partitionBy(*keys).orderBy(*blk_order).rowsBetween(Window.unboundedPreceding, -1)
+    part = src.groupBy(*by).agg(*[_total(flip.get(specs[n][0], specs[n][0]), F.col(ins[n])).alias(f"_t_{n}") for n in names])
+    direction = lambda c: F.col(c).desc() if reverse else F.col(c).asc()
+    prior = Window.partitionBy(*keys).orderBy(direction(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carry = part.select(
-        *keys,
-        *blk,
-        *[
-            (
-                F.sum(f"_t_{n}").over(whole)
-                if specs[n][0] in ("total", "size")
-                else _over(specs[n][0], F.col(f"_t_{n}"), prior)
-            ).alias(f"_c_{n}")
-            for n in names
-        ],
-    )
-    direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    inside = (
-        Window.partitionBy(*keys, *blk).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = left_join(src, carry, [*keys, *blk])
+    overall = [n for n in names if specs[n][0] in ("total", "size")]
+    columns = [(F.sum(f"_t_{n}").over(whole) if n in overall else _over(specs[n][0], F.col(f"_t_{n}"), prior)).alias(f"_c_{n}") for n in names]
+    carry = part.select(*by, *columns, F.count("*").over(prior).alias("_before"))
+    if not overall:
+        # only keys that began in another range: one per range at most, so the table is small at any size
+        carry = carry.filter("_before > 0")
+    joined = left_join(src, carry.drop("_before"), by, small=not overall)
+    inside = Window.partitionBy(*by).orderBy(direction(PLACE)).rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
     for n in names:
-        kind = specs[n][0]
-        c = F.col(f"_c_{n}")
-        if kind in ("total", "size"):
-            joined = joined.withColumn(n, c)
+        kind, c = specs[n][0], F.col(f"_c_{n}")
+        if n in overall:
+            out[n] = c
         else:
-            local = (
-                F.count(F.col(ins[n])).over(inside)
-                if kind == "count"
-                else _over(kind, F.col(ins[n]), inside)
-            )
-            joined = joined.withColumn(n, _merge(kind, c, local))
-    return joined.drop(*([] if keep_blocks else blk), *ins.values(), *[f"_c_{n}" for n in names])
+            local = F.count(F.col(ins[n])).over(inside) if kind == "count" else _over(kind, F.col(ins[n]), inside)
+            out[n] = _merge(kind, c, local)
+    return joined.withColumns(out).drop(*([] if keep_ranges else [RANGE, PLACE]), *ins.values(), *[f"_c_{n}" for n in names])
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], block: Block, order: Sequence[str], size: str | None = None
-) -> DataFrame:
-    """Add ``_pos`` (1-based row number per key), and the series length when ``size`` names it."""
-    specs: dict[str, tuple[str, Column]] = {POS: ("count", F.lit(1))}
-    if size:
-        specs[size] = ("size", F.lit(1))
-    return running(df, keys, block, order, specs)
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str | None = None) -> DataFrame:
+    """Add ``_pos`` (1-based row number per key), and the series length when ``size`` names it.
+
+    No sort beyond that of the ranges: a row's number is its place less the key's first place in the range, plus the
+    key's rows in earlier ranges.
+    """
+    src = in_ranges(df, keys, order)
+    by = [*keys, RANGE]
+    prior = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    part = src.groupBy(*by).agg(F.min(PLACE).alias("_first"), F.count("*").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(prior), F.lit(0)) - F.col("_first") + 1
+    total = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
+    joined = left_join(src, part.select(*by, offset.alias("_offset"), *total), by)
+    return joined.withColumn(POS, F.col(PLACE) + F.col("_offset")).drop("_offset", RANGE, PLACE)
 
 
 def over_tiles(
     df: DataFrame,
     keys: Sequence[str],
-    block: Block,
     order: Sequence[str],
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int = 0,
@@ -222,7 +178,7 @@ def over_tiles(
     Every task sees at most ``tile + before + after`` rows of a key, whatever the series length.
     """
     tile = max(tile, before, after)
-    numbered = number_rows(df, keys, block, order, size)
+    numbered = number_rows(df, keys, order, size)
     off = (F.col(POS) - 1) % tile
     home = F.floor((F.col(POS) - 1) / tile)
     copies = [home]

@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weatherlake.operators import backtest, ranks
-from weatherlake.operators.windows import days
 from weatherlake.plans.registry import query
 from weatherlake.plans.standins import MARKET, events, market
 
@@ -239,7 +238,7 @@ def pf_trade_log(spark, d):
     log = events(spark, d).select(
         F.col("user_id").alias("account"), "ts", "event_id", (F.col("value") - 50).alias("pnl")
     )
-    return backtest.trade_log_pnl(log, ["account"], days("ts"), ["ts", "event_id"], "pnl", 10000.0)
+    return backtest.trade_log_pnl(log, ["account"], ["ts", "event_id"], "pnl", 10000.0)
 
 
 def paper_orders(spark, d):

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 
 from weatherlake.operators import climate, islands, ranks
-from weatherlake.operators.windows import days
 from weatherlake.plans.registry import query
 from weatherlake.plans.standins import CLIMATE_DAILY, OBS, OBS_DAILY, climate_daily, obs, obs_daily
 
@@ -93,7 +92,7 @@ def ts_heatwave_days(spark, d):
 )
 def ts_longest_run(spark, d):
     return islands.longest_run(
-        obs(spark, d), ["station"], ["ts", "event_id"], F.col("temp_c") > 2, days("ts")
+        obs(spark, d), ["station"], ["ts", "event_id"], F.col("temp_c") > 2, long=True
     )
 
 

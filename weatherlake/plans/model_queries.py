@@ -280,18 +280,45 @@ def boosted_frame(spark, d):
     )
 
 
+BOOSTED = ["t1", "t2", "p1", "doy"]
+
+
+def boosted_models(spark, d, targets):
+    """Fitted to the years before 1998, stopped by 1998; later years are free for residuals and forecasts."""
+    f = boosted_frame(spark, d)
+    return models.boosted_fit(f.filter(F.year("d") < 1998), f.filter(F.year("d") == 1998), BOOSTED, targets)
+
+
 @query("ml_boosted_importance", "O-ML-03")
 def ml_boosted_importance(spark, d):
-    x = ["t1", "t2", "p1", "doy"]
-    fitted = models.boosted_fit(boosted_frame(spark, d).filter(F.year("d") < 1999), x, ["t", "precip"])
-    return models.feature_importance(spark, fitted, x)
+    return models.feature_importance(spark, boosted_models(spark, d, ["t", "precip"]), BOOSTED)
+
+
+def boosted_forecast(spark, d):
+    f = boosted_frame(spark, d)
+    model = boosted_models(spark, d, ["t"])["t"]
+    known = model.transform(f.filter(F.year("d") == 1999))
+    return models.boosted_predict(model, f.filter(F.year("d") > 1999), known, "region", "t")
 
 
 @query("ml_boosted_forecast", "O-ML-03")
 def ml_boosted_forecast(spark, d):
-    x = ["t1", "t2", "p1", "doy"]
-    f = boosted_frame(spark, d)
-    model = models.boosted_fit(f.filter(F.year("d") < 1999), x, ["t"])["t"]
-    val = model.transform(f.filter(F.year("d") == 1999))
-    out = models.boosted_predict(model, f.filter(F.year("d") > 1999), val, "region", "t")
-    return out.select("region", "d", "t", "yhat", "q10", "q25", "q50", "q75", "q90")
+    return boosted_forecast(spark, d).select("region", "d", "t", "yhat", "q10", "q25", "q50", "q75", "q90")
+
+
+@query(
+    "ml_boosted_invariants",
+    "O-ML-03",
+    f"""with x as (select region, d, t, lag(t, 1) over w as t1, lag(t, 2) over w as t2, lag(precip, 1) over w as p1 from {CLIMATE_DAILY} window w as (partition by region order by d))
+ select region, count(*) as n, min(cast(d as varchar)) as first_day, sum(t) as t, true as ordered from x
+ where year(d) > 1999 and t1 is not null and t2 is not null and p1 is not null group by 1""",
+    {"t": 6},
+)
+def ml_boosted_invariants(spark, d):
+    """What holds of the forecasts whatever the trees: a row for every day with features, quantiles in order."""
+    x = boosted_forecast(spark, d)
+    qs = ["q10", "q25", "q50", "q75", "q90"]
+    ordered = F.bool_and(F.expr(" and ".join(f"{a} <= {b}" for a, b in zip(qs, qs[1:]))))
+    return x.groupBy("region").agg(
+        F.count("*").alias("n"), F.min(F.date_format("d", "yyyy-MM-dd")).alias("first_day"), F.sum("t").alias("t"), ordered.alias("ordered")
+    )

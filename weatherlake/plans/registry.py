@@ -43,3 +43,12 @@ def query(name: str, covers: str, sql: str | None = None, rounds: dict[str, int]
         return run
 
     return deco
+
+
+def also(name: str, of: str) -> None:
+    """A second name of a registered query."""
+    if name in QUERIES:
+        raise ValueError(f"duplicate query {name}")
+    QUERIES[name], COVERS[name] = QUERIES[of], COVERS[of]
+    if of in SQL:
+        SQL[name] = SQL[of]

@@ -3,17 +3,12 @@
 from pyspark.sql import functions as F
 
 from weatherlake.operators import series
-from weatherlake.operators.windows import days
-from weatherlake.plans.registry import query
+from weatherlake.plans.registry import also, query
 from weatherlake.plans.standins import OBS, obs
 
 KEYS, ORDER = ["station"], ["ts", "event_id"]
 
 
-def _day():
-    return days("ts")
-
-
 _W = "partition by station order by ts, event_id"
 
 
@@ -34,7 +29,7 @@ def _src(spark, d):
     {f"temp_c_lag_{k}": 9 for k in series.LAGS},
 )
 def ts_lags(spark, d):
-    out = series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("lag",), windows=())
+    out = series.features(_src(spark, d), KEYS, ORDER, ["temp_c"], stats=("lag",), windows=())
     return out.drop("station", "ts", "temp_c")
 
 
@@ -51,52 +46,11 @@ def _roll_sql(k):
     {f"temp_c_roll{n}_{k}": 7 for k in series.WINDOWS for n in ("mean", "std", "min", "max")},
 )
 def ts_rolling_stats(spark, d):
-    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("window",)).drop(
+    return series.features(_src(spark, d), KEYS, ORDER, ["temp_c"], stats=("window",)).drop(
         "station", "ts", "temp_c"
     )
 
 
-@query(
-    "ts_rolling_trend",
-    "O-TS-03",
-    "select event_id, "
-    + ", ".join(
-        f"case when count(*) over ({_f(k)}) = {k} then regr_slope(temp_c, rn) over ({_f(k)}) end as temp_c_trend_{k}"
-        for k in (6, 24, 48)
-    )
-    + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})",
-    {f"temp_c_trend_{k}": 6 for k in (6, 24, 48)},
-)
-def ts_rolling_trend(spark, d):
-    return series.features(
-        _src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("trend",), windows=(6, 24, 48)
-    ).drop("station", "ts", "temp_c")
-
-
-def _z_sql(k):
-    gate = f"count(*) over (partition by station) >= {k} and count(temp_c) over ({_f(k)}) >= {max(1, k // 2)}"
-    return (
-        f"case when {gate} then (temp_c - avg(temp_c) over ({_f(k)})) / nullif(stddev_samp(temp_c) over ({_f(k)}), 0)"
-        f" end as temp_c_anomaly_{k}"
-    )
-
-
-@query(
-    "ts_rolling_zscore",
-    "O-TS-04",
-    "select *, "
-    + ", ".join(f"coalesce(abs(temp_c_anomaly_{k}) > 3, false) as temp_c_is_anomaly_{k}" for k in (12, 24))
-    + " from (select event_id, "
-    + ", ".join(_z_sql(k) for k in (12, 24))
-    + f" from {OBS})",
-    {f"temp_c_anomaly_{k}": 6 for k in (12, 24)},
-)
-def ts_rolling_zscore(spark, d):
-    return series.features(
-        _src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("anomaly",), windows=(12, 24)
-    ).drop("station", "ts", "temp_c")
-
-
 @query(
     "ts_ema",
     "O-TS-05",
@@ -108,107 +62,19 @@ def ts_rolling_zscore(spark, d):
     {f"temp_c_ema_{k}": 6 for k in series.EMA_SPANS},
 )
 def ts_ema(spark, d):
-    return series.ema(_src(spark, d), KEYS, _day(), ORDER, "temp_c").drop("station", "ts", "temp_c")
-
-
-@query(
-    "ts_full_mean",
-    "O-TS-06",
-    "select event_id, "
-    + ", ".join(
-        f"case when count(temp_c) over ({_f(k)}) = {k} then avg(temp_c) over ({_f(k)}) end as temp_c_rolling_{k}"
-        for k in (6, 12, 48)
-    )
-    + f" from {OBS}",
-    {f"temp_c_rolling_{k}": 7 for k in (6, 12, 48)},
-)
-def ts_full_mean(spark, d):
-    return series.features(
-        _src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("rolling",), windows=(6, 12, 48)
-    ).drop("station", "ts", "temp_c")
-
-
-_WIDE = [
-    ("temp_c", "lag_1", f"lag(temp_c, 1) over ({_W})"),
-    ("temp_c", "lag_24", f"lag(temp_c, 24) over ({_W})"),
-    ("precip", "lag_1", f"lag(precip, 1) over ({_W})"),
-    ("precip", "lag_24", f"lag(precip, 24) over ({_W})"),
-]
-
-
-@query(
-    "ts_feature_builder",
-    "O-TS-07",
-    "select event_id, "
-    + ", ".join(f"{sql} as {v}_{n}" for v, n, sql in _WIDE)
-    + ", "
-    + ", ".join(
-        f"case when count(*) over (partition by station) >= 24 and count({v}) over ({_f(24)}) >= 12 then {fn}({v}) over"
-        f" ({_f(24)}) end as {v}_roll{n}_24"
-        for v in ("temp_c", "precip")
-        for n, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))
-    )
-    + ", "
-    + ", ".join(
-        f"case when count(*) over ({_f(24)}) = 24 then regr_slope({v}, rn) over ({_f(24)}) end as {v}_trend_24,"
-        f" case when count({v}) over ({_f(24)}) = 24 then avg({v}) over ({_f(24)}) end as {v}_rolling_24"
-        for v in ("temp_c", "precip")
-    )
-    + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})",
-    {
-        f"{v}_{n}": 6
-        for v in ("temp_c", "precip")
-        for n in (
-            "lag_1",
-            "lag_24",
-            "rollmean_24",
-            "rollstd_24",
-            "rollmin_24",
-            "rollmax_24",
-            "trend_24",
-            "rolling_24",
-        )
-    },
-)
-def ts_feature_builder(spark, d):
-    src = obs(spark, d).select("event_id", "station", "ts", "temp_c", "precip")
-    return series.features(
-        src,
-        KEYS,
-        _day(),
-        ORDER,
-        ["temp_c", "precip"],
-        stats=("lag", "window", "trend", "rolling"),
-        lags=(1, 24),
-        windows=(24,),
-    ).drop("station", "ts", "temp_c", "precip")
+    return series.ema(_src(spark, d), KEYS, ORDER, "temp_c").drop("station", "ts", "temp_c")
 
 
-@query(
-    "ts_sequences",
-    "O-TS-22",
-    f"""select event_id, cast(24 as int) as n, first_value(temp_c) over ({_f(24)}) as head, temp_c as tail,
- sum(temp_c) over ({_f(24)}) + (24 - count(*) over ({_f(24)})) * first_value(temp_c) over ({_f(24)}) as total
- from {OBS}""",
-    {"head": 9, "tail": 9, "total": 6},
-)
-def ts_sequences(spark, d):
-    s = series.sequences(_src(spark, d), KEYS, _day(), ORDER, ["ts", "temp_c"], length=24)
-    v = F.transform("sequence", lambda x: x["temp_c"])
-    return s.select(
-        "event_id",
-        F.size("sequence").alias("n"),
-        F.element_at(v, 1).alias("head"),
-        F.element_at(v, -1).alias("tail"),
-        F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"),
+def _z_sql(k):
+    gate = f"count(*) over (partition by station) >= {k} and count(temp_c) over ({_f(k)}) >= {max(1, k // 2)}"
+    return (
+        f"case when {gate} then (temp_c - avg(temp_c) over ({_f(k)})) / nullif(stddev_samp(temp_c) over ({_f(k)}), 0)"
+        f" end as temp_c_anomaly_{k}"
     )
 
 
-# The queries above with fewer windows, lags or rows keep their SQL; these five run the operators with all of them.
-
-
 @query(
-    "ts_rolling_trend_all",
+    "ts_rolling_trend",
     "O-TS-03",
     "select event_id, "
     + ", ".join(
@@ -218,12 +84,12 @@ def ts_sequences(spark, d):
     + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})",
     {f"temp_c_trend_{k}": 6 for k in series.WINDOWS},
 )
-def ts_rolling_trend_all(spark, d):
-    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("trend",)).drop("station", "ts", "temp_c")
+def ts_rolling_trend(spark, d):
+    return series.features(_src(spark, d), KEYS, ORDER, ["temp_c"], stats=("trend",)).drop("station", "ts", "temp_c")
 
 
 @query(
-    "ts_rolling_zscore_all",
+    "ts_rolling_zscore",
     "O-TS-04",
     "select *, "
     + ", ".join(f"coalesce(abs(temp_c_anomaly_{k}) > 3, false) as temp_c_is_anomaly_{k}" for k in series.WINDOWS)
@@ -232,12 +98,12 @@ def ts_rolling_trend_all(spark, d):
     + f" from {OBS})",
     {f"temp_c_anomaly_{k}": 6 for k in series.WINDOWS},
 )
-def ts_rolling_zscore_all(spark, d):
-    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("anomaly",)).drop("station", "ts", "temp_c")
+def ts_rolling_zscore(spark, d):
+    return series.features(_src(spark, d), KEYS, ORDER, ["temp_c"], stats=("anomaly",)).drop("station", "ts", "temp_c")
 
 
 @query(
-    "ts_full_mean_all",
+    "ts_full_mean",
     "O-TS-06",
     "select event_id, "
     + ", ".join(
@@ -247,8 +113,8 @@ def ts_rolling_zscore_all(spark, d):
     + f" from {OBS}",
     {f"temp_c_rolling_{k}": 7 for k in series.WINDOWS},
 )
-def ts_full_mean_all(spark, d):
-    return series.features(_src(spark, d), KEYS, _day(), ORDER, ["temp_c"], stats=("rolling",)).drop("station", "ts", "temp_c")
+def ts_full_mean(spark, d):
+    return series.features(_src(spark, d), KEYS, ORDER, ["temp_c"], stats=("rolling",)).drop("station", "ts", "temp_c")
 
 
 _VARIABLES = ("temp_c", "precip")
@@ -273,7 +139,7 @@ def _ema_sql():
 
 
 @query(
-    "ts_feature_builder_all",
+    "ts_feature_builder",
     "O-TS-07",
     "select f.*, "
     + ", ".join(
@@ -283,7 +149,7 @@ def _ema_sql():
     + ", ".join(x for v in _VARIABLES for x in _every_sql(v))
     + f" from (select *, cast(row_number() over ({_W}) as double) as rn from {OBS})) f join {_ema_sql()} e on f.event_id = e.event_id",
     {
-        n: 6
+        n: 7 if "_roll" in n and "_rolling_" not in n else 6
         for v in _VARIABLES
         for n in (
             *(f"{v}_lag_{k}" for k in series.LAGS),
@@ -296,24 +162,21 @@ def _ema_sql():
         )
     },
 )
-def ts_feature_builder_all(spark, d):
-    out = obs(spark, d).select("event_id", "station", "ts", *_VARIABLES)
-    out = series.features(out, KEYS, _day(), ORDER, _VARIABLES)
-    for v in _VARIABLES:
-        out = series.ema(out, KEYS, _day(), ORDER, v)
-    return out.drop("station", "ts", *_VARIABLES)
+def ts_feature_builder(spark, d):
+    out = series.ema(obs(spark, d).select("event_id", "station", "ts", *_VARIABLES), KEYS, ORDER, _VARIABLES)
+    return series.features(out, KEYS, ORDER, _VARIABLES).drop("station", "ts", *_VARIABLES)
 
 
 @query(
-    "ts_sequences_all",
+    "ts_sequences",
     "O-TS-22",
     f"""select event_id, cast(168 as int) as n, first_value(temp_c) over ({_f(168)}) as head, temp_c as tail,
  sum(temp_c) over ({_f(168)}) + (168 - count(*) over ({_f(168)})) * first_value(temp_c) over ({_f(168)}) as total
  from {OBS}""",
     {"head": 9, "tail": 9, "total": 6},
 )
-def ts_sequences_all(spark, d):
-    s = series.sequences(_src(spark, d), KEYS, _day(), ORDER, ["ts", "temp_c"])
+def ts_sequences(spark, d):
+    s = series.sequences(_src(spark, d), KEYS, ORDER, ["ts", "temp_c"])
     v = F.transform("sequence", lambda x: x["temp_c"])
     return s.select(
         "event_id",
@@ -322,3 +185,8 @@ def ts_sequences_all(spark, d):
         F.element_at(v, -1).alias("tail"),
         F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"),
     )
+
+
+# Names under which the full jobs were registered beside smaller ones.
+for _name in ("ts_rolling_trend", "ts_rolling_zscore", "ts_full_mean", "ts_feature_builder", "ts_sequences"):
+    also(f"{_name}_all", _name)

@@ -33,6 +33,26 @@ def src_cycle_reader(spark, d):
     return x.groupBy("instrument", "month", "lead").agg(F.count("*").alias("cells"), F.min("t2m").alias("t2m"))
 
 
+@query(
+    "src_cycle_files",
+    "O-SRC-01",
+    f"""select strftime(date, '%Y%m') || '01' as date, '12' as cycle, lead, count(*) as cells, min(t2m) as t2m, count(*) filter (where instrument = 'N') as n
+ from {CYCLES} where strftime(date, '%Y-%m') between '1998-06' and '2000-03' and lead in (0, 24) group by 1, 2, 3""",
+    {"t2m": 6},
+)
+def src_cycle_files(spark, d):
+    """Landed lead files, one folder of parts per unit, read back with the unit taken from the path."""
+    root = scratch_path(spark, "landed")
+    unit = F.format_string("gfs_%s01_12z_f%03d.parquet", F.date_format("date", "yyyyMM"), F.col("lead"))
+    landed = cycles(spark, d).select("instrument", "valid_time", "latitude", "t2m", unit.alias("unit"))
+    landed.hint("rebalance", F.col("unit")).write.partitionBy("unit").parquet(root)
+    schema = "instrument string, valid_time timestamp, latitude double, t2m double"
+    x = readers.read_cycle_files(spark, root, schema, first="19980601", last="20000301", leads=[0, 24])
+    return x.groupBy("date", "cycle", "lead").agg(
+        F.count("*").alias("cells"), F.min("t2m").alias("t2m"), F.count_if(F.col("instrument") == "N").alias("n")
+    )
+
+
 @query("src_cycle_writer", "O-SRC-07", f"select strftime(date, '%Y-%m') as month, count(*) as cells from {CYCLES} group by 1")
 def src_cycle_writer(spark, d):
     return spark.read.parquet(_store(spark, d)).groupBy("month").agg(F.count("*").alias("cells"))
@@ -136,6 +156,65 @@ def src_price_history(spark, d):
     )
 
 
+@query(
+    "src_price_files",
+    "O-SRC-05",
+    f"""select instrument as ticker, count(*) filter (where day(session) <> 13) as n, sum(close) filter (where day(session) <> 13) as close,
+ count(*) filter (where day(session) = 13) as rejected from {MARKET} group by 1""",
+    {"close": 3},
+)
+def src_price_files(spark, d):
+    """A CSV per ticker, with a line that is no price row for every 13th of a month: rows, and lines set aside."""
+    root = scratch_path(spark, "price-files")
+    m = market(spark, d)
+    day, close = F.date_format("session", "yyyy-MM-dd").alias("Date"), F.col("close").cast("string")
+    price = F.when(F.dayofmonth("session") == 13, F.lit("n/a")).otherwise(close)
+    columns = [price.alias(c) for c in ("Open", "High", "Low", "Close")]
+    lines = m.select(day, *columns, F.lit("1").alias("Volume"), F.concat("instrument", F.lit(".csv")).alias("file"))
+    writers.write_report(lines, root, "csv", ["file"])
+    good, bad = readers.split_prices(spark, root)
+    g = good.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("Close").alias("close"))
+    return g.join(bad.groupBy("ticker").agg(F.count("*").alias("rejected")), "ticker", "left").fillna(0, ["rejected"])
+
+
+@query(
+    "src_continuous",
+    "O-SRC-05",
+    f"""select instrument, count(*) as n, sum(close) as close, cast(max(session) as varchar) as last from {MARKET}
+ where day(session) <> 13 group by 1""",
+    {"close": 3},
+)
+def src_continuous(spark, d):
+    """Continuous series whose adjusted close is NaN on some days."""
+    root = scratch_path(spark, "continuous")
+    known = F.when(F.dayofmonth("session") == 13, F.lit(float("nan"))).otherwise(F.col("close"))
+    market(spark, d).select(F.col("session").cast("timestamp").alias("Date"), known.alias("close_adj"), "instrument").write.parquet(root)
+    x = readers.read_continuous(spark, root)
+    return x.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("close_adj").alias("close"), F.date_format(F.max("Date"), "yyyy-MM-dd").alias("last"))
+
+
+@query(
+    "src_contract_calendar",
+    "O-SRC-05",
+    """select 'C' || strftime(m, '%y%m') as contract, monthname(m) as month_name, cast(cast(m + interval 20 day as date) as varchar) as first_notice_day,
+ cast(cast(m + interval 27 day as date) as varchar) as last_trading_day from (select distinct date_trunc('month', o_orderdate) as m from orders) where month(m) % 2 = 1""",
+)
+def src_contract_calendar(spark, d):
+    """Contract calendar CSV; the rows of even months have no last trading day and are left out."""
+    root = scratch_path(spark, "calendar")
+    m = table(spark, d, "orders").select(F.trunc(F.to_date("o_orderdate"), "month").alias("m")).distinct()
+    odd = F.month("m") % 2 == 1
+    cal = m.select(
+        F.concat(F.lit("C"), F.date_format("m", "yyMM")).alias("contract"),
+        F.date_format("m", "MMMM").alias("month_name"),
+        F.date_add("m", 20).alias("first_notice_day"),
+        F.when(odd, F.date_add("m", 27)).alias("last_trading_day"),
+    )
+    writers.write_report(cal, root, "csv")
+    x = readers.read_contracts(spark, root)
+    return x.select("contract", "month_name", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_notice_day", "last_trading_day")])
+
+
 @query(
     "src_report_sinks",
     "O-SRC-08",
@@ -186,3 +265,19 @@ def src_chunked_map(spark, d):
     return x.groupBy("time").agg(F.sum("f").alias("total"), F.count("*").alias("n"))
 
 
+@query(
+    "src_whole_slices",
+    "O-SRC-10",
+    f"""with m as (select time, avg(v) as m, max(v) as top from {GRID} group by 1)
+ select g.time, max(abs(g.v - m.m)) as far, count(*) filter (where g.v = m.top) as tops, count(*) as n from {GRID} g join m on g.time = m.time group by 1""",
+    {"far": 6},
+)
+def src_whole_slices(spark, d):
+    """A function that needs every cell of a time step: departures from the step's own mean."""
+
+    def departures(pdf):
+        by = pdf.groupby("time").v
+        return pdf.assign(far=(pdf.v - by.transform("mean")).abs(), top=(pdf.v == by.transform("max")).astype("int32"))[["time", "far", "top"]]
+
+    x = writers.chunked_map(grid(spark, d), "time", departures, "time long, far double, top int", columns=["v"])
+    return x.groupBy("time").agg(F.max("far").alias("far"), F.sum("top").alias("tops"), F.count("*").alias("n"))

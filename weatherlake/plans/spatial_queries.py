@@ -93,6 +93,38 @@ def sp_polygon_mask(spark, d):
     return grid(spark, d).select("time", "i", "j", F.when(inside, F.col("v")).alias("v"))
 
 
+def basins(spark, d):
+    """Vertex table of star-shaped polygons, 24 vertices for each supplier."""
+    k = F.col("s_suppkey")
+    x = table(spark, d, "supplier").select(k.alias("polygon"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("seq"))
+    r = (F.col("polygon") * 7 + F.col("seq") * 13) % 11 + 3.25
+    return x.select(
+        "polygon",
+        "seq",
+        ((F.col("polygon") * 37) % 120 - 60 + r * F.cos(F.radians(F.col("seq") * 15.0))).alias("lat"),
+        ((F.col("polygon") * 53) % 320 - 160 + r * F.sin(F.radians(F.col("seq") * 15.0))).alias("lon"),
+    )
+
+
+_BASINS = """(select s_suppkey as polygon, seq, (s_suppkey*37)%120 - 60 + ((s_suppkey*7 + seq*13)%11 + 3.25)*cos(radians(seq*15.0)) as lat,
+  (s_suppkey*53)%320 - 160 + ((s_suppkey*7 + seq*13)%11 + 3.25)*sin(radians(seq*15.0)) as lon from supplier, (select unnest(range(24)) as seq) q)"""
+
+
+@query(
+    "sp_polygon_table",
+    "O-SP-05",
+    f"""with e as (select polygon, lat as a, lon as x, lead(lat, 1, first) over w as b, lead(lon, 1, first_lon) over w as y
+  from (select *, first_value(lat) over (partition by polygon order by seq) as first, first_value(lon) over (partition by polygon order by seq) as first_lon from {_BASINS})
+  window w as (partition by polygon order by seq)),
+ c as (select s.obs_id as id, e.polygon, count(*) as n from {SITES} s join e on ((a > s.lat) <> (b > s.lat)) and s.lon < x + (s.lat - a)*(y - x)/(b - a) group by 1, 2)
+ select id, polygon from c where n % 2 = 1""",
+)
+def sp_polygon_table(spark, d):
+    """Sites inside polygons that come as a table of vertices."""
+    p = sites(spark, d).select(F.col("obs_id").alias("id"), "lat", "lon")
+    return spatial.points_in_polygons(p, basins(spark, d))
+
+
 @query(
     "sp_coordinate_report",
     "O-SP-06",
@@ -206,7 +238,7 @@ def sp_cressman(spark, d):
 @query(
     "sp_inverse_distance",
     "O-SP-11",
-    f"""with p as (select id, lat, lon from {POINTS} union all select 1000000+obs_id, lat, lon from {SITES} where obs_id % 10 = 0),
+    f"""with p as (select id, lat, lon from {POINTS} union all select 1000000+obs_id, lat, lon from {SITES}),
  j as (select p.id, s.v, s.obs_id, {hav('p.lat', 'p.lon', 's.lat', 's.lon')} as km from p, {SITES} s)
  select id, coalesce(arg_min(v, obs_id) filter (where km = 0), sum(v/(km*km)) filter (where km > 0 and km <= 1500)
   / sum(1/(km*km)) filter (where km > 0 and km <= 1500)) as idw from j group by 1""",
@@ -215,7 +247,7 @@ def sp_cressman(spark, d):
 def sp_inverse_distance(spark, d):
     s = sites(spark, d)
     p = points(spark, d).select("id", "lat", "lon").unionByName(
-        s.filter(F.col("obs_id") % 10 == 0).select((F.col("obs_id") + 1000000).alias("id"), "lat", "lon")
+        s.select((F.col("obs_id") + 1000000).alias("id"), "lat", "lon")
     )
     return spatial.inverse_distance(p, s, 1500.0).select("id", "idw")
 
@@ -267,6 +299,23 @@ def sp_regrid_nearest(spark, d):
     return grids.nearest(grid(spark, d), grids.regular_grid(spark, FINE_LAT, FINE_LON), LAT.values(), LON.values())
 
 
+_THIRD = f"""(select ti as i, tj as j, 30.0 + ti*0.4 as lat, -90.0 + tj*0.4 as lon from (select unnest(range(18)) as ti) a, (select unnest(range(18)) as tj) b)"""
+
+
+@query(
+    "sp_regrid_resolution",
+    "O-SP-14",
+    f"""with p as (select i, j, lat, lon, lat-30.0 as fi, lon+90.0 as fj from {_THIRD}),
+ c as (select *, least(cast(floor(fi) as bigint), 6) as i0, least(cast(floor(fj) as bigint), 6) as j0 from p)
+ select g.time, c.i, c.j, c.lat, c.lon, sum(g.v * (case when g.i = c.i0 then 1-(fi-i0) else fi-i0 end) * (case when g.j = c.j0 then 1-(fj-j0) else fj-j0 end)) as value
+ from c join {GRID} g on g.i in (c.i0, c.i0+1) and g.j in (c.j0, c.j0+1) group by 1, 2, 3, 4, 5""",
+    {"value": 6, "lat": 6, "lon": 6},
+)
+def sp_regrid_resolution(spark, d):
+    """A resolution over the extent of the data, whose axes are read from it."""
+    return grids.regrid_to_resolution(grid(spark, d), 0.4)
+
+
 @query(
     "sp_regrid_conservative",
     "O-SP-15",
@@ -303,6 +352,31 @@ def sp_gradient(spark, d):
     return grids.gradient(grid(spark, d)).drop("lat", "lon", "v")
 
 
+@query(
+    "sp_gradient_fixed",
+    "O-SP-16",
+    f"""with g as (select time, i, j, ({_diff_sql('v', 'lon', 'lat')})/25.0 as d_dx, ({_diff_sql('v', 'lat', 'lon')})/25.0 as d_dy from {GRID})
+ select *, sqrt(d_dx*d_dx+d_dy*d_dy) as magnitude, atan2(d_dy, d_dx) as direction from g""",
+    {"d_dx": 8, "d_dy": 8, "magnitude": 8, "direction": 6},
+)
+def sp_gradient_fixed(spark, d):
+    """One spacing for both directions."""
+    return grids.gradient(grid(spark, d), dx_km=25.0).drop("lat", "lon", "v")
+
+
+@query(
+    "sp_divergence_fixed",
+    "O-SP-17",
+    f"""with g as (select time, i, j, lat, lon, v as u, v*v as w from {GRID}),
+ d as (select time, i, j, ({_diff_sql('u', 'lon', 'lat')})/25.0 + ({_diff_sql('w', 'lat', 'lon')})/25.0 as divergence from g)
+ select *, -divergence as convergence from d""",
+    {"divergence": 8, "convergence": 8},
+)
+def sp_divergence_fixed(spark, d):
+    g = grid(spark, d).select("time", "i", "j", "lat", "lon", F.col("v").alias("u"), (F.col("v") ** 2).alias("w"))
+    return grids.divergence(g, v="w", dx_km=25.0).select("time", "i", "j", "divergence", "convergence")
+
+
 @query(
     "sp_divergence",
     "O-SP-17",
@@ -343,6 +417,18 @@ def sp_nearest_vertex(spark, d):
     return spatial.nearest_within(p, v, 2500.0).select("id", "nearest_km")
 
 
+@query(
+    "sp_nearest_any",
+    "O-SP-18",
+    f"select s.obs_id as id, min({hav('s.lat', 's.lon', 'p.lat', 'p.lon')}) as nearest_km from {SITES} s, {POINTS} p group by 1",
+    {"nearest_km": 5},
+)
+def sp_nearest_any(spark, d):
+    """The nearest vertex however far it is."""
+    v = points(spark, d).select(F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    return spatial.nearest(sites(spark, d).select(F.col("obs_id").alias("id"), "lat", "lon"), v).select("id", "nearest_km")
+
+
 @query(
     "sp_stations_near",
     "O-SP-19",
@@ -436,12 +522,13 @@ _M = _field_sql(-14.0, 4.0, 40.0, 25.0)
   where lat between -10 and 10 and (lon >= 60 or lon <= -150)),
  t as (select run, time, avg(a) as r from x group by 1, 2), s as (select run, time, r/stddev_pop(r) over (partition by run) as r from t)
  select run, cast(time as varchar) as time, r as rmm1, r as rmm2, sqrt(2*r*r) as amplitude,
- cast(case when r >= 0 then 2 else 6 end as int) as mjo_phase from s where abs(r) > 1e-9""",
+ cast(case when abs(r) <= 1e-9 then null when r >= 0 then 2 else 6 end as int) as mjo_phase from s""",
     {"rmm1": 6, "rmm2": 6, "amplitude": 6},
 )
 def sp_mjo(spark, d):
+    """Every time step; the phase of one whose index is zero but for rounding is not compared."""
     out = grids.mjo(field(spark, d, -14.0, 4.0, 40.0, 25.0), ["run"])
-    return _day(out).filter(F.abs("rmm1") > 1e-9)
+    return _day(out).withColumn("mjo_phase", F.when(F.abs("rmm1") > 1e-9, F.col("mjo_phase")))
 
 
 @query(

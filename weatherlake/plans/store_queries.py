@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from weatherlake.operators import audit, metering, relational
 from weatherlake.operators.metering import SEVERITY_KEYWORDS
-from weatherlake.operators.windows import days
 from weatherlake.plans.pit_queries import _LEDGER, K, ledger
 from weatherlake.plans.hazard_queries import CYCLE_FEATURES, cycle_frame
 from weatherlake.session import materialise
@@ -154,7 +153,7 @@ def rel_signal_batches(spark, d):
         }
     )
     b = relational.signal_batches(
-        s, days("ts"), ["ts", "event_id"], ["instrument", "action", "confidence"], part_size=100
+        s, ["ts", "event_id"], ["instrument", "action", "confidence"], part_size=100
     )
     doc = F.from_json("payload", "signals array<struct<instrument string, action string, confidence double>>")
     x = b.select("cycle_id", "part", F.posexplode(doc["signals"]).alias("pos", "s"))
@@ -207,7 +206,7 @@ def sealed(spark, d):
 def au_verify_chain(spark, d):
     """Sealed chains with altered payloads, and one with a broken link."""
     s = sealed(spark, d)
-    rank = audit.chain_rows(s, ["tenant_id"], days("ts"), ["ts", "id"])
+    rank = audit.chain_rows(s, ["tenant_id"], ["ts", "id"])
     broken = (F.col("tenant_id") == "t3") & (F.col("position") == 17)
     t = rank.withColumns(
         {
@@ -215,7 +214,7 @@ def au_verify_chain(spark, d):
             "prev_hash": F.when(broken, F.lit("x")).otherwise(F.col("prev_hash")),
         }
     ).drop("bad", "position")
-    return audit.verify_chains(t, ["tenant_id"], days("ts"), ["ts", "id"])
+    return audit.verify_chains(t, ["tenant_id"], ["ts", "id"])
 
 
 @query(
@@ -225,7 +224,7 @@ def au_verify_chain(spark, d):
 )
 def au_seal_chain(spark, d):
     s = sealed(spark, d)
-    v = audit.verify_chains(s, ["tenant_id"], days("ts"), ["ts", "id"])
+    v = audit.verify_chains(s, ["tenant_id"], ["ts", "id"])
     n = s.groupBy("tenant_id").agg(F.count("prev_hash").alias("linked"))
     return v.join(n, "tenant_id").select("tenant_id", "n", "linked", "ok")
 
@@ -295,7 +294,7 @@ _FEED = f"""(select tenant_id, sum(floor(h)) as feed_hours from (select tenant_i
 
 def sessions(spark, d):
     a = audit_log(spark, d).withColumn("tenant_id", F.coalesce("tenant_id", F.lit("internal")))
-    return metering.feed_sessions(a, ["tenant_id", "session_id"], days, "id")
+    return metering.feed_sessions(a, ["tenant_id", "session_id"], "id")
 
 
 @query("mt_feed_hours", "O-MT-02", f"select * from {_FEED}", {"feed_hours": 3})

@@ -4,11 +4,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from weatherlake.operators import quality, relational
+from weatherlake.operators import quality, relational, signals
 from weatherlake.operators.hazards import cycle_features
-from weatherlake.operators.windows import days
 from weatherlake.plans.registry import query
-from weatherlake.plans.signal_queries import SIGNAL_LOG
+from weatherlake.plans.signal_queries import SIGNAL_LOG, kelly
 from weatherlake.plans.standins import EVENT_SCHEMA, OBS
 from weatherlake.session import scratch_path
 from weatherlake.streaming import jobs
@@ -85,43 +84,86 @@ def str_fresh_cycles(spark, d):
 
 
 _CELLS = """(select event_type as site, cast(ts as date) as date, '12' as cycle, cast(event_id % 4 * 12 as int) as lead, ts + interval 12 hour as valid_time, value/5+268.15 as t2m from events)"""
+_KEYS = ["site", "date", "cycle"]
+#: A cycle is due at the end of its day; its side output is known once the watermark has passed that.
+_WHOLE = f"""(select site, date, count(distinct lead) = 4 as ok from {_CELLS} group by 1, 2
+ having count(distinct lead) = 4 or date + interval 1 day <= date_trunc('milliseconds', (select m from {_MARK})))"""
 
 
-@query(
-    "str_cycle_intake",
-    "O-STR-01",
-    f"""with v as (select site, date, count(distinct lead) = 4 as ok from {_CELLS} group by 1, 2),
- x as (select c.*, valid_time >= c.date + to_minutes(930) and valid_time <= c.date + to_minutes(930) + to_hours(48) as i from {_CELLS} c)
- select x.site, cast(x.date as varchar) as date, case when v.ok then 'accepted' else 'rejected' end as status,
- case when v.ok then count(*) filter (where i and t2m < 273.15)/cast(greatest(count(*) filter (where i), 1) as double) end as freeze_prob
- from x join v on x.site = v.site and x.date = v.date group by 1, 2, v.ok""",
-    {"freeze_prob": 8},
-)
-def str_cycle_intake(spark, d):
+def _whole_cells(spark, d):
     s = event_stream(spark, d).select(
         F.col("event_type").alias("site"),
         F.to_date("ts").alias("date"),
         F.lit("12").alias("cycle"),
         (F.col("event_id") % 4 * 12).cast("int").alias("lead"),
+        "ts",
         (F.col("ts") + F.make_dt_interval(hours=F.lit(12))).alias("valid_time"),
         F.lit(30.0).alias("latitude"),
         (F.col("value") / 5 + 268.15).alias("t2m"),
     )
-    keys = ["site", "date", "cycle"]
+    due = F.date_add("date", 1)
+    return jobs.whole_cycles(s, _KEYS, "ts", due, F.col("lead"), [0, 12, 24, 36])
+
+
+def _verdict(cells):
+    v = quality.unit_inventory(cells, ["site"]).groupBy(*_KEYS).agg(F.count_distinct("lead").alias("n"))
+    return v.withColumn("reason", F.when(F.col("n") < 4, "missing_leads"))
+
 
-    def verdict(cells):
-        v = quality.unit_inventory(cells, ["site"]).groupBy(*keys).agg(F.count_distinct("lead").alias("n"))
-        return v.withColumn("reason", F.when(F.col("n") < 4, "missing_leads"))
+def _freeze(features):
+    now = F.col("publish_time") + F.make_dt_interval(hours=F.lit(6))
+    return signals.freeze_signal(features, now, entry=0.2)
 
+
+def _intake(spark, d):
+    """Folders of accepted cycles, rejected cycles and signals."""
     root = scratch_path(spark, "cycles")
-    good, bad = f"{root}/accepted", f"{root}/rejected"
-    q = jobs.cycle_intake(s, lambda c: cycle_features(c, keys), verdict, keys, good, bad, f"{root}/checkpoint")
-    q.awaitTermination()
+    good, bad, out = f"{root}/accepted", f"{root}/rejected", f"{root}/signals"
+    with rocksdb(spark):
+        q = jobs.cycle_intake(_whole_cells(spark, d), lambda c: cycle_features(c, _KEYS), _verdict, _KEYS, good, bad, f"{root}/checkpoint", _freeze, out)
+        q.awaitTermination()
+    return good, bad, out
+
+
+@query(
+    "str_cycle_intake",
+    "O-STR-01",
+    f"""with v as {_WHOLE},
+ x as (select c.*, valid_time >= c.date + to_minutes(930) and valid_time <= c.date + to_minutes(930) + to_hours(48) as i from {_CELLS} c)
+ select x.site, cast(x.date as varchar) as date, case when v.ok then 'accepted' else 'rejected' end as status,
+ case when v.ok then count(*) filter (where i and t2m < 273.15)/cast(greatest(count(*) filter (where i), 1) as double) end as freeze_prob
+ from x join v on x.site = v.site and x.date = v.date group by 1, 2, v.ok""",
+    {"freeze_prob": 8},
+)
+def str_cycle_intake(spark, d):
+    good, bad, _ = _intake(spark, d)
     a = spark.read.parquet(good).select("site", "date", F.lit("accepted").alias("status"), "freeze_prob")
     r = spark.read.parquet(bad).select("site", "date", F.lit("rejected").alias("status"), F.lit(None).cast("double").alias("freeze_prob"))
     return a.unionByName(r).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+_DECAYED = "(freeze_prob*exp(-0.693*coalesce(greatest(epoch(date + to_minutes(1290)) - epoch(peak),0),0)/3600.0/48.0))"
+
+
+@query(
+    "str_cycle_signals",
+    "O-STR-01",
+    f"""with x as (select c.*, valid_time >= c.date + to_minutes(930) and valid_time <= c.date + to_minutes(930) + to_hours(48) as i
+  from {_CELLS} c join {_WHOLE} v on c.site = v.site and c.date = v.date and v.ok),
+ f as (select site, date, coalesce(arg_min(valid_time, (t2m, valid_time)) filter (where i), max(valid_time) filter (where i)) as peak,
+  coalesce(min(t2m) filter (where i), min(t2m)) - 273.15 as temperature_min,
+  count(*) filter (where i and t2m < 273.15)/cast(greatest(count(*) filter (where i), 1) as double) as freeze_prob from x group by 1, 2),
+ y as (select *, {_DECAYED} as e from f), z as (select *, e > 0.2 and temperature_min < 0 as f from y)
+ select site, cast(date as varchar) as date, case when f then 'LONG' else 'FLAT' end as action, case when f then e else 0 end as confidence,
+ case when f then least({kelly("e", 3.0, 0.2)}*(1+0.5*least(abs(temperature_min)/10,1)),0.2) else 0 end as size from z""",
+    {"confidence": 7, "size": 7},
+)
+def str_cycle_signals(spark, d):
+    """The end of the cycle stream: one signal per accepted cycle."""
+    x = spark.read.parquet(_intake(spark, d)[2])
+    return x.select("site", F.date_format("date", "yyyy-MM-dd").alias("date"), "action", "confidence", "size")
+
+
 @query(
     "str_heat_runs",
     "O-STR-04",
@@ -131,7 +173,7 @@ def str_cycle_intake(spark, d):
  select cast(station as varchar) as location, cast(d as varchar) as day, cast(n as int) as length from r where n >= 2""",
 )
 def str_heat_runs(spark, d):
-    """Daily maxima land as files; the stream keeps one run length per station."""
+    """Daily maxima land as files in any order; the stream keeps the runs of each station."""
     root = scratch_path(spark, "heat")
     e = spark.read.parquet(f"{d}/events.parquet")
     daily = e.groupBy(F.col("user_id").cast("string").alias("location"), F.to_date("ts").alias("day")).agg(
@@ -141,7 +183,7 @@ def str_heat_runs(spark, d):
     with rocksdb(spark):
         s = jobs.file_stream(spark, f"{root}/in", "location string, day date, hit boolean")
         x = jobs.drain(jobs.run_length_alerts(s, 2), f"{root}/out", f"{root}/checkpoint")
-    return x.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return jobs.latest_lengths(x).select("location", F.date_format("day", "yyyy-MM-dd").alias("day"), "length")
 
 
 _FEED = f"""(with e as (select 't' || (user_id % 10) as tenant_id, user_id as session_id, ts, event_id, event_type = 'view' as up from events
@@ -173,7 +215,8 @@ def str_feed_sessions(spark, d):
 @query(
     "str_signal_batches",
     "O-STR-06",
-    f"select strftime(ts, '%Y%m%d') || '_12z' as cycle_id, count(*) as n, sum(confidence) as confidence from {SIGNAL_LOG} group by 1",
+    f"""select strftime(ts, '%Y%m%d') || '_12z' as cycle_id, count(*) as n, sum(confidence) as confidence from {SIGNAL_LOG}
+ where cast(ts as date) + interval 1 day <= date_trunc('milliseconds', (select m from {_MARK})) group by 1""",
     {"confidence": 6},
 )
 def str_signal_batches(spark, d):
@@ -191,8 +234,11 @@ def str_signal_batches(spark, d):
     )
     out, ck = _paths(spark, "publish")
     fields = ["instrument", "action", "confidence"]
-    q = jobs.publish_batches(s, lambda x: relational.signal_batches(x, days("ts"), ["ts", "event_id"], fields), out, ck)
-    q.awaitTermination()
+    due = F.to_date("ts") + F.expr("interval 1 day")
+    s = jobs.whole_cycles(s, ["forecast_cycle_id"], "ts", due, release=True)
+    with rocksdb(spark):
+        q = jobs.publish_batches(s, lambda x: relational.signal_batches(x, ["ts", "event_id"], fields), out, ck)
+        q.awaitTermination()
     doc = F.from_json("payload", "signals array<struct<instrument string, action string, confidence double>>")
     r = spark.read.schema("cycle_id string, part long, payload string").json(out)
     x = r.select("cycle_id", F.explode(doc["signals"]).alias("s"))

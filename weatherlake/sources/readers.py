@@ -23,12 +23,25 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_cycle_files(spark: SparkSession, path: str, schema: str = CYCLE_SCHEMA) -> DataFrame:
-    """All lead files below a folder; date, cycle and lead come from each file's name."""
+def read_cycle_files(
+    spark: SparkSession, path: str, schema: str = CYCLE_SCHEMA, first: str | None = None, last: str | None = None, leads: Sequence[int] | None = None
+) -> DataFrame:
+    """All lead files below a folder; date (yyyyMMdd), cycle and lead come from each file's path.
+
+    Files may be named ``<prefix>_20240131_12z_f024.parquet``, or parts may lie in a folder of such a name. Dates and
+    leads are conditions on file metadata, so files outside them are skipped without being opened.
+    """
     raw = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     def part(i: int) -> Column:
         return F.regexp_extract(name, _UNIT, i)
+    raw = raw.filter(part(1) != "")
+    if first is not None:
+        raw = raw.filter(part(1) >= first)
+    if last is not None:
+        raw = raw.filter(part(1) <= last)
+    if leads is not None:
+        raw = raw.filter(part(3).cast("int").isin(*leads))
     ids = {"date": part(1), "cycle": part(2), "lead": part(3).cast("int")}
     return nan_to_null(raw.withColumns(ids))
 
@@ -109,15 +122,29 @@ def parse_station_daily(df: DataFrame, keep: Sequence[str] = ("station_id",)) ->
     )
 
 
+# Field names of settlement documents.
+SETTLEMENT_FIELDS = (
+    "settlementDate",
+    "date",
+    "month",
+    "contractMonth",
+    "settlementPrice",
+    "last",
+    "change",
+    "netChange",
+    "volume",
+    "totalVolume",
+    "openInterest",
+    "region",
+)
+
+
 def parse_settlements(df: DataFrame, keep: Sequence[str] = ("product",), start: str | None = None, end: str | None = None) -> DataFrame:
     """Settlement documents: a bare list or one under ``settlements`` or ``data``, with field aliases.
 
     A price that is no number becomes NULL; rows outside [start, end] are dropped.
     """
-    names = (
-        "settlementDate date month contractMonth settlementPrice last change netChange volume totalVolume openInterest region"
-    ).split()
-    item = "array<struct<" + ", ".join(f"`{n}`: string" for n in names) + ">>"
+    item = "array<struct<" + ", ".join(f"`{n}`: string" for n in SETTLEMENT_FIELDS) + ">>"
     bare = F.ltrim("value").startswith("[")
     doc = F.from_json("value", f"struct<settlements: {item}, data: {item}>")
     rows = F.when(bare, F.from_json("value", item)).otherwise(F.coalesce(doc["settlements"], doc["data"]))
@@ -142,19 +169,34 @@ def parse_settlements(df: DataFrame, keep: Sequence[str] = ("product",), start:
     return x
 
 
+def split_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Price history CSVs, and the lines that don't fit the schema as (ticker, line).
+
+    The ticker is the file's name without its extension, or that of the folder its parts lie in.
+    """
+    ticker = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.csv(?:/[^/]*)?$", 1)
+    reader = spark.read.schema(f"{PRICE_SCHEMA}, _line string").option("header", "true").option("columnNameOfCorruptRecord", "_line")
+    raw = reader.option("recursiveFileLookup", "true").csv(path).withColumn("ticker", ticker)
+    good = nan_to_null(raw.filter(F.col("_line").isNull()).drop("_line"))
+    return good, raw.filter(F.col("_line").isNotNull()).select("ticker", F.col("_line").alias("line"))
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Price history CSVs; the ticker is the file name without its extension."""
-    raw = spark.read.schema(PRICE_SCHEMA).option("header", "true").csv(path)
-    return nan_to_null(raw.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.csv", 1)))
+    """Price history CSVs without the lines that don't fit."""
+    return split_prices(spark, path)[0]
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CONTRACT_SCHEMA).option("header", "true").csv(path)
+    """Contract calendar CSV; rows without a contract or a last trading day are no contracts."""
+    raw = spark.read.schema(CONTRACT_SCHEMA).option("header", "true").csv(path)
+    return raw.dropna(subset=["contract", "last_trading_day"])
 
 
 def read_continuous(spark: SparkSession, path: str) -> DataFrame:
-    """Continuous series with a known adjusted close."""
-    return nan_to_null(spark.read.parquet(path)).dropna(subset=["close_adj"])
+    """Continuous series (Date, close_adj) with a known adjusted close."""
+    raw = spark.read.parquet(path)
+    day = F.col("Date").cast("date").alias("Date")
+    return nan_to_null(raw.select(day, "close_adj", *[c for c in raw.columns if c not in ("Date", "close_adj")])).dropna(subset=["close_adj"])
 
 
 _ACCESS = r'^\S+\s+(\S+)\s+"([A-Z]+)\s+(\S+)[^"]*"\s+(\d+)'

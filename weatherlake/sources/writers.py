@@ -60,6 +60,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Column)
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def whole_steps(frames: Iterator[pd.DataFrame], time: str, steps: int) -> Iterator[pd.DataFrame]:
+    """Sorted frames cut anew, so that each holds ``steps`` whole time steps (the last one those that are left).
+
+    The step that a frame ends in stays open until a later frame begins another one. NULL times are one step.
+    """
+    held: list[pd.DataFrame] = []
+    begun, last, first = 0, None, True
+    for frame in frames:
+        if not len(frame):
+            continue
+        t = frame[time].reset_index(drop=True)
+        before = t.shift()
+        new = (t != before) & ~(t.isna() & before.isna())
+        new.iloc[0] = first or not (t.iloc[0] == last or pd.isna(t.iloc[0]) and pd.isna(last))
+        start = 0
+        for i in new.to_numpy().nonzero()[0].tolist():
+            if begun == steps:
+                held.append(frame.iloc[start:i])
+                yield pd.concat(held, ignore_index=True)
+                held, begun, start = [], 0, i
+            begun += 1
+        held.append(frame.iloc[start:])
+        last, first = t.iloc[-1], False
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def chunked_map(
     df: DataFrame,
     time: str,
@@ -67,18 +94,19 @@ def chunked_map(
     schema: str,
     columns: Sequence[str] | None = None,
     partitions: int | None = None,
+    steps: int = 64,
 ) -> DataFrame:
-    """Apply a pandas function to time-ordered chunks of a table too large for memory.
+    """Apply a pandas function to chunks of ``steps`` whole time steps of a table too large for memory.
 
-    Rows are range-partitioned and sorted by time and reach ``fn`` as Arrow batches
-    (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows at most), so memory does not grow with a
-    partition. Only ``columns`` are read. The result is lazy; any sink can take it.
+    Rows are range-partitioned by time, so a step lies in one partition, and sorted; Arrow batches are cut anew at
+    steps, whatever their size. Memory holds one chunk and not a partition. A partition's last chunk may be shorter.
+    Only ``columns`` are read. The result is lazy; any sink can take it.
     """
     src = df.select(time, *[c for c in (columns or df.columns) if c != time])
     ranged = src.repartitionByRange(partitions, time) if partitions else src.repartitionByRange(time)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield fn(b)
+        for chunk in whole_steps(batches, time, steps):
+            yield fn(chunk)
 
     return ranged.sortWithinPartitions(time).mapInPandas(run, schema)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
+EPOCH = date(1970, 1, 1)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,6 +36,104 @@ def run_batches(
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+class WaitForCycle(StatefulProcessor):
+    """Rows of a cycle wait in state until it is complete and then leave together, once.
+
+    A cycle is complete when every one of the ``expected`` parts has come, or a row that ends it. When the watermark
+    passes its deadline first, it leaves as one row with the reason, or, with ``release``, with the rows it has. Until
+    then it is remembered, so rows after completion leave as one row with a reason too. State is the open cycles' rows.
+    """
+
+    def __init__(self, expected: Sequence[str], release: bool):
+        self.expected, self.release = frozenset(expected), release
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "body string")
+        self.parts = handle.getMapState("parts", "part string", "n long")
+        self.status = handle.getValueState("status", "due long, left boolean")
+
+    @staticmethod
+    def out(key, bodies: Sequence[str | None], reason: str | None = None) -> pd.DataFrame:
+        return pd.DataFrame({"cycle_key": [key[0]] * len(bodies), "body": list(bodies), "reason": [reason] * len(bodies)}, dtype=object)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due, left = self.status.get() if self.status.exists() else (None, False)
+        ended, repeats = False, 0
+        for b in rows:
+            if left:
+                repeats += len(b)
+                continue
+            self.rows.appendList([(x,) for x in b.body])
+            for part, n in b.part.value_counts().items():
+                self.parts.updateValue((part,), ((self.parts.getValue((part,))[0] if self.parts.containsKey((part,)) else 0) + int(n),))
+            ended = ended or bool(b.ends.any())
+            if due is None:
+                due = int(b.due.min())
+                self.handle.registerTimer(due)
+        if repeats:
+            yield self.out(key, [None], "arrived after completion")
+        elif ended or (self.expected and self.expected <= {k[0] for k in self.parts.keys()}):
+            yield self.out(key, [r[0] for r in self.rows.get()])
+            self.rows.clear()
+            left = True
+        self.status.update((due, left))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.status.get()[1]:
+            if self.release:
+                yield self.out(key, [r[0] for r in self.rows.get()])
+            else:
+                missing = sorted(self.expected - {k[0] for k in self.parts.keys()})
+                yield self.out(key, [None], "missing parts: " + ", ".join(missing))
+        for state in (self.rows, self.parts, self.status):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def whole_cycles(
+    stream: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    due: Column,
+    part: Column | None = None,
+    expected: Sequence[str] = (),
+    ends: Column | None = None,
+    release: bool = False,
+    delay: str = "1 hour",
+) -> DataFrame:
+    """The stream with ``reason``: rows of a cycle in the micro-batch that completes it, and one row of keys and reason
+    for a cycle that is not complete when the watermark passes ``due``. See ``WaitForCycle``."""
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    x = stream.withWatermark(ts, delay)
+    x = x.select(
+        ts,
+        F.to_json(F.struct(*keys), form).alias("cycle_key"),
+        F.to_json(F.struct(*stream.columns), form).alias("body"),
+        (F.lit("") if part is None else part.cast("string")).alias("part"),
+        F.unix_millis(due.cast("timestamp")).alias("due"),
+        F.coalesce(ends, F.lit(False)).alias("ends") if ends is not None else F.lit(False).alias("ends"),
+    )
+    got = x.groupBy("cycle_key").transformWithStateInPandas(
+        statefulProcessor=WaitForCycle([str(e) for e in expected], release),
+        outputStructType="cycle_key string, body string, reason string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema.fields])
+    row, key = F.from_json("body", schema, form), F.from_json("cycle_key", schema, form)
+    return got.select(*[(F.coalesce(row[c], key[c]) if c in keys else row[c]).alias(c) for c in stream.columns], "reason")
+
+
+def staged(batch_rows: DataFrame, folder: str, batch: int) -> DataFrame:
+    """The micro-batch, written once: its steps read the files and don't run the stream's plan and state again."""
+    path = f"{folder}/batch={batch}"
+    batch_rows.write.mode("overwrite").parquet(path)
+    return batch_rows.sparkSession.read.schema(batch_rows.schema).parquet(path)
+
+
 def cycle_intake(
     stream: DataFrame,
     features: Callable[[DataFrame], DataFrame],
@@ -40,26 +142,44 @@ def cycle_intake(
     accepted: str,
     rejected: str,
     checkpoint: str,
+    signals: Callable[[DataFrame], DataFrame] | None = None,
+    published: str | None = None,
 ) -> StreamingQuery:
-    """Cell files -> validation -> features; rejected cycles go to a side output with their reason.
+    """Cell files -> validation -> features -> signals; rejected cycles go to a side output with their reason.
 
-    Each micro-batch writes to its own folder with overwrite, so a replayed batch leaves one copy. Cycles
-    must arrive complete in a batch, as the landing job writes whole cycles.
+    Each micro-batch writes to its own folder with overwrite, so a replayed batch leaves one copy. Where a cycle's
+    cells come in several micro-batches, the stream is that of ``whole_cycles``; its reasons go to the side output too.
     """
 
     def handle(cells: DataFrame, batch: int) -> None:
+        cells = staged(cells, f"{checkpoint}-cells", batch)
+        early = None
+        if "reason" in cells.columns:
+            early = cells.filter(F.col("reason").isNotNull()).select(*keys, "reason")
+            cells = cells.filter(F.col("reason").isNull()).drop("reason")
         v = verdicts(cells)
         good = v.filter(F.col("reason").isNull()).select(*keys)
         features(cells.join(good, list(keys), "left_semi")).write.mode("overwrite").parquet(f"{accepted}/batch={batch}")
-        v.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{rejected}/batch={batch}")
+        bad = v.filter(F.col("reason").isNotNull())
+        bad = bad if early is None else bad.unionByName(early, allowMissingColumns=True)
+        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch}")
+        if signals is not None:
+            kept = cells.sparkSession.read.parquet(f"{accepted}/batch={batch}")
+            signals(kept).write.mode("overwrite").parquet(f"{published}/batch={batch}")
 
     return run_batches(stream, handle, checkpoint)
 
 
 def publish_batches(stream: DataFrame, payloads: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """One JSON line per completed cycle and micro-batch (idempotent per batch folder)."""
+    """One JSON line per completed cycle and part (idempotent per batch folder).
+
+    Where a cycle's signals come in several micro-batches, the stream is that of ``whole_cycles``.
+    """
 
     def handle(signals: DataFrame, batch: int) -> None:
+        signals = staged(signals, f"{checkpoint}-signals", batch)
+        if "reason" in signals.columns:
+            signals = signals.filter(F.col("reason").isNull()).drop("reason")
         payloads(signals).select("cycle_id", "part", "payload").write.mode("overwrite").json(f"{out}/batch={batch}")
 
     return run_batches(stream, handle, checkpoint)
@@ -97,48 +217,71 @@ def budget_windows(stream: DataFrame, ts: str, size: str, target: float, delay:
 
 
 class RunLength(StatefulProcessor):
-    """Consecutive qualifying days per location; emits a row whenever a run reaches or extends an alert.
+    """Runs of consecutive qualifying days per location, whatever order the days arrive in.
 
-    State is one small row per location: the last day and the run length. Rows of a batch arrive in any
-    order and are sorted by day first; days at or before the last one are ignored as late.
+    State is the location's disjoint runs as (first, last). A day joins the runs beside it, so an earlier day may
+    bridge two runs; every day of a run from the lowest new one on then leaves again with its new length. Lengths only
+    grow, so the largest one of a day is the last one. A day counts as qualifying when any row says so. Runs that ended
+    more than ``horizon`` days before the newest run are forgotten; a qualifying day older than that leaves as
+    ``late``, with the length that its own batch gives it.
     """
 
-    def __init__(self, at_least: int):
-        self.at_least = at_least
+    def __init__(self, at_least: int, horizon: int):
+        self.at_least, self.horizon = at_least, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "last_day date, length int")
+        self.runs = handle.getListState("runs", "first int, last int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        b = pd.concat(list(rows)).sort_values("day")
-        last, length = self.run.get() if self.run.exists() else (None, 0)
+        runs = sorted((int(a), int(b)) for a, b in self.runs.get()) if self.runs.exists() else []
+        known = runs[-1][1] - self.horizon if runs else None
+        touched: dict[int, int] = {}  # first day of a run -> lowest new day in it
+        for b in rows:
+            for day in sorted({(d - EPOCH).days for d, hit in zip(b.day, b.hit, strict=True) if hit}):
+                i = bisect_right(runs, (day, day))
+                if i and runs[i - 1][1] >= day or i < len(runs) and runs[i][0] == day:
+                    continue
+                first, last, low = day, day, day
+                if i < len(runs) and runs[i][0] == day + 1:
+                    low = min(low, touched.pop(runs[i][0], low))
+                    last = runs.pop(i)[1]
+                if i and runs[i - 1][1] == day - 1:
+                    i -= 1
+                    first = runs.pop(i)[0]
+                    low = min(low, touched.pop(first, low))
+                runs.insert(i, (first, last))
+                touched[first] = low
         out = []
-        for day, hit in zip(b.day, b.hit, strict=True):
-            if last is not None and day <= last:
-                continue
-            follows = last is not None and (day - last).days == 1
-            length = (length + 1 if follows or length == 0 else 1) if hit else 0
-            last = day
-            if length >= self.at_least:
-                out.append((key[0], day, length))
-        if last is not None:
-            self.run.update((last, int(length)))
-        yield pd.DataFrame(out, columns=["location", "day", "length"])
+        ends = dict(runs)
+        for first, low in sorted(touched.items()):
+            for day in range(max(low, first + self.at_least - 1), ends[first] + 1):
+                out.append((key[0], EPOCH + timedelta(days=day), day - first + 1, known is not None and day < known))
+        if runs:
+            self.runs.put([r for r in runs if r[1] >= runs[-1][1] - self.horizon])
+        yield pd.DataFrame(out, columns=["location", "day", "length", "late"])
 
     def close(self) -> None:
         pass
 
 
-def run_length_alerts(stream: DataFrame, at_least: int) -> DataFrame:
-    """Heat or drought alert state from daily rows (location, day date, hit boolean)."""
+def run_length_alerts(stream: DataFrame, at_least: int, horizon: int = 3660) -> DataFrame:
+    """Heat or drought alert state from daily rows (location, day date, hit boolean): days of runs of ``at_least`` days.
+
+    A day leaves again when an earlier day lengthens its run; ``latest_lengths`` keeps the last word.
+    """
     return stream.groupBy("location").transformWithStateInPandas(
-        statefulProcessor=RunLength(at_least),
-        outputStructType="location string, day date, length int",
+        statefulProcessor=RunLength(at_least, horizon),
+        outputStructType="location string, day date, length int, late boolean",
         outputMode="Append",
         timeMode="None",
     )
 
 
+def latest_lengths(alerts: DataFrame) -> DataFrame:
+    """The alerts with corrections applied: one row per location and day."""
+    return alerts.groupBy("location", "day").agg(F.max("length").alias("length"), F.min("late").alias("late"))
+
+
 class FeedSession(StatefulProcessor):
     """First-in first-out connect/disconnect pairing per (tenant, session) with a time-out.
 
