@@ -175,10 +175,13 @@ def split_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     The ticker is the file's name without its extension, or that of the folder its parts lie in.
     """
     ticker = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.csv(?:/[^/]*)?$", 1)
-    reader = spark.read.schema(f"{PRICE_SCHEMA}, _line string").option("header", "true").option("columnNameOfCorruptRecord", "_line")
-    raw = reader.option("recursiveFileLookup", "true").csv(path).withColumn("ticker", ticker)
-    good = nan_to_null(raw.filter(F.col("_line").isNull()).drop("_line"))
-    return good, raw.filter(F.col("_line").isNotNull()).select("ticker", F.col("_line").alias("line"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(ticker.alias("ticker"), F.col("value").alias("line"))
+    header = ",".join(f.split(" ")[0] for f in PRICE_SCHEMA.split(", "))
+    parsed = F.from_csv("line", f"{PRICE_SCHEMA}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    x = lines.filter(F.trim("line") != header).select("ticker", "line", parsed.alias("_p"))
+    fits = F.col("_p").isNotNull() & F.col("_p._bad").isNull()
+    good = nan_to_null(x.filter(fits).select("_p.*", "ticker").drop("_bad"))
+    return good, x.filter(~fits).select("ticker", "line")
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
