@@ -296,7 +296,7 @@ def boosted_fit(
     rate: float = 0.05,
     patience: int = 50,
     sample: float = 0.8,
-    stage: int = 100,
+    stage: int = 70,
 ) -> dict[str, Boosted]:
     """One gradient-boosted model per target (MLlib), stopped by its loss on ``validation``.
 
@@ -318,7 +318,7 @@ def boosted_fit(
         while True:
             grown = GBTRegressor(
                 featuresCol="_features", labelCol=y, predictionCol="yhat", maxIter=n, maxDepth=depth, stepSize=rate / 2,
-                subsamplingRate=sample, featureSubsetStrategy=share, cacheNodeIds=True, checkpointInterval=-1, seed=7,
+                subsamplingRate=sample, featureSubsetStrategy=share, seed=7,
             ).fit(fit_on)
             losses = grown.evaluateEachIteration(test_on, "squared")
             best = min(range(n), key=losses.__getitem__)
