@@ -34,33 +34,37 @@ def bucketed(df: DataFrame, buckets: int, label: str) -> DataFrame:
     return found
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """(block, ids, sizes, data): consecutive texts of a partition, UTF-8 with a zero byte after each, compressed."""
-    rows = docs.select(F.col("doc_id").cast("long"), body().cast("binary").alias("text"), F.spark_partition_id().alias("part"))
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK, tag: str | None = None) -> DataFrame:
+    """(block, ids, sizes, tags, data): consecutive texts of a partition, UTF-8 with a zero byte after each, compressed.
+    ``tags`` holds the texts' values of the string column ``tag``."""
+    tagged = F.col(tag) if tag else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), body().cast("binary").alias("text"), tagged.alias("tag"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        tags: list = []
         texts: list[bytes] = []
         size = made = part = 0
 
         def out() -> pa.RecordBatch:
             data = zstandard.ZstdCompressor(level=3).compress(b"\0".join([*texts, b""]))
-            values = [[part << 32 | made], [ids], [[len(t) for t in texts]], [data]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.large_binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["block", "ids", "sizes", "data"])
+            values = [[part << 32 | made], [ids], [[len(t) for t in texts]], [tags], [data]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.large_binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["block", "ids", "sizes", "tags", "data"])
 
         for b in batches:
-            for doc_id, text, part in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, tagged, part in zip(*(c.to_pylist() for c in b.columns)):
                 if texts and size + len(text) > block_bytes:
                     yield out()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    ids, tags, texts, size, made = [], [], [], 0, made + 1
                 ids.append(doc_id)
+                tags.append(tagged)
                 texts.append(text)
                 size += len(text) + 16
         if texts:
             yield out()
 
-    return rows.mapInArrow(run, "block long, ids array<long>, sizes array<long>, data binary")
+    return rows.mapInArrow(run, "block long, ids array<long>, sizes array<long>, tags array<string>, data binary")
 
 
 def text_of(data: bytes) -> bytes:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weatherlake.llm import bpe, centroids, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, phrases, sharding, suffix_dedup, toxicity
-from weatherlake.llm.common import stored, table
+from weatherlake.llm.common import table
 from weatherlake.llm.labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +104,7 @@ from summed group by conv_id
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    models = perplexity.train(docs)
-    measured = stored(perplexity.measure(docs, models).drop("text"), "rule-counts")
-    return perplexity.judge(measured, perplexity.bands(measured, models), models)
+    return perplexity.rules(table(spark, sf_dir, "documents"))
 
 
 @query

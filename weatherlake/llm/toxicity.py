@@ -1,14 +1,20 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Token log-odds come from a bounded labelled sample, with Dirichlet priors in proportion to a token's frequency in
-the whole sample; each is pulled towards zero by ``SURE`` standard errors, and at most ``LEXICON`` tokens keep a
-value. All tokens lose ``DRIFT``, so clean text drifts down. A linear scan finds every maximal segment of positive
-sum. Segments follow an extreme-value law: the expected number of segments of score S or more in a clean text of m
-tokens is K m exp(-lambda S), lambda being the positive root of the clean tokens' moment equation and K fitted to
-the segments of clean sample texts. A document's evidence is the sum of -ln E over segments with E < 1; a logistic
-curve fitted on the sample turns it into a score. Scoring is a map over the documents: no shuffle.
-
-Defined results: null or empty text has no passages and gets the score of zero evidence; without both labels in
+A token's log-odds come from counts in a bounded labelled sample under nested Dirichlet priors. Its rate in toxic and in
+clean texts, relative to its share of all documents, starts from the rates of its stems of 3, 4 and 5 letters, each a
+Dirichlet prior of ``PRIOR`` expected tokens for the next longer one and the last for the word itself. So a word that
+labels show often has its own odds, and one that they hardly or never show has those of the words it begins like. Shares
+come from the counts of all documents. All tokens lose ``DRIFT``, so clean text drifts down. A linear scan finds every
+maximal segment of positive sum. Segments follow an extreme-value law: the expected number of segments of score S or
+more in a clean text of m tokens is E = K m exp(-lambda S), lambda being the positive root of the clean tokens' moment
+equation and K fitted to the segments of clean sample texts that the odds were not learned from. A document's evidence
+is the sum of -ln E over its significant segments (E < 1) or, where it has none, the -ln E of its best one, so texts
+without a passage are ranked too. A logistic curve turns it into a score; it is fitted on sample texts, each scored with
+odds learned from the other half of the sample. Scoring is a map over the documents: no shuffle.
+
+The lexicon holds the sample's words and stems, so it is bounded by the labelled rows; other words use their stems.
+
+Defined results: null or empty text has no passages and gets the score of no evidence at all; without both labels in
 the sample every score is 0; repeated rows score alike; an empty table gives an empty result; extra columns pass
 through.
 """
@@ -28,8 +34,11 @@ from pyspark.sql import functions as F
 from weatherlake.llm.common import map_columns, stored
 from weatherlake.llm.labelled import sample
 
-SAMPLE, LEXICON = 20_000, 50_000
-SURE, DRIFT, PRIOR = 2.0, 0.5, 0.1
+SAMPLE = 20_000
+DRIFT, PRIOR = 1.0, 1.0
+STEMS = (3, 4, 5)
+#: Words whose values a task remembers.
+KNOWN = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,70 +68,123 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(f[0]), int(f[1]), f[3] - f[2]) for f in found]
 
 
-def count_tokens(picked: DataFrame) -> list[tuple[str, int, int]]:
-    """(token, count in toxic, count in clean) over the sample; tokens seen once carry no usable evidence."""
+def count_tokens(picked: DataFrame) -> DataFrame:
+    """(token, fold, toxic, clean): counts over the sample, in each half of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[tuple[int, int], Counter] = {(f, y): Counter() for f in (0, 1) for y in (0, 1)}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[y].update(tokens(text))
-        words = list(seen[0].keys() | seen[1].keys())
-        cols = [pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["token", "toxic", "clean"])
-
-    rows = picked.select("text", "y").mapInArrow(run, "token string, toxic long, clean long")
-    return rows.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def log_odds(counts: DataFrame) -> tuple[dict[str, float], dict[str, int], float]:
-    """Lexicon of certain log-odds, its tokens' counts in clean texts, and the token total of the clean texts."""
-    totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    n_toxic, n_clean = float(totals[0] or 0), float(totals[1] or 0)
-    if not n_toxic or not n_clean:
-        return {}, {}, n_clean
-    share = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
-    a, b = F.col("toxic") + PRIOR * n_toxic * share, F.col("clean") + PRIOR * n_clean * share
-    odds = F.log(a / (n_toxic * (1 + PRIOR) - a)) - F.log(b / (n_clean * (1 + PRIOR) - b))
-    sure = counts.filter(F.col("toxic") + F.col("clean") > 1).select("token", "clean", odds.alias("odds"), (SURE * F.sqrt(1 / a + 1 / b)).alias("margin"))
-    sure = sure.filter(F.abs("odds") > F.col("margin"))
-    top = sure.orderBy(F.desc(F.abs("odds") - F.col("margin")), "token").limit(LEXICON).collect()
-    lexicon = {r["token"]: r["odds"] - math.copysign(r["margin"], r["odds"]) for r in top}
-    return lexicon, {r["token"]: r["clean"] for r in top}, n_clean
+            for text, y, fold in zip(*(c.to_pylist() for c in b.columns)):
+                seen[fold, y].update(tokens(text))
+        for fold in (0, 1):
+            words = list(seen[fold, 0].keys() | seen[fold, 1].keys())
+            cols = [words, [fold] * len(words), [seen[fold, 1][w] for w in words], [seen[fold, 0][w] for w in words]]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["token", "fold", "toxic", "clean"])
+
+    rows = picked.select("text", "y", "fold").mapInArrow(run, "token string, fold int, toxic long, clean long")
+    return rows.groupBy("token", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def shares(docs: DataFrame, words: list[str]) -> tuple[Counter, int]:
+    """Counts of the sample's words in all documents, and all tokens of these."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        total, known = 0, shared.value
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = tokens(text or "")
+                total += len(found)
+                seen.update(w for w in found if w in known)
+        cols = [pa.array([None, *seen], pa.string()), pa.array([total, *seen.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["token", "n"])
+
+    # at most one row a word of the sample
+    rows = docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = Counter({r["token"]: r["n"] for r in rows if r["token"] is not None})
+    return counts, sum(r["n"] for r in rows if r["token"] is None)
+
+
+def log_odds(toxic: Counter, clean: Counter, everywhere: Counter, total: int) -> dict[tuple[int, str], float]:
+    """Log-odds of the sample's words (level 0) and stems (level: their length)."""
+    n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
+    if not n_toxic or not n_clean or not total:
+        return {}
+    words = toxic.keys() | clean.keys()
+    rates: dict[tuple[int, str], tuple[float, float]] = {}
+    for level in (*STEMS, 0):
+        of: dict[str, list[int]] = {}
+        for w in words:
+            sums = of.setdefault(w[:level] if level else w, [0, 0, 0])
+            sums[0] += toxic[w]
+            sums[1] += clean[w]
+            sums[2] += max(everywhere[w], toxic[w] + clean[w])
+        for k, (t, c, n) in of.items():
+            above = parent(k, level, rates)
+            share = n / total
+            rates[level, k] = (t + PRIOR * above[0]) / (n_toxic * share + PRIOR), (c + PRIOR * above[1]) / (n_clean * share + PRIOR)
+    return {k: math.log(t / c) for k, (t, c) in rates.items()}
+
+
+def parent(k: str, level: int, held: dict, other=(1.0, 1.0)):
+    """What the longest known stem of a word, shorter than its own level, holds."""
+    for stem in reversed(STEMS):
+        if not level or stem < level:
+            found = held.get((stem, k[:stem]))
+            if found is not None:
+                return found
+    return other
 
 
 class Passages:
     """Lexicon and calibration; ``find`` gives the significant passages, ``score`` the calibrated score."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[tuple[int, str], float]):
         self.lexicon = lexicon
         self.rate, self.k = 1.0, 0.1
         self.weights = np.array([-math.inf, 0.0])
+        self.known: dict[str, float] = {}
 
-    def values(self, words: list[str]) -> list[float] | None:
-        found = list(map(self.lexicon.get, words))
-        if not any(v is not None and v > DRIFT for v in found):
-            return None
-        return [(v or 0.0) - DRIFT for v in found]
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
+    def value(self, word: str) -> float:
+        found = self.lexicon.get((0, word))
+        return (parent(word, 0, self.lexicon, 0.0) if found is None else found) - DRIFT
+
+    def values(self, words: list[str]) -> list[float]:
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        for w in set(words) - known.keys():
+            known[w] = self.value(w)
+        return [known[w] for w in words]
+
+    def all_segments(self, text: str) -> list[tuple[int, int, float, float]]:
+        """(first token, end token, sum, -ln E) of every maximal segment."""
+        values = self.values(tokens(text))
+        size = math.log(self.k * max(len(values), 1))
+        return [(a, b, s, self.rate * s - size) for a, b, s in segments(values)] if values else []
 
     def find(self, text: str) -> list[tuple[int, int, float, float]]:
-        """(first token, end token, sum, -ln E) of passages that clean text would not show by chance."""
-        words = tokens(text)
-        values = self.values(words)
-        if values is None:
-            return []
-        size = math.log(self.k * len(words))
-        found = [(a, b, s, self.rate * s - size) for a, b, s in segments(values)]
-        return [x for x in found if x[3] > 0]
-
-    @staticmethod
-    def evidence(found: list[tuple[int, int, float, float]]) -> float:
-        return math.log1p(sum(x[3] for x in found))
-
-    def score(self, found: list[tuple[int, int, float, float]]) -> float:
+        """The segments that clean text would not show by chance."""
+        return [x for x in self.all_segments(text) if x[3] > 0]
+
+    def evidence(self, text: str) -> tuple[float, int]:
+        """Evidence on a logarithmic scale both ways from zero, and the number of significant segments."""
+        found = self.all_segments(text)
+        sure = [x[3] for x in found if x[3] > 0]
+        if sure:
+            return math.log1p(sum(sure)), len(sure)
+        best = max((x[3] for x in found), default=-math.log(self.k * max(len(tokens(text)), 1)))
+        return -math.log1p(max(-best, 0.0)), 0
+
+    def score(self, evidence: float) -> float:
         if not self.lexicon:
             return 0.0
-        z = self.weights[0] + self.weights[1] * self.evidence(found)
+        z = self.weights[0] + self.weights[1] * evidence
         return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
@@ -148,60 +210,69 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def learn(counts: list, folds: tuple[int, ...], everywhere: Counter, total: int) -> tuple[Passages, Counter]:
+    """Odds and rate from the given halves of the sample, and their clean counts."""
+    toxic, clean = Counter(), Counter()
+    for r in counts:
+        if r["fold"] in folds:
+            toxic[r["token"]] += r["toxic"]
+            clean[r["token"]] += r["clean"]
+    model = Passages(log_odds(toxic, clean, everywhere, total))
+    if model.lexicon:
+        seen = [(model.value(w), n) for w, n in clean.items() if n]
+        value, weight = (np.array(x, float) for x in zip(*seen))
+        model.rate = solve_rate(value, weight / weight.sum())
+    return model, clean
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Passages:
-    """Learn from a bounded labelled sample: token counts, clean-text law and the final curve."""
-    picked = stored(sample(docs, labels, label, rows), "toxic-sample")
-    counts = stored(count_tokens(picked), "toxic-counts")
-    lexicon, clean_count, n_clean = log_odds(counts)
-    model = Passages(lexicon)
-    if not lexicon:
+    """Learn from a bounded labelled sample (odds, clean-text law, final curve) and the counts of all documents."""
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("fold")
+    picked = stored(sample(docs, labels, label, rows).select("text", "y", half), "toxic-sample")
+    # the sample's words: bounded by the labelled rows
+    counts = count_tokens(picked).collect()
+    everywhere, total = shares(docs, list({r["token"] for r in counts}))
+    model, _ = learn(counts, (0, 1), everywhere, total)
+    if not model.lexicon:
         return model
-    value = np.array([v - DRIFT for v in lexicon.values()] + [-DRIFT])
-    seen = np.array([clean_count[t] for t in lexicon], float)
-    weight = np.concatenate([seen + 0.5, [max(n_clean - seen.sum(), 1.0)]])
-    model.rate = solve_rate(value, weight / weight.sum())
-    law = picked.sparkSession.sparkContext.broadcast(model)
+    # each half is scored with the odds of the other one
+    crossed = [learn(counts, (1 - f,), everywhere, total)[0] for f in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(crossed)
 
-    def clean_segments() -> Callable:
-        m = law.value
+    def strong_segments() -> Callable:
+        models = shared.value
 
-        def f(texts: list) -> list[list]:
-            each = []
-            for t in texts:
-                v = m.values(tokens(t))
-                each.append(0.0 if v is None else sum(1.0 for _, _, s in segments(v) if s >= 1.0))
-            return [each]
+        def f(texts: list, folds: list) -> list[list]:
+            return [[float(sum(1 for x in models[h].all_segments(t) if x[2] >= 1.0)) for t, h in zip(texts, folds)]]
 
         return f
 
-    clean = map_columns(picked.filter("y = 0").select("text"), ["text"], [("n", "double")], clean_segments)
+    clean = map_columns(picked.filter("y = 0"), ["text", "fold"], [("n", "double")], strong_segments)
     many = clean.agg(F.sum("n")).first()[0] or 0.0
-    model.k = float(np.clip((many + 0.5) / max(n_clean, 1.0) * math.exp(model.rate), 1e-6, 1.0))
-    seen_rows = evidence(picked.select("text", "y"), model).select("evidence", "y").collect()
-    model.weights = logistic(np.array([r[0] for r in seen_rows]), np.array([r[1] for r in seen_rows], float))
-    return model
-
-
-def evidence(docs: DataFrame, model: Passages) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n_clean = float(sum(r["clean"] for r in counts))
+    for m in (model, *crossed):
+        m.k = float(np.clip((many + 0.5) / max(n_clean, 1.0) * math.exp(m.rate), 1e-6, 1.0))
+    shared = docs.sparkSession.sparkContext.broadcast(crossed)
 
-    def make() -> Callable:
-        model = shared.value
-        return lambda texts: [[model.evidence(model.find(t or "")) for t in texts]]
+    def evidence() -> Callable:
+        models = shared.value
+        return lambda texts, folds: [[models[h].evidence(t)[0] for t, h in zip(texts, folds)]]
 
-    return map_columns(docs, ["text"], [("evidence", "double")], make)
+    seen_rows = map_columns(picked, ["text", "fold"], [("evidence", "double")], evidence).select("evidence", "y").collect()
+    model.weights = logistic(np.array([r[0] for r in seen_rows]), np.array([r[1] for r in seen_rows], float))
+    return model
 
 
 def score(docs: DataFrame, model: Passages) -> DataFrame:
-    """Append score and passages (their number)."""
+    """Append score and passages (the number of significant ones)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable:
         model = shared.value
 
         def f(texts: list) -> list[list]:
-            found = [model.find(t or "") for t in texts]
-            return [[model.score(x) for x in found], [len(x) for x in found]]
+            found = [model.evidence(t or "") for t in texts]
+            return [[model.score(e) for e, _ in found], [n for _, n in found]]
 
         return f
 
