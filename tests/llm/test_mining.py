@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -147,8 +148,8 @@ def test_repeats(which, length, request):
     assert repeats(df, length) == Counter((r.doc_id, n, tuple(s), k) for r, (n, s, k) in zip(rows, want))
 
 
-def test_repeats_over_small_blocks_chunks_and_ranges(spark, monkeypatch):
-    """Passages of every kind of overlap, cut by blocks, chunks, ranges and buckets."""
+def test_repeats_over_small_blocks_and_ranges(spark, monkeypatch):
+    """Passages of every kind of overlap, cut by blocks, ranges and buckets."""
     draw = random.Random(3)
     letters = "abcdefghij "
     passages = ["".join(draw.choices(letters, k=n)) for n in (39, 40, 41, 60, 200, 700)]
@@ -157,7 +158,7 @@ def test_repeats_over_small_blocks_chunks_and_ranges(spark, monkeypatch):
         parts = [draw.choice(passages)[draw.randrange(0, 30) :] if draw.random() < 0.6 else "".join(draw.choices(letters, k=draw.randrange(80))) for _ in range(5)]
         texts.append("".join(parts))
     texts += [passages[-1]] * 30 + ["ab" * 200, "ab" * 90 + "c"]
-    for name, value in {"CHUNK": 97, "RANGE": 500, "BUCKET": 64, "RANGES": 5}.items():
+    for name, value in {"RANGE": 500, "BUCKET": 64, "RANGES": 5}.items():
         monkeypatch.setattr(suffix_dedup, name, value)
     df = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "passages")
     rows = df.collect()
@@ -165,6 +166,28 @@ def test_repeats_over_small_blocks_chunks_and_ranges(spark, monkeypatch):
     assert repeats(df, 40, block_bytes=900) == Counter((r.doc_id, n, tuple(s), k) for r, (n, s, k) in zip(rows, want))
 
 
+def test_chunks_do_not_change_anchors(monkeypatch):
+    """Every suffix has the same anchor string whatever the chunk, and equal suffixes have equal ones."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abc", k=n)).encode() for n in (0, 39, 40, 500, 1300)]
+    texts += [texts[3] + b"x" + texts[4][:200], b"ab" * 300]
+    data = zstandard.ZstdCompressor().compress(b"\0".join([*texts, b""]))
+    seen = []
+    for chunk in (64, 97, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        text = suffix_dedup.Text([len(t) for t in texts], data, 40)
+        found = {}
+        for x in text.stretches():
+            for first, last, anchor in zip(x.first.tolist(), x.last.tolist(), x.anchor.tolist()):
+                found |= dict.fromkeys(range(first, last + 1), anchor)
+        seen.append(found)
+    assert seen[0] == seen[1] == seen[2] and sorted(seen[0]) == np.flatnonzero(text.valid).tolist()
+    by = defaultdict(set)
+    for place, anchor in seen[0].items():
+        by[text.raw[place : place + 40]].add(anchor)
+    assert all(len(a) == 1 for a in by.values())
+
+
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 2**64 - 1)), max_size=80))
 def test_multikey_order(rows):
     tokens = [np.array([r[i] for r in rows], np.uint64) for i in range(3)]

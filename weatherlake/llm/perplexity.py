@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weatherlake.llm.common import ROW, SPACES, body, keep_rows, numbered, stored
-from weatherlake.llm.exchange import BLOCK, bucketed, text_blocks, text_of
+from weatherlake.llm.exchange import bucketed, text_blocks, text_of
 from weatherlake.llm.ngram_lm import deltas, pack, unpack
 
 ORDER = 4
@@ -37,8 +37,8 @@ BITS, START = 21, 0x110000
 WIDTH = 5.0
 #: log10 probability of an n-gram that the model does not have.
 UNSEEN = -6.0
-#: Distinct n-grams that a task holds before it passes its counts on, and text bytes per range of n-grams.
-HELD, RANGE = 1 << 21, 32 << 20
+#: Distinct n-grams that a task holds before it passes its counts on, text bytes per range of n-grams, and per block.
+HELD, RANGE, BLOCK = 1 << 20, 32 << 20, 2 << 20
 GRAM = ["lang", "ctx", "w"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -49,22 +49,30 @@ def numbers(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(x, return_inverse=True)
     there = np.zeros(size, bool)
     there[x] = True
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - np.int32(1))[x]
+
+
+def present(points: np.ndarray) -> np.ndarray:
+    """Distinct symbols, ascending."""
+    there = np.zeros(START, bool)
+    there[points] = True
+    return np.flatnonzero(there)
 
 
 class Grams:
     """The n-grams of a block: per language its distinct (ctx, w), and the number of each symbol's n-gram."""
 
     def __init__(self, raw: bytes, sizes: list[int], langs: list[str]):
-        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        starts_char = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-        before = np.concatenate([[0], np.cumsum(starts_char)])
+        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.int32)
         self.sizes = np.array(sizes, np.int64)
         at = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.first, self.stop = before[at], before[at + self.sizes]
+        # places of bytes to places of characters
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int32)])
+        self.first, self.stop = before[at].astype(np.int64), before[at + self.sizes].astype(np.int64)
+        del before
         columns = [points]
         for back in range(1, ORDER):
-            x = np.concatenate([np.full(back, START), points[:-back]])[: len(points)]
+            x = np.concatenate([np.full(back, START, np.int32), points[:-back]])[: len(points)]
             for ahead in range(back):
                 i = self.first + ahead
                 x[i[i < len(x)]] = START
@@ -74,19 +82,28 @@ class Grams:
         of = np.full(len(points), -1, np.int32)
         for i, j, lang in zip(self.first.tolist(), self.stop.tolist(), langs):
             of[i:j] = number[lang]
-        self.at = np.full(len(points), -1)
+        self.at = np.full(len(points), -1, np.int32)
         self.keys: list[tuple[np.ndarray, np.ndarray]] = []
         self.counts: list[np.ndarray] = []
         for k in range(len(self.langs)):
-            here = np.flatnonzero(of == k)
+            here = of == k
+            n = int(here.sum())
             mine = [c[here] for c in columns]
-            symbols, _ = numbers(np.concatenate([mine[-1], [START]]), START + 1)
-            table = lookup(symbols) if len(here) >= 4096 else None
-            code = [np.searchsorted(symbols, c) if table is None else table[c] for c in mine]
+            symbols = np.append(present(mine[-1]), START)
             s = len(symbols)
-            pairs, pair = numbers(np.concatenate([code[0] * s + code[1], code[2] * s + code[3]]), s * s)
-            left, right = pair[: len(here)], pair[len(here) :]
-            quads, quad = numbers(left * len(pairs) + right, len(pairs) ** 2)
+            # the symbols' numbers, then those of pairs of symbols, then those of pairs of pairs
+            code = [np.searchsorted(symbols, c) if n < 4096 else lookup(symbols)[c] for c in mine]
+            pair = np.empty(2 * n, np.int64)
+            pair[:n], pair[n:] = code[0], code[2]
+            pair *= s
+            pair[:n] += code[1]
+            pair[n:] += code[3]
+            del mine, code
+            pairs, pair = numbers(pair, s * s)
+            quad = pair[:n] * np.int64(len(pairs))
+            quad += pair[n:]
+            del pair
+            quads, quad = numbers(quad, len(pairs) ** 2)
             a, b = np.divmod(pairs[quads // len(pairs)], s) if len(quads) else (quads, quads)
             c, d = np.divmod(pairs[quads % len(pairs)], s) if len(quads) else (quads, quads)
             ctx = (symbols[a] << 2 * BITS) | (symbols[b] << BITS) | symbols[c]
@@ -97,7 +114,7 @@ class Grams:
 
 
 def lookup(symbols: np.ndarray) -> np.ndarray:
-    out = np.zeros(START + 1, np.int64)
+    out = np.zeros(START + 1, np.int32)
     out[symbols] = np.arange(len(symbols))
     return out
 
