@@ -12,7 +12,8 @@ is the sum of -ln E over its significant segments (E < 1) or, where it has none,
 without a passage are ranked too. A logistic curve turns it into a score; it is fitted on sample texts, each scored with
 odds learned from the other half of the sample. Scoring is a map over the documents: no shuffle.
 
-The lexicon holds the sample's words and stems, so it is bounded by the labelled rows; other words use their stems.
+The lexicon holds the stems of the sample's words, and those words that it has ``LEAST`` times or more; it is bounded by
+the labelled rows. Other words use their stems.
 
 Defined results: null or empty text has no passages and gets the score of no evidence at all; without both labels in
 the sample every score is 0; repeated rows score alike; an empty table gives an empty result; extra columns pass
@@ -37,6 +38,8 @@ from weatherlake.llm.labelled import sample
 SAMPLE = 20_000
 DRIFT, PRIOR = 1.0, 1.0
 STEMS = (3, 4, 5)
+#: Occurrences in the sample from which a word has odds of its own.
+LEAST = 4
 #: Words whose values a task remembers.
 KNOWN = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -69,7 +72,8 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def count_tokens(picked: DataFrame) -> DataFrame:
-    """(token, fold, toxic, clean): counts over the sample, in each half of it."""
+    """(token, toxic0, toxic1, clean0, clean1): counts over the two halves of the sample. Words that it has less than
+    ``LEAST`` times are added up under their longest stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], Counter] = {(f, y): Counter() for f in (0, 1) for y in (0, 1)}
@@ -83,22 +87,40 @@ def count_tokens(picked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["token", "fold", "toxic", "clean"])
 
     rows = picked.select("text", "y", "fold").mapInArrow(run, "token string, fold int, toxic long, clean long")
-    return rows.groupBy("token", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sides = [F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for c in ("toxic", "clean") for f in (0, 1)]
+    each = rows.groupBy("token").agg(*sides).fillna(0)
+    # a rare word counts for its stem alone
+    often = sum(F.col(f"{c}{f}") for c in ("toxic", "clean") for f in (0, 1)) >= LEAST
+    key = F.when(often, F.col("token")).otherwise(F.substring("token", 1, max(STEMS)))
+    return each.groupBy(key.alias("token")).agg(*[F.sum(f"{c}{f}").alias(f"{c}{f}") for c in ("toxic", "clean") for f in (0, 1)])
 
 
 def shares(docs: DataFrame, words: list[str]) -> tuple[Counter, int]:
     """Counts of the sample's words in all documents, and all tokens of these."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
 
+    def add_known(to: Counter, counts: Counter) -> None:
+        known, longest = shared.value, max(STEMS)
+        for w, n in counts.items():
+            k = w if w in known else w[:longest]
+            if k in known:
+                to[k] += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        total, known = 0, shared.value
+        total = 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 found = tokens(text or "")
                 total += len(found)
-                seen.update(w for w in found if w in known)
-        cols = [pa.array([None, *seen], pa.string()), pa.array([total, *seen.values()], pa.int64())]
+                seen.update(found)
+            if len(seen) > KNOWN:
+                kept: Counter = Counter()
+                add_known(kept, seen)
+                seen = kept
+        kept = Counter()
+        add_known(kept, seen)
+        cols = [pa.array([None, *kept], pa.string()), pa.array([total, *kept.values()], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["token", "n"])
 
     # at most one row a word of the sample
@@ -214,9 +236,10 @@ def learn(counts: list, folds: tuple[int, ...], everywhere: Counter, total: int)
     """Odds and rate from the given halves of the sample, and their clean counts."""
     toxic, clean = Counter(), Counter()
     for r in counts:
-        if r["fold"] in folds:
-            toxic[r["token"]] += r["toxic"]
-            clean[r["token"]] += r["clean"]
+        for f in folds:
+            toxic[r["token"]] += r[f"toxic{f}"]
+            clean[r["token"]] += r[f"clean{f}"]
+    toxic, clean = +toxic, +clean
     model = Passages(log_odds(toxic, clean, everywhere, total))
     if model.lexicon:
         seen = [(model.value(w), n) for w, n in clean.items() if n]
@@ -229,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     """Learn from a bounded labelled sample (odds, clean-text law, final curve) and the counts of all documents."""
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("fold")
     picked = stored(sample(docs, labels, label, rows).select("text", "y", half), "toxic-sample")
-    # the sample's words: bounded by the labelled rows
+    # the sample's words of LEAST occurrences, and stems: bounded by the labelled rows
     counts = count_tokens(picked).collect()
     everywhere, total = shares(docs, list({r["token"] for r in counts}))
     model, _ = learn(counts, (0, 1), everywhere, total)
@@ -249,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
     clean = map_columns(picked.filter("y = 0"), ["text", "fold"], [("n", "double")], strong_segments)
     many = clean.agg(F.sum("n")).first()[0] or 0.0
-    n_clean = float(sum(r["clean"] for r in counts))
+    n_clean = float(sum(r["clean0"] + r["clean1"] for r in counts))
     for m in (model, *crossed):
         m.k = float(np.clip((many + 0.5) / max(n_clean, 1.0) * math.exp(m.rate), 1e-6, 1.0))
     shared = docs.sparkSession.sparkContext.broadcast(crossed)
