@@ -180,8 +180,9 @@ class Passages:
         known = self.known
         if len(known) > KNOWN:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.value(w)
+        for w in words:
+            if w not in known:
+                known[w] = self.value(w)
         return [known[w] for w in words]
 
     def all_segments(self, text: str) -> list[tuple[int, int, float, float]]:
