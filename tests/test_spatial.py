@@ -145,3 +145,73 @@ def test_coast_distance(spark):
         geo.coast_distance(F.lit(0.0), F.lit(0.0), [(0.0, 1.0), (5.0, 5.0)]).alias("own"),
     ).first()
     assert r.land == 0.0 and r.far == 1000.0 and r.own == pytest.approx(111.19, abs=0.01)
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") + df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_points_of_one_place_are_searched_once_and_none_is_broadcast(spark):
+    """Many ids at few places: the searched rows are places, and no exploded side is gathered in the driver."""
+    p = spark.range(4000).select("id", (F.col("id") % 4 * 10).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
+    o = spark.createDataFrame([(1, 0.0, 0.0, 4.0), (2, 0.0, 2.0, 8.0), (3, 10.0, 1.0, 5.0), (0, 10.0, 1.0, 6.0)], "obs_id long, lat double, lon double, v double")
+    out = spatial.inverse_distance(p, o, 500.0)
+    assert broadcasts(out) == 0
+    got = {r.lat: (r.n, r.lo, r.hi) for r in out.groupBy("lat").agg(F.count("*").alias("n"), F.min("idw").alias("lo"), F.max("idw").alias("hi")).collect()}
+    assert got == {0.0: (1000, pytest.approx(6.0), pytest.approx(6.0)), 10.0: (1000, 6.0, 6.0), 20.0: (1000, None, None), 30.0: (1000, None, None)}
+    assert broadcasts(spatial.cressman(p.withColumn("background", F.lit(0.0)), o, 500.0)) == 0
+
+
+def test_an_id_at_several_places_adds_them_up(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 3.0), (None, 0.0, 0.0), (2, None, 0.0)], "id long, lat double, lon double")
+    o = spark.createDataFrame([(1, 0.0, 1.0, 4.0), (2, 0.0, 4.0, 8.0)], "obs_id long, lat double, lon double, v double")
+    got = sorted((r.id or 0, r.idw) for r in spatial.inverse_distance(p, o, 150.0).collect())
+    assert got == [(0, None), (1, pytest.approx(6.0)), (1, pytest.approx(6.0)), (2, None)]
+    v = o.select(F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    km = float(hav(0.0, 0.0, 0.0, 1.0))
+    near = sorted((r.id or 0, r.nearest_km) for r in spatial.nearest_within(p, v, 150.0).collect() if r.nearest_km is not None)
+    assert near == [(1, pytest.approx(km)), (1, pytest.approx(km))]
+
+
+@pytest.mark.parametrize("limit", [10.0, 60.0, 3000.0])
+def test_nearest_within_agrees_with_all_pairs(spark, limit):
+    rng = np.random.default_rng(6)
+    p = np.c_[rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200)]
+    v = np.c_[rng.uniform(-90, 90, 150), rng.uniform(-180, 180, 150)]
+    v[:20] = p[:20] + 0.05
+    p[:2], v[:2] = [[89.9, 0], [10, 180]], [[89.95, 170], [10, -179.99]]
+    ps = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id long, lat double, lon double")
+    vs = spark.createDataFrame([(float(a), float(b)) for a, b in v], "o_lat double, o_lon double")
+    got = {r.id: r.nearest_km for r in spatial.nearest_within(ps, vs, limit).collect()}
+    best = hav(p[:, None, 0], p[:, None, 1], v[None, :, 0], v[None, :, 1]).min(1)
+    assert len(got) == 200
+    for i, d in enumerate(best):
+        assert got[i] == (pytest.approx(d, abs=1e-6) if d <= limit else None)
+
+
+def test_nearest_within_leaves_far_vertices_unjoined(spark, monkeypatch):
+    """A point with a vertex close by is not joined to those within the limit."""
+    radii = []
+    join = spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda p, o, r, by=(): radii.append(r) or join(p, o, r, by))
+    p = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
+    v = spark.createDataFrame([(0.0, 0.1), (0.0, 9.0)], "o_lat double, o_lon double")
+    assert spatial.nearest_within(p, v, 2500.0).first().nearest_km == pytest.approx(float(hav(0.0, 0.0, 0.0, 0.1)))
+    assert radii == [25.0]
+
+
+def test_bilinear_keeps_the_product_out_of_shuffles(spark):
+    """Values per frame and point come straight from the join; an id that occurs twice counts eight corners, so NULL."""
+    v = np.arange(16.0).reshape(4, 4)
+    ax = Axis(0.0, 1.0, 4)
+    p = spark.createDataFrame([(1, 1.5, 1.25), (2, 0.5, 2.5), (3, 0.5, 0.5), (3, 1.5, 0.5), (None, 0.25, 0.0)], "id long, lat double, lon double")
+    frames = cells(spark, v).drop("time").crossJoin(spark.range(50).withColumnRenamed("id", "time"))
+    out = grids.bilinear(frames, p, ax, ax)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert got == {1: [pytest.approx(7.25)] * 50, 2: [pytest.approx(4.5)] * 50, 3: [None] * 50, None: [pytest.approx(1.0)] * 50}
+    single = grids.bilinear(frames, p.filter("id < 3"), ax, ax)
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above

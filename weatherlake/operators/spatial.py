@@ -175,8 +175,9 @@ def radius_join(points: DataFrame, obs: DataFrame, radius_km: float, by: Sequenc
     """Pairs of points (lat, lon) and observations (o_lat, o_lon) within the radius, with ``d``.
 
     Observations sit in one lat/lon cell; a point looks into the cells its radius can touch, including
-    across the date line and the poles. The cell equi-join is a shuffle (or an automatic broadcast when
-    one side is small), never a cartesian product, and skewed cells are split by AQE.
+    across the date line and the poles. The cell equi-join is a sort-merge join, never a cartesian product, and skewed
+    cells are split by AQE. It is asked for: Spark's size estimate leaves the copies of a point in several cells out, and
+    would gather them in the driver to broadcast them.
     """
     size = min(max(radius_km / KM_PER_DEGREE, 0.05), 30.0)
     n_lon = max(math.floor(360.0 / size), 1)
@@ -199,7 +200,16 @@ def radius_join(points: DataFrame, obs: DataFrame, radius_km: float, by: Sequenc
     cols = F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.lit(n_lon)))
     p = points.withColumn("_r", F.explode(rows)).withColumn("_c", F.explode(F.array_distinct(cols)))
     d = haversine(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
-    return p.join(o, [*by, "_r", "_c"]).withColumn("d", d).filter(F.col("d") <= radius_km).drop("_r", "_c")
+    return p.join(o.hint("merge"), [*by, "_r", "_c"]).withColumn("d", d).filter(F.col("d") <= radius_km).drop("_r", "_c")
+
+
+def _around(points: DataFrame, obs: DataFrame, radius_km: float, by: Sequence[str], each: Sequence[Column], whole: Sequence[Column]) -> DataFrame:
+    """One row per (by, id) with observations in the radius: ``each`` adds them up around a place, ``whole`` over the
+    places of an id. Points at one place are searched once, and none is gathered in the driver."""
+    places = points.select(*by, "lat", "lon").distinct()
+    at = radius_join(places, obs, radius_km, by).groupBy(*by, "lat", "lon").agg(*each)
+    found = points.select(*by, "id", "lat", "lon").join(at.hint("merge"), [*by, "lat", "lon"])
+    return found.groupBy(*by, "id").agg(*whole)
 
 
 def _at_location(obs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -218,33 +228,39 @@ def cressman(points: DataFrame, obs: DataFrame, radius_km: float = 200.0, by: Se
     observations, or with zero total weight, keep the background.
     """
     r2 = radius_km**2
-    j = radius_join(points, _at_location(obs, by), radius_km, by)
     w = (F.lit(r2) - F.col("d") * F.col("d")) / (F.lit(r2) + F.col("d") * F.col("d"))
-    g = j.groupBy(*by, "id").agg(F.sum(w * F.col("o_sum")).alias("_s"), F.sum(w * F.col("o_n")).alias("_w"))
-    out = points.join(g, [*by, "id"], "left")
+    each = [F.sum(w * F.col("o_sum")).alias("_s"), F.sum(w * F.col("o_n")).alias("_w")]
+    g = _around(points, _at_location(obs, by), radius_km, by, each, [F.sum("_s").alias("_s"), F.sum("_w").alias("_w")])
+    out = points.join(g.hint("merge"), [*by, "id"], "left")
     fix = F.when(F.col("_w") != 0, F.col("_s") / F.col("_w") - F.col("background")).otherwise(0.0)
     return out.withColumn("analysis", F.col("background") + F.coalesce(fix, F.lit(0.0))).drop("_s", "_w")
 
 
 def inverse_distance(points: DataFrame, obs: DataFrame, max_km: float, power: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
     """IDW over observations up to ``max_km``; a point on an observation takes that value (lowest obs_id)."""
-    j = radius_join(points, _at_location(obs, by), max_km, by)
     w = F.when(F.col("d") > 0, F.lit(1.0) / F.pow("d", F.lit(power)))
-    g = j.groupBy(*by, "id").agg(
-        F.max(F.when(F.col("d") == 0, F.col("o_first"))).alias("_hit"),
-        (F.sum(w * F.col("o_sum")) / F.sum(w * F.col("o_n"))).alias("_idw"),
-    )
-    return points.join(g, [*by, "id"], "left").withColumn("idw", F.coalesce("_hit", "_idw")).drop("_hit", "_idw")
+    hit = F.max(F.when(F.col("d") == 0, F.col("o_first"))).alias("_hit")
+    each = [hit, F.sum(w * F.col("o_sum")).alias("_s"), F.sum(w * F.col("o_n")).alias("_w")]
+    whole = [F.max("_hit").alias("_hit"), (F.sum("_s") / F.sum("_w")).alias("_idw")]
+    g = _around(points, _at_location(obs, by), max_km, by, each, whole)
+    return points.join(g.hint("merge"), [*by, "id"], "left").withColumn("idw", F.coalesce("_hit", "_idw")).drop("_hit", "_idw")
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, max_km: float) -> DataFrame:
-    """Distance to the nearest vertex table row (o_lat, o_lon) up to ``max_km``, else NULL."""
-    g = radius_join(points, vertices, max_km).groupBy("id").agg(F.min("d").alias("nearest_km"))
-    return points.join(g, "id", "left")
+    """Distance to the nearest vertex table row (o_lat, o_lon) up to ``max_km``, else NULL; rings as in ``nearest``."""
+    hits = points.select("id", "lat", "lon").join(_rings(points, vertices, min(25.0, max_km), max_km).hint("merge"), ["lat", "lon"])
+    g = hits.groupBy("id").agg(F.min("nearest_km").alias("nearest_km"))
+    return points.join(g.hint("merge"), "id", "left")
 
 
 def nearest(points: DataFrame, vertices: DataFrame, first_km: float = 25.0) -> DataFrame:
-    """Distance to the nearest vertex (o_lat, o_lon), however far, as ``nearest_km``; NULL without vertices.
+    """Distance to the nearest vertex (o_lat, o_lon), however far, as ``nearest_km``; NULL without vertices."""
+    hits = _rings(points, vertices, first_km, math.pi * 6371.0 * 1.001)
+    return points.join(hits.hint("merge"), ["lat", "lon"], "left").select(*points.columns, "nearest_km")
+
+
+def _rings(points: DataFrame, vertices: DataFrame, first_km: float, last_km: float) -> DataFrame:
+    """(lat, lon, nearest_km) for the places of points with a vertex within ``last_km``.
 
     Rings grow by two: a round joins the circle of its radius for the points that no smaller circle answered, and keeps
     one minimum per point. A point so meets about as many vertices as lie within twice the distance of its nearest.
@@ -252,18 +268,18 @@ def nearest(points: DataFrame, vertices: DataFrame, first_km: float = 25.0) -> D
     """
     v = vertices.dropna(subset=["o_lat", "o_lon"]).select("o_lat", "o_lon").distinct()
     open_places = materialise(points.dropna(subset=["lat", "lon"]).select("lat", "lon").distinct(), "ring-points")
-    found, radius, half = [], first_km, math.pi * 6371.0
+    found, radius = [], first_km
     while True:
-        hit = radius_join(open_places, v, min(radius, half * 1.001)).groupBy("lat", "lon").agg(F.min("d").alias("nearest_km"))
+        hit = radius_join(open_places, v, min(radius, last_km)).groupBy("lat", "lon").agg(F.min("d").alias("nearest_km"))
         hit = materialise(hit, "ring-hits")
         found.append(hit)
-        if radius >= half:
+        if radius >= last_km:
             break
         open_places = materialise(open_places.join(hit, ["lat", "lon"], "left_anti"), "ring-points")
         if open_places.isEmpty():
             break
         radius *= 2
-    return points.join(reduce(DataFrame.unionAll, found), ["lat", "lon"], "left").select(*points.columns, "nearest_km")
+    return reduce(DataFrame.unionAll, found)
 
 
 def weighted_to_target(
