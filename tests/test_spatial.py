@@ -215,3 +215,24 @@ def test_bilinear_keeps_the_product_out_of_shuffles(spark):
     plan = single._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above
+
+
+def test_wind_search_meets_each_place_once(spark, tmp_path, monkeypatch):
+    """Sites at one place and centres of one category at one place are joined once, and every site gets its row."""
+    import pandas as pd
+
+    from weatherlake.plans import hazard_queries
+
+    # customers 25,200 apart lie at one place, and so do users 2,520 apart
+    pd.DataFrame({"c_custkey": [0, 25200, 50400, 7], "c_acctbal": [1.0] * 4}).to_parquet(tmp_path / "customer.parquet")
+    users = [0, 2520, 5040]
+    ts = pd.to_datetime(["2024-01-01"] * 3).astype("datetime64[us]")
+    pd.DataFrame(
+        {"event_id": [1, 2, 3], "ts": ts, "user_id": users, "event_type": ["a"] * 3, "value": [300.0] * 3, "props": [None, None, "x"]}
+    ).to_parquet(tmp_path / "events.parquet")
+    seen = []
+    join = hazard_queries.spatial.radius_join
+    monkeypatch.setattr(hazard_queries.spatial, "radius_join", lambda c, s, r, by=(): seen.append((c.count(), s.count())) or join(c, s, r, by))
+    got = {r.obs_id: r.wind_ms for r in hazard_queries.hz_wind_at_radius(spark, str(tmp_path)).collect()}
+    assert seen == [(1, 2)]
+    assert {0, 25200, 50400} <= set(got) and len({got[k] for k in (0, 25200, 50400)}) == 1
