@@ -246,3 +246,21 @@ def test_bursts_and_null_keys(spark, ranges):
             total += r[2]
             want[r[2]] = (n, total)
     assert {r.i: (r.n, r.s) for r in out.collect()} == want
+
+
+def test_features_need_no_window_per_step(spark):
+    """The doubling frames of a tile are arrays: the plan's windows don't grow with variables or sizes, and tiles of
+    many keys share a batch."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": rng.integers(0, 60, 3000), "t": rng.permutation(3000), "x": rng.normal(size=3000)})
+    df = spark.createDataFrame(pdf)
+    out = series.features(df, ["k"], ["t"], ["x"], stats=("lag", "window"), lags=(1, 6), windows=(6, 24))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
+    got = out.toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    g = pdf.sort_values(["k", "t"]).reset_index(drop=True).groupby("k").x
+    np.testing.assert_allclose(got.x_lag_6, g.shift(6))
+    for size in (6, 24):
+        r = g.rolling(size, min_periods=size // 2)
+        np.testing.assert_allclose(got[f"x_rollmean_{size}"], r.mean().to_numpy(), atol=1e-12)
+        np.testing.assert_allclose(got[f"x_rollstd_{size}"], r.std().to_numpy(), atol=1e-9)
+        np.testing.assert_array_equal(got[f"x_rollmax_{size}"], r.max().to_numpy())

@@ -6,141 +6,141 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from weatherlake.operators.windows import PLACE, POS, RANGE, left_join, over_tiles, sorted_ranges, trailing
+from weatherlake.operators.windows import PLACE, POS, RANGE, TILE, left_join, over_tiles, sorted_ranges, trailing
 from weatherlake.session import materialise
 
 LAGS = (1, 3, 6, 12, 24, 48, 72, 168)
 WINDOWS = (6, 12, 24, 48, 168)
 EMA_SPANS = (12, 24, 48)
 LENGTH = "_n"
-
-
-def lag_columns(v: str, lags: Sequence[int], w: WindowSpec) -> dict[str, Column]:
-    return {f"{v}_lag_{k}": F.lag(v, k).over(w) for k in lags}
+#: Rows that a task computes at once; a tile is never cut, and some batches may be needed to hold one.
+ROWS = 1 << 14
 
 
 # Moments of a frame: values n, mean m, squared deviations q, extremes lo and hi, and for the trend the
 # mean position t, its squared deviations u and the co-deviation c. Two adjoining frames merge without
-# subtraction, so nothing cancels and a constant frame has exactly q = 0; an empty frame is all zeros.
-_ROW = {
-    "n": "if({v} is null, 0d, 1d)",
-    "m": "coalesce(cast({v} as double), 0d)",
-    "q": "0d",
-    "lo": "cast({v} as double)",
-    "hi": "cast({v} as double)",
-    "t": f"if({{v}} is null, 0d, cast({POS} as double))",
-    "u": "0d",
-    "c": "0d",
-}
-_SHARE = "({b}n / greatest({a}n + {b}n, 1d))"
-_MERGE = {
-    "n": "{a}n + {b}n",
-    "m": "{a}m + ({b}m - {a}m) * " + _SHARE,
-    "q": "{a}q + {b}q + ({b}m - {a}m) * ({b}m - {a}m) * {a}n * " + _SHARE,
-    "lo": "least({a}lo, {b}lo)",
-    "hi": "greatest({a}hi, {b}hi)",
-    "t": "{a}t + ({b}t - {a}t) * " + _SHARE,
-    "u": "{a}u + {b}u + ({b}t - {a}t) * ({b}t - {a}t) * {a}n * " + _SHARE,
-    "c": "{a}c + {b}c + ({b}m - {a}m) * ({b}t - {a}t) * {a}n * " + _SHARE,
-}
+# subtraction, so nothing cancels and a constant frame has exactly q = 0; an empty frame is all zeros, lo is
+# NaN and hi minus infinity. As in Spark, NaN exceeds every number.
 _NEEDS = {"window": "n m q lo hi", "anomaly": "n m q", "rolling": "n m", "trend": "n m t u c"}
+_EMPTY = {"lo": np.nan, "hi": -np.inf}
+
+Frame = dict[str, np.ndarray]
+#: Values, and where they are there.
+Feature = tuple[np.ndarray, np.ndarray]
+
+
+def _rows(x: np.ndarray, there: np.ndarray, pos: np.ndarray, fields: Sequence[str]) -> Frame:
+    """Frames of one row each; ``x`` and ``there`` hold a line for each variable."""
+    zero = np.zeros(x.shape)
+    all_fields = {
+        "n": there.astype(float),
+        "m": np.where(there, x, 0.0),
+        "q": zero,
+        "lo": np.where(there, x, np.nan),
+        "hi": np.where(there, x, -np.inf),
+        "t": np.where(there, pos, 0.0),
+        "u": zero,
+        "c": zero,
+    }
+    return {f: all_fields[f] for f in fields}
+
+
+def _merged(a: Frame, b: Frame) -> Frame:
+    share = b["n"] / np.maximum(a["n"] + b["n"], 1.0)
+    dm = b["m"] - a["m"]
+    out = {"n": a["n"] + b["n"], "m": a["m"] + dm * share}
+    if "q" in a:
+        out["q"] = a["q"] + b["q"] + dm * dm * a["n"] * share
+    if "lo" in a:
+        out["lo"], out["hi"] = np.fmin(a["lo"], b["lo"]), np.maximum(a["hi"], b["hi"])
+    if "t" in a:
+        dt = b["t"] - a["t"]
+        out["t"] = a["t"] + dt * share
+        out["u"] = a["u"] + b["u"] + dt * dt * a["n"] * share
+        out["c"] = a["c"] + b["c"] + dm * dt * a["n"] * share
+    return out
 
 
-def _frame(size: int, field: str) -> str:
-    return f"_f{size}_{field}"
-
-
-def _merged(fields: Sequence[str], a: str, b: str, out: str) -> dict[str, Column]:
-    return {f"{out}{f}": F.expr(_MERGE[f].format(a=a, b=b)) for f in fields}
-
-
-def _back(fields: Sequence[str], src: str, rows: int, out: str, w: WindowSpec) -> dict[str, Column]:
-    return {f"{out}{f}": F.lag(f"{src}{f}", rows, None if f in ("lo", "hi") else 0.0).over(w) for f in fields}
+def _back(frame: Frame, rows: int, place: np.ndarray) -> Frame:
+    """The frames that end ``rows`` rows earlier; ``place`` numbers the rows of a tile from 0."""
+    out = {}
+    for f, a in frame.items():
+        out[f] = np.where(place >= rows, np.roll(a, rows, 1), _EMPTY.get(f, 0.0))
+    return out
 
 
-def with_frames(x: DataFrame, v: str, sizes: Sequence[int], fields: Sequence[str], w: WindowSpec) -> DataFrame:
-    """Add the moments of the trailing ``size`` rows as ``_f<size>_<field>`` for every size.
+def trailing_frames(rows: Frame, sizes: Sequence[int], place: np.ndarray) -> dict[int, Frame]:
+    """The moments of the trailing ``size`` rows for every size.
 
     Frames of 2, 4, 8, ... rows come from merging a frame with the one just before it; a frame of any
-    size is the merge of at most log2(size) of them. A row costs the logarithm of the frame length,
-    and all steps share one sort.
+    size is the merge of at most log2(size) of them. A row costs the logarithm of the frame length.
     """
-    x = x.withColumns({f"_p0_{f}": F.expr(_ROW[f].format(v=v)) for f in fields})
-    top = max(sizes).bit_length() - 1
-    for k in range(1, top + 1):
-        x = x.withColumns(_back(fields, f"_p{k - 1}_", 2 ** (k - 1), "_b_", w))
-        x = x.withColumns(_merged(fields, "_b_", f"_p{k - 1}_", f"_p{k}_"))
-    back, plan = {}, {}
+    powers = [rows]
+    for k in range(1, max(sizes).bit_length()):
+        powers.append(_merged(_back(powers[-1], 2 ** (k - 1), place), powers[-1]))
+    out = {}
     for size in sizes:
-        reach, plan[size] = 0, []
+        reach, got = 0, None
         for k in reversed(range(size.bit_length())):
             if size >> k & 1:
-                if reach:
-                    back |= _back(fields, f"_p{k}_", reach, f"_l{k}_{reach}_", w)
-                plan[size].append(f"_l{k}_{reach}_" if reach else f"_p{k}_")
+                part = _back(powers[k], reach, place) if reach else powers[k]
+                got = part if got is None else _merged(got, part)
                 reach += 2**k
-    if back:
-        x = x.withColumns(back)
-    for size, parts in plan.items():
-        x = x.withColumns({_frame(size, f): F.col(f"{parts[0]}{f}") for f in fields})
-        for part in parts[1:]:
-            x = x.withColumns(_merged(fields, part, f"_f{size}_", f"_f{size}_"))
-    return x.drop(*[f"_p{k}_{f}" for k in range(top + 1) for f in fields], *[f"_b_{f}" for f in fields], *back)
-
-
-def _if_long_enough(size: int, x: Column) -> Column:
-    """A window longer than the series yields no feature."""
-    return F.when(F.col(LENGTH) >= size, x)
+        out[size] = got
+    return out
 
 
-def _std(size: int) -> Column:
-    n = F.col(_frame(size, "n"))
-    return F.when(n >= 2, F.sqrt(F.col(_frame(size, "q")) / (n - 1)))
+def _std(f: Frame) -> np.ndarray:
+    return np.sqrt(f["q"] / (f["n"] - 1))
 
 
-def rolling_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
-    """Mean, sample std, min and max with at least max(1, size // 2) observations."""
-    out = {}
-    for size in windows:
-        enough = F.col(_frame(size, "n")) >= max(1, size // 2)
-        stats = {"mean": F.col(_frame(size, "m")), "std": _std(size), "min": F.col(_frame(size, "lo")), "max": F.col(_frame(size, "hi"))}
-        for name, value in stats.items():
-            out[f"{v}_roll{name}_{size}"] = _if_long_enough(size, F.when(enough, value))
-    return out
+def rolling_columns(size: int, f: Frame, x: np.ndarray, there: np.ndarray, pos: np.ndarray, length: np.ndarray) -> dict[str, Feature]:
+    """Mean, sample std, min and max with at least max(1, size // 2) observations; a window longer than the series
+    yields no feature."""
+    ok = (f["n"] >= max(1, size // 2)) & (length >= size)
+    return {
+        "rollmean": (f["m"], ok),
+        "rollstd": (_std(f), ok & (f["n"] >= 2)),
+        "rollmin": (f["lo"], ok),
+        "rollmax": (f["hi"], ok),
+    }
 
 
-def trend_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
+def trend_columns(size: int, f: Frame, x: np.ndarray, there: np.ndarray, pos: np.ndarray, length: np.ndarray) -> dict[str, Feature]:
     """Least-squares slope per step over full windows with two or more values.
 
     Partial leading windows give NULL: the array form of the feature, not the biased short-frame one.
     """
-    out = {}
-    for size in windows:
-        ok = (F.col(POS) >= size) & (F.col(_frame(size, "n")) >= 2)
-        out[f"{v}_trend_{size}"] = F.when(ok, F.col(_frame(size, "c")) / F.col(_frame(size, "u")))
-    return out
+    return {"trend": (f["c"] / f["u"], (pos >= size) & (f["n"] >= 2))}
 
 
-def zscore_columns(v: str, windows: Sequence[int], limit: float = 3.0) -> dict[str, Column]:
-    out = {}
-    for size in windows:
-        enough = F.col(_frame(size, "n")) >= max(1, size // 2)
-        z = F.when(enough, (F.col(v) - F.col(_frame(size, "m"))) / F.nullif(_std(size), F.lit(0.0)))
-        z = _if_long_enough(size, z)
-        out[f"{v}_anomaly_{size}"] = z
-        out[f"{v}_is_anomaly_{size}"] = F.coalesce(F.abs(z) > limit, F.lit(False))
-    return out
+def zscore_columns(
+    size: int, f: Frame, x: np.ndarray, there: np.ndarray, pos: np.ndarray, length: np.ndarray, limit: float = 3.0
+) -> dict[str, Feature]:
+    std = _std(f)
+    ok = there & (f["n"] >= max(2, size // 2)) & (std != 0) & (length >= size)
+    z = (x - f["m"]) / std
+    return {"anomaly": (z, ok), "is_anomaly": (ok & ((np.abs(z) > limit) | np.isnan(z)), np.ones(z.shape, bool))}
 
 
-def full_mean_columns(v: str, windows: Sequence[int]) -> dict[str, Column]:
+def full_mean_columns(size: int, f: Frame, x: np.ndarray, there: np.ndarray, pos: np.ndarray, length: np.ndarray) -> dict[str, Feature]:
     """Trailing mean, NULL until the window holds ``size`` values."""
-    return {
-        f"{v}_rolling_{size}": F.when(F.col(_frame(size, "n")) == size, F.col(_frame(size, "m"))) for size in windows
-    }
+    return {"rolling": (f["m"], f["n"] == size)}
+
+
+_MAKERS = {"window": rolling_columns, "trend": trend_columns, "anomaly": zscore_columns, "rolling": full_mean_columns}
+_NAMES = {"window": ("rollmean", "rollstd", "rollmin", "rollmax"), "trend": ("trend",), "anomaly": ("anomaly", "is_anomaly"), "rolling": ("rolling",)}
+
+
+def _tile_begins(t: pa.Table) -> np.ndarray:
+    """Where a tile begins in rows sorted by key and tile. A tile's rows are numbered without a gap, and no key ends
+    in a tile just before the number with which another key's rows in that tile begin."""
+    pos, tile = (t.column(c).to_numpy() for c in (POS, TILE))
+    return np.concatenate([[True], (np.diff(pos) != 1) | (np.diff(tile) != 0)])[: len(pos)]
 
 
 def features(
@@ -152,23 +152,64 @@ def features(
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = WINDOWS,
 ) -> DataFrame:
-    """All requested features of all variables from one tiling and one sort."""
-
-    makers = {"window": rolling_columns, "trend": trend_columns, "anomaly": zscore_columns, "rolling": full_mean_columns}
-    framed = [make for name, make in makers.items() if name in stats]
-    fields = [f for f in _ROW if any(f in _NEEDS[n].split() for n in stats if n in makers)]
+    """All requested features of all variables from one tiling; the rows of many tiles are computed at once, as arrays."""
+    framed = [name for name in _MAKERS if name in stats] if windows else []
+    fields = list(dict.fromkeys(f for name in framed for f in _NEEDS[name].split()))
+    lagged = list(lags) if "lag" in stats else []
 
     def build(x: DataFrame, w: WindowSpec) -> DataFrame:
+        made = []
         for v in variables:
-            if "lag" in stats:
-                x = x.withColumns(lag_columns(v, lags, w))
-            if framed and windows:
-                x = with_frames(x, v, windows, fields, w)
-                x = x.withColumns({n: c for make in framed for n, c in make(v, windows).items()})
-                x = x.drop(*[_frame(size, f) for size in windows for f in fields])
-        return x
-
-    reach = max([*(lags if "lag" in stats else []), *[w - 1 for w in windows], 1])
+            made += [StructField(f"{v}_lag_{k}", x.schema[v].dataType) for k in lagged]
+            for name in framed:
+                for size in windows:
+                    made += [StructField(f"{v}_{n}_{size}", BooleanType() if n == "is_anomaly" else DoubleType()) for n in _NAMES[name]]
+        x = x.drop(*[f.name for f in made])
+
+        def compute(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+            at = np.arange(len(t))
+            place = at - np.maximum.accumulate(np.where(begins, at, 0))
+            t = t.combine_chunks()
+            out = [c.chunk(0) for c in t.columns]
+            values = [t.column(v).chunk(0).cast(pa.float64()) for v in variables]
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in values])
+            xs = np.stack([c.fill_null(0.0).to_numpy() for c in values])
+            pos, length = t.column(POS).to_numpy(), t.column(LENGTH).to_numpy()
+            got = {}
+            with np.errstate(all="ignore"):
+                frames = trailing_frames(_rows(xs, there, pos, fields), windows, place) if framed else {}
+                for name in framed:
+                    for size in windows:
+                        got[name, size] = _MAKERS[name](size, frames[size], xs, there, pos, length)
+            for i, v in enumerate(variables):
+                out += [t.column(v).chunk(0).take(pa.array(np.maximum(at - k, 0), mask=place < k)) for k in lagged]
+                for name in framed:
+                    for size in windows:
+                        for n in _NAMES[name]:
+                            value, ok = got[name, size][n]
+                            out.append(pa.array(value[i], mask=~ok[i]))
+            return pa.RecordBatch.from_arrays(out, names=[*t.column_names, *[f.name for f in made]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                held.append(b)
+                if sum(p.num_rows for p in held) >= ROWS:
+                    t = pa.Table.from_batches(held)
+                    begins = _tile_begins(t)
+                    cut = int(np.flatnonzero(begins)[-1])
+                    if cut:
+                        # the last tile may go on in the next batch
+                        yield compute(t.slice(0, cut), begins[:cut])
+                        held = t.slice(cut).to_batches()
+            if any(p.num_rows for p in held):
+                t = pa.Table.from_batches(held)
+                yield compute(t, _tile_begins(t))
+
+        tiles = x.repartition(*keys, TILE).sortWithinPartitions(*keys, TILE, POS)
+        return tiles.mapInArrow(run, StructType([*x.schema.fields, *made]))
+
+    reach = max([*lagged, *[w - 1 for w in windows], 1])
     return over_tiles(df, keys, order, build, before=reach, size=LENGTH).drop(LENGTH)
 
 
