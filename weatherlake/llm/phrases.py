@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from weatherlake.llm.common import LOWER, UPPER, body, stored
 from weatherlake.llm.ngram_lm import pack, unpack
 
-#: Words that a task counts at once, and occurrences per partition. Numbers of a run's words fit 21 bits, three fit 63.
-RUN, MASS = (1 << 21) - 2, 2 << 20
+#: Words that a task counts at once, and occurrences per partition. Numbers of a run's words fit 20 bits, three fit 63.
+RUN, MASS = (1 << 20) - 2, 2 << 20
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Folds A-Z, turns every break into a full stop, which is no part of a word, and tabs into spaces.
 FOLD = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", LOWER.encode() + b"." * len(BREAKS) + b" ")
