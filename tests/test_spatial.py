@@ -217,6 +217,21 @@ def test_bilinear_keeps_the_product_out_of_shuffles(spark):
     assert "Aggregate" not in above
 
 
+def test_nearest_gathers_no_points_and_keeps_the_product(spark):
+    """Every frame meets every point, rows without a frame or with repeated ids too; no side is broadcast."""
+    ax = Axis(0.0, 1.0, 4)
+    p = spark.createDataFrame([(1, 1.5, 1.25), (2, 0.4, 9.0), (2, 3.0, 3.0), (None, 0.25, 0.0)], "id long, lat double, lon double")
+    frames = cells(spark, np.arange(16.0).reshape(4, 4)).drop("time")
+    times = spark.range(50).select("id", F.when(F.col("id") > 0, F.col("id")).alias("time")).drop("id")
+    out = grids.nearest(frames.crossJoin(times), p, ax.values(), ax.values())
+    assert broadcasts(out) == 0
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append((r.time is None, r.time or 0, r.value))
+    both = [(t == 0, t, v) for t in range(50) for v in (3.0, 15.0)]
+    assert {k: sorted(v) for k, v in got.items()} == {1: sorted((t == 0, t, 5.0) for t in range(50)), 2: sorted(both), None: sorted((t == 0, t, 0.0) for t in range(50))}
+
+
 def test_wind_search_meets_each_place_once(spark, tmp_path, monkeypatch):
     """Sites at one place and centres of one category at one place are joined once, and every site gets its row."""
     import pandas as pd
