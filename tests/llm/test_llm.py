@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, queries, sharding, toxicity
-from weatherlake.llm.common import stored, sums_before, table
+from weatherlake.llm.common import attached, keep_rows, numbered, stored, sums_before, table
 from weatherlake.llm.components import components
 from weatherlake.llm.labelled import sample
 
@@ -111,6 +111,21 @@ def test_copies(which, keep, request):
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256((r.text or "").translate(FOLD).encode()).hexdigest() for r in left.collect())
 
 
+def test_stored_documents_are_not_moved(spark):
+    """Rows of several blocks get all of their values; neither the documents nor their texts pass a shuffle."""
+    rows = numbered(spark.range(50_000, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text"), "id").alias("text")))
+    assert rows.select("block").distinct().count() == 4
+    some = rows.filter("_doc.doc_id % 7 = 0").select("_row", (F.col("_doc.doc_id") * 2).alias("x"))
+    found = attached(rows, some.unionAll(some.select("_row", F.col("x") + 1)))
+    got = {r.doc_id: (r.text, r.x) for r in found.select("_doc.*", F.sort_array("_values.x").alias("x")).collect()}
+    assert got == {i: (f"text{i}", [2 * i, 2 * i + 1]) for i in range(0, 50_000, 7)}
+    left = keep_rows(rows, some.unionAll(some))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange" in x]
+    assert len(moved) == 2 and "SortMergeJoin" not in plan and "SelectedBucketsCount" in plan
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 50_000, 7)) and left.columns == ["doc_id", "text"]
+
+
 def reference_tokenizer():
     from tokenizers import Tokenizer
 

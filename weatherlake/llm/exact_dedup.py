@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import ROW, ascii_lower, body, keep_rows, stored, whole, with_row
+from weatherlake.llm.common import ROW, ascii_lower, body, keep_rows, stored, stored_documents, whole, with_row
 
 FAN = 8
 KEY = ["digest", "n_bytes", "text_sha256"]
@@ -42,18 +42,16 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"),
         folded.alias("_folded"),
     )
-    return stored(
-        rows.select(
-            ROW,
-            *["_doc" for _ in doc],
-            "part",
-            "doc_id",
-            F.xxhash64("_folded").alias("digest"),
-            F.octet_length("_folded").alias("n_bytes"),
-            F.sha2("_folded", 256).alias("text_sha256"),
-        ),
-        "dedup-digests",
+    rows = rows.select(
+        ROW,
+        *["_doc" for _ in doc],
+        "part",
+        "doc_id",
+        F.xxhash64("_folded").alias("digest"),
+        F.octet_length("_folded").alias("n_bytes"),
+        F.sha2("_folded", 256).alias("text_sha256"),
     )
+    return stored_documents(rows, "digests") if carry else stored(rows, "dedup-digests")
 
 
 def merge_runs(rows: DataFrame, keep: str = "smallest") -> DataFrame:

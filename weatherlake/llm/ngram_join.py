@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.common import ROW, body, keep_rows, numbered, stored
+from weatherlake.llm.common import ROW, attached, body, keep_rows, numbered, stored
 from weatherlake.llm.components import components
 from weatherlake.llm.ngram_lm import deltas, joined, pack, squeeze, expand, unpack, word_hash, words_of
 
@@ -365,10 +365,10 @@ def similar_rows(rows: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -
         F.when(low == high, -1).when(F.col("mine") == low, 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", low, high)).alias("task"),
     )
-    texts = docs.select(ROW, body().alias("text"))
+    # only the texts of members move, and once
+    texts = attached(rows.select(ROW, "block", body("_doc.text").alias("text")), spread).select(ROW, "text", F.explode("_values").alias("_at"))
     checked = stored(
-        # the members grow with the corpus, so they are never broadcast to the texts
-        texts.join(spread.hint("merge"), ROW).select("task", "grp", "side", ROW, "copies", "text").groupBy("task").applyInArrow(verify, "a long, b long, linked long"),
+        texts.select("_at.task", "_at.grp", "_at.side", ROW, "_at.copies", "text").groupBy("task").applyInArrow(verify, "a long, b long, linked long"),
         "join-links",
     )
     linked = checked.groupBy(F.col("a").alias(ROW)).agg(F.sum("linked").alias("linked"))
