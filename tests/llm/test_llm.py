@@ -160,6 +160,22 @@ def test_long_words_and_columns(odd, none):
     assert bpe.encode(none, queries.tokenizer_path()).count() == 0
 
 
+def test_units_are_known_without_their_marks(monkeypatch):
+    """A stretch that was met is not encoded again behind other marks, nor at once when the cache is full."""
+    monkeypatch.setattr(packing, "HELD", 4)
+    fast, tok = packing.UnitTokenizer(test_bpe_equals_the_library.source), reference_tokenizer()
+    asked: list[str] = []
+    whole = fast.whole
+    monkeypatch.setattr(fast, "whole", lambda t: asked.append(t) or whole(t))
+    check = lambda t: np.frombuffer(fast.encode(t), fast.kind).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert check(" quorble zanté") and check(" quorble, zanté%%% zanté.") and check(" quorble,")
+    assert sorted(asked) == [" quorble zanté", "%%%", ",", "."]
+    assert check(" one two three four") and fast.older and check(" quorble two zanté;")
+    assert asked[4:] == [" one two three four", ";"]
+    for text in (" a', b's, it's. 1, ²; x\n, (, )a( ﬁ, ß: \x1c. é́,", " <|endoftext|>, a|>. b<|endoftext", " a,b,c ,, a.\nb.", "a. a.'s a's."):
+        assert all(check(t) for t in (text, " " + text, text + text))
+
+
 @pytest.mark.parametrize("which", ["odd", "docs", "none"])
 def test_packing(which, request):
     df = request.getfixturevalue(which)

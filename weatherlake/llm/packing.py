@@ -19,6 +19,7 @@ packed as often as they occur; an empty table gives no pieces; extra columns are
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections.abc import Iterator
@@ -29,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.bpe import CACHE, SHORT, loaded, read_file
+from weatherlake.llm.bpe import SHORT, loaded, read_file
 from weatherlake.llm.common import ROW, body, stored, sums_before, with_row
 
 END_ID = 1
 #: The letter that stands for the space byte in byte-level vocabularies.
 SPACE = "\u0120"
+#: Marks that a unit may end in, the letters before them that every Unicode version has, and units in a cache's half.
+MARKS, LATIN, HELD = ".,;:!?#*$%&|<>\"()[]{}-_/=+@~", "\u0250", 350_000
+#: Rows of which pieces are made at once.
+CUT_ROWS = 512
 PIECES = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,6 +49,10 @@ class UnitTokenizer:
     A space before a character that is no white space starts a token in byte-level vocabularies, and no other
     token starts with that space. So the unknown stretches of a text are encoded in one call and cut apart at
     the tokens that start with a space; a text with other spacing is encoded as a whole.
+
+    The split pattern of these vocabularies also cuts between a letter and the marks behind it, so a stretch is looked
+    up without the marks it ends in. The cache has two halves: a full one becomes the older one, from which stretches
+    that are met again are taken over.
     """
 
     def __init__(self, source: str):
@@ -52,34 +61,67 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(source)
+        split = spec.get("pre_tokenizer") or {}
+        self.marks = MARKS if split.get("type") == "ByteLevel" and split.get("use_regex", True) and not spec.get("normalizer") else ""
         vocab = self.tokenizer.get_vocab()
         self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            found = self.whole(marks).tobytes()
+            if len(marks) <= SHORT and len(self.tails) < HELD:
+                self.tails[marks] = found
+        return found
+
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self.whole(text).tobytes()
         first, *rest = text.split(" ")
-        found = list(map(self.units.get, rest))
-        new = [i for i, x in enumerate(found) if x is None] if None in found else []
-        if any(not rest[i] or rest[i][0].isspace() for i in new):
-            return self.whole(text).tobytes()
+        units = self.units
+        found = list(map(units.get, rest))
+        new: list[tuple[int, str, bytes]] = []
+        if None in found:
+            for i, x in enumerate(found):
+                if x is not None:
+                    continue
+                unit = rest[i]
+                if not unit or unit[0].isspace():
+                    return self.whole(text).tobytes()
+                stem, end = unit.rstrip(self.marks) if self.marks else unit, b""
+                if len(stem) < len(unit):
+                    if stem and stem[-1] < LATIN and stem[-1].isalpha():
+                        end = self.tail(unit[len(stem) :])
+                        x = units.get(stem)
+                    else:
+                        stem = unit
+                if x is None and (x := self.older.get(stem)) is not None:
+                    units[stem] = x
+                if x is None:
+                    new.append((i, stem, end))
+                else:
+                    found[i] = x + end
         if not first and not new:
             return b"".join(found)
-        ids = self.whole(" ".join([first, *[rest[i] for i in new]]))
+        ids = self.whole(" ".join([first, *[stem for _, stem, _ in new]]))
         raw, width = ids.tobytes(), ids.itemsize
         cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(raw)]
-        if len(self.units) + len(new) > CACHE:
-            self.units.clear()
-        for i, a, b in zip(new, cuts, cuts[1:]):
-            found[i] = raw[a:b]
-            if len(rest[i]) <= SHORT:
-                self.units[rest[i]] = found[i]
+        for (i, stem, end), a, b in zip(new, cuts, cuts[1:]):
+            x = raw[a:b]
+            found[i] = x + end
+            if len(stem) <= SHORT:
+                units[stem] = x
+        if len(units) > HELD:
+            self.older, self.units = units, {}
         return raw[: cuts[0]] + b"".join(found)
 
 
@@ -203,16 +245,23 @@ def pack(
     wide = per_doc.join(tokens.select(ROW, "doc_id", "source", "n", "ids"), ROW)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, source, n, ids, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids", "cuts"))):
-                x = np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4")
-                for c in cuts:
-                    s, k, at = c["start"], c["length"], c["at"]
-                    out.append((doc_id, source, s, k, x[s : s + k].tobytes(), n, at // size, at % size))
-            names = [p.split(" ")[0] for p in PIECES.split(", ")]
-            kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[p.split(" ")[1]] for p in PIECES.split(", ")]
-            columns = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        names = [p.split(" ")[0] for p in PIECES.split(", ")]
+        for whole in batches:
+            for s in range(0, whole.num_rows, CUT_ROWS):
+                b = whole.slice(s, CUT_ROWS)
+                n, cuts, raw = b.column("n").to_numpy(), b.column("cuts"), b"".join(b.column("ids").to_pylist())
+                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n.sum() else np.uint32).astype("<u4")
+                doc = np.repeat(np.arange(b.num_rows), cuts.value_lengths().to_numpy())
+                start, length, at = (x.to_numpy() for x in cuts.flatten().flatten())
+                # the pieces of a document are all of its ids, so in their order they lie one behind the other
+                place = (np.cumsum(n) - n)[doc] + start
+                order = np.argsort(place)
+                doc, start, length, at = doc[order], start[order], length[order], at[order]
+                ends = np.append(place[order], len(ids)) * 4
+                body = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                of = pa.array(doc)
+                values = [b.column("doc_id").take(of), b.column("source").take(of), pa.array(start), pa.array(length), body]
+                values += [b.column("n").take(of), pa.array(at // size), pa.array(at % size)]
+                yield pa.RecordBatch.from_arrays(values, names=names)
 
     return wide.mapInArrow(pieces, PIECES)
