@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -176,6 +177,25 @@ def test_units_are_known_without_their_marks(monkeypatch):
         assert all(check(t) for t in (text, " " + text, text + text))
 
 
+def test_texts_are_encoded_in_batches(monkeypatch):
+    """An unknown stretch of a batch goes to the library once, behind spaces and line ends; batches are cut by bytes."""
+    fast, tok = packing.UnitTokenizer(test_bpe_equals_the_library.source), reference_tokenizer()
+    asked: list[str] = []
+    whole = fast.whole
+    monkeypatch.setattr(fast, "whole", lambda t: asked.append(t) or whole(t))
+    texts = ["quorble zanté\nquorble", " quorble, zanté\r\nquorble.", "quorble zanté,", ""]
+    texts += ["quorble  x", "\n", "quorble\n\nx", "\tquorble", "x<|endoftext|>quorble", "quorble \u3000x", "x " * 3]
+    check = lambda: [np.frombuffer(x, fast.kind).tolist() for x in fast.encode_all(pa.array(texts))]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert check() == want
+    assert sorted(asked) == ["\nquorble zanté quorble", " zanté\r", ",", "."]
+    assert check() == want and len(asked) == 4
+    monkeypatch.setattr(packing, "TEXT_BYTES", 8)
+    batch = pa.record_batch([pa.array(["a" * n for n in (3, 3, 3, 0, 20, 1, 1)])], ["text"])
+    slices = list(packing.text_batches([batch, batch.slice(0, 0)], 0))
+    assert [x.num_rows for x in slices] == [2, 2, 3] and pa.Table.from_batches(slices).to_pydict() == batch.to_pydict()
+
+
 @pytest.mark.parametrize("which", ["odd", "docs", "none"])
 def test_packing(which, request):
     df = request.getfixturevalue(which)

@@ -22,37 +22,48 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weatherlake.llm.bpe import SHORT, loaded, read_file
+from weatherlake.llm.bpe import SHORT, byte_letters, loaded, read_file
 from weatherlake.llm.common import ROW, body, stored, sums_before, with_row
 
 END_ID = 1
-#: The letter that stands for the space byte in byte-level vocabularies.
-SPACE = "\u0120"
+#: The letters that stand for the space byte and the line end in byte-level vocabularies.
+SPACE, LINE = "\u0120", "\u010a"
 #: Marks that a unit may end in, the letters before them that every Unicode version has, and units in a cache's half.
 MARKS, LATIN, HELD = ".,;:!?#*$%&|<>\"()[]{}-_/=+@~", "\u0250", 350_000
+#: Stretches of letters below ``LATIN``, each behind a space or line end.
+WORDS = re.compile("(?:[ \\n][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)+")
+#: First bytes of white space, and of some other letters.
+BLANKS = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+#: Bytes of text and rows that are cut at once, and stretches that the library is asked at once.
+TEXT_BYTES, TEXT_ROWS, ASKED = 4 << 20, 8192, 16384
 #: Rows of which pieces are made at once.
 CUT_ROWS = 512
 PIECES = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class UnitTokenizer:
-    """Ids by the tokenizers library, with a cache of the stretches between single spaces.
+    """Ids by the tokenizers library, with a cache of the stretches between single spaces or line ends.
 
-    A space before a character that is no white space starts a token in byte-level vocabularies, and no other
-    token starts with that space. So the unknown stretches of a text are encoded in one call and cut apart at
-    the tokens that start with a space; a text with other spacing is encoded as a whole.
+    In vocabularies with the usual byte-level split pattern, a space or line end before a character that is no white
+    space starts a token, and no other token starts with it. So the texts of a batch are cut there at once, each
+    distinct stretch is looked up once, the unknown ones are encoded in one call and cut apart at the tokens that start
+    with a space or line end. A text with other spacing or with added tokens, and any text of another kind of
+    vocabulary, is encoded as a whole.
 
-    The split pattern of these vocabularies also cuts between a letter and the marks behind it, so a stretch is looked
-    up without the marks it ends in. The cache has two halves: a full one becomes the older one, from which stretches
-    that are met again are taken over.
+    The pattern also cuts between a letter and the marks behind it, so a stretch is looked up without the marks it
+    ends in. Stretches of letters only need no pattern: they go to the same model already cut and spelled in its
+    letters. The cache has two halves: a full one becomes the older one, from which stretches that are met again are
+    taken over.
     """
 
     def __init__(self, source: str):
@@ -63,66 +74,129 @@ class UnitTokenizer:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(source)
         split = spec.get("pre_tokenizer") or {}
-        self.marks = MARKS if split.get("type") == "ByteLevel" and split.get("use_regex", True) and not spec.get("normalizer") else ""
         vocab = self.tokenizer.get_vocab()
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.cuts = usual and not spec.get("normalizer") and LINE in vocab and not any(c in t for t in self.added for c in " \n")
+        self.words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
+        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE) or t == LINE]] = True
+        self.line = np.array([vocab.get(LINE, 0)], self.kind).tobytes()
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+
+    def ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        """Ids of a text without added tokens."""
+        if self.cuts and WORDS.fullmatch(text):
+            spelled = text.encode().decode("latin-1").translate(self.letters)
+            return self.ids(self.words, spelled.replace(SPACE, " " + SPACE).replace(LINE, f" {LINE} "))
+        return self.ids(self.tokenizer, text)
 
-    def tail(self, marks: str) -> bytes:
+    def tail(self, marks: bytes) -> bytes:
         found = self.tails.get(marks)
         if found is None:
-            found = self.whole(marks).tobytes()
+            found = self.whole(marks.decode()).tobytes()
             if len(marks) <= SHORT and len(self.tails) < HELD:
                 self.tails[marks] = found
         return found
 
+    def learn(self, stems: list[str], known: list[bytes | None], missing: list[int]) -> None:
+        """Fill in the ids of the missing stretches."""
+        fresh: list[list[str]] = [[], []]
+        places: list[list[int]] = [[], []]
+        for i in missing:
+            stem = stems[i]
+            x = known[i] = self.older.get(stem)
+            if x is None:
+                stem = stem if stem[0] == "\n" else " " + stem
+                kind = WORDS.fullmatch(stem) is None
+                fresh[kind].append(stem)
+                places[kind].append(i)
+            else:
+                self.units[stem] = x
+        for kind, s in ((k, s) for k in (0, 1) for s in range(0, len(fresh[k]), ASKED)):
+            ids = self.whole("".join(fresh[kind][s : s + ASKED]))
+            raw, width = ids.tobytes(), ids.itemsize
+            cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(raw)]
+            for i, a, b in zip(places[kind][s : s + ASKED], cuts[:-1], cuts[1:], strict=True):
+                x = known[i] = raw[a:b]
+                if len(stems[i]) <= SHORT:
+                    self.units[stems[i]] = x
+        if len(self.units) > HELD:
+            self.older, self.units = self.units, {}
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none is null)."""
+        if not self.cuts:
+            return [self.ids(self.tokenizer, t).tobytes() for t in texts.to_pylist()]
+        # every text begins with a line end, which leaves its ids again, and a line end begins its stretch
+        empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        lined = pc.binary_join_element_wise(empty, pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), line)
+        cut = pc.split_pattern(lined, " ")
+        borders, stretches = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        at, names = stretches.indices.to_numpy(), stretches.dictionary
+        ends, raw = np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1], names.buffers()[2].to_pybytes()
+        del lined, cut
+
+        # texts to be encoded as a whole: a stretch begins with white space, but for the first, which may be empty
+        lead = np.frombuffer(raw + b" ", np.uint8)[ends[:-1]]
+        check = np.flatnonzero((np.diff(ends) == 0) | BLANKS[lead])
+        odd, bare = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        for i, u in zip(check.tolist(), names.take(pa.array(check)).to_pylist()):
+            bare[i] = u == "\n"
+            odd[i] = not u.removeprefix("\n") or u.removeprefix("\n")[0].isspace()
+        odd_at = odd[at]
+        odd_at[borders[:-1]] &= ~bare[at[borders[:-1]]]
+        apart = np.logical_or.reduceat(odd_at, borders[:-1])
+        for t in self.added:
+            apart |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        needed = np.zeros(len(names), bool)
+        needed[at[~np.repeat(apart, np.diff(borders))]] = True
+
+        # stretches without the marks behind a letter
+        bodies = pc.utf8_rtrim(names, MARKS)
+        marks = np.diff(ends) - pc.binary_length(bodies).to_numpy()
+        last = pc.utf8_slice_codeunits(bodies, -1).dictionary_encode()
+        letter = np.array([c != "" and c < LATIN and c.isalpha() for c in last.dictionary.to_pylist()], bool)
+        parted = (marks > 0) & letter[last.indices.to_numpy()]
+        tails = np.full(len(names), b"", object)
+        tails[parted] = [self.tail(raw[b - n : b]) for b, n in zip(ends[1:][parted].tolist(), marks[parted].tolist())]
+        bodies = pc.if_else(pa.array(parted), bodies, names).dictionary_encode()
+        of, stems = bodies.indices.to_numpy(), bodies.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+        known = list(map(self.units.get, stems))
+        wanted = np.zeros(len(stems), bool)
+        wanted[of[needed & ~bare]] = True
+        self.learn(stems, known, [i for i, (x, w) in enumerate(zip(known, wanted.tolist())) if x is None and w])
+        for i in of[bare]:
+            known[i] = self.line
+        coded = pa.array([x or b"" for x in known], pa.large_binary()).take(bodies.indices)
+        coded = pc.binary_join_element_wise(coded, pa.array(tails, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        found = coded.take(stretches.indices)
+        ends, raw = np.frombuffer(found.buffers()[1], np.int64)[borders].tolist(), memoryview(found.buffers()[2] or b"")
+        width = len(self.line)
+        ids = [bytes(raw[a + width : b]) for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(apart).tolist():
+            ids[i] = self.ids(self.tokenizer, texts[i].as_py()).tobytes()
+        return ids
+
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.whole(text).tobytes()
-        first, *rest = text.split(" ")
-        units = self.units
-        found = list(map(units.get, rest))
-        new: list[tuple[int, str, bytes]] = []
-        if None in found:
-            for i, x in enumerate(found):
-                if x is not None:
-                    continue
-                unit = rest[i]
-                if not unit or unit[0].isspace():
-                    return self.whole(text).tobytes()
-                stem, end = unit.rstrip(self.marks) if self.marks else unit, b""
-                if len(stem) < len(unit):
-                    if stem and stem[-1] < LATIN and stem[-1].isalpha():
-                        end = self.tail(unit[len(stem) :])
-                        x = units.get(stem)
-                    else:
-                        stem = unit
-                if x is None and (x := self.older.get(stem)) is not None:
-                    units[stem] = x
-                if x is None:
-                    new.append((i, stem, end))
-                else:
-                    found[i] = x + end
-        if not first and not new:
-            return b"".join(found)
-        ids = self.whole(" ".join([first, *[stem for _, stem, _ in new]]))
-        raw, width = ids.tobytes(), ids.itemsize
-        cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(raw)]
-        for (i, stem, end), a, b in zip(new, cuts, cuts[1:]):
-            x = raw[a:b]
-            found[i] = x + end
-            if len(stem) <= SHORT:
-                units[stem] = x
-        if len(units) > HELD:
-            self.older, self.units = units, {}
-        return raw[: cuts[0]] + b"".join(found)
+        return self.encode_all(pa.array([text]))[0]
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``TEXT_BYTES`` of text."""
+    for b in batches:
+        before = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            for r in range(s, e, TEXT_ROWS):
+                yield b.slice(r, min(TEXT_ROWS, e - r))
 
 
 def token_rows(docs: DataFrame, path: str, text_col: str, source_col: str) -> DataFrame:
@@ -135,17 +209,14 @@ def token_rows(docs: DataFrame, path: str, text_col: str, source_col: str) -> Da
         tok = loaded(UnitTokenizer, source.value)
         end = np.array([END_ID], tok.kind).tobytes()
         seen: dict[str, int] = {}
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                x = b.slice(s, 2000)
-                queues, ids, before, size = x.column(3).to_pylist(), [], [], []
-                for q, t in zip(queues, x.column(4).to_pylist()):
-                    ids.append(tok.encode(t) + end)
-                    size.append(len(ids[-1]) // np.dtype(tok.kind).itemsize)
-                    before.append(seen.get(q, 0))
-                    seen[q] = before[-1] + size[-1]
-                cols = [*x.columns[:4], pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.large_binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[ROW, "part", "doc_id", "source", "cum", "n", "ids"])
+        for x in text_batches(batches, 4):
+            ids = [coded + end for coded in tok.encode_all(x.column(4))]
+            before, size = [], [len(coded) // len(end) for coded in ids]
+            for q, n in zip(x.column(3).to_pylist(), size):
+                before.append(seen.get(q, 0))
+                seen[q] = before[-1] + n
+            cols = [*x.columns[:4], pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.large_binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[ROW, "part", "doc_id", "source", "cum", "n", "ids"])
 
     out = rows.mapInArrow(run, f"{ROW} long, part int, doc_id long, source string, cum long, n long, ids binary")
     return stored(out, "pack-tokens")
