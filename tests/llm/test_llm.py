@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weatherlake.llm import bpe, chat, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, queries, sharding, toxicity
+from weatherlake.llm import bpe, chat, common, exact_dedup, latent, ngram_join, ngram_lm, packing, perplexity, queries, sharding, toxicity
 from weatherlake.llm.common import attached, keep_rows, numbered, stored, sums_before, table
 from weatherlake.llm.components import components
 from weatherlake.llm.labelled import sample
@@ -439,6 +439,37 @@ def test_large_group_of_near_copies(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id", "n_links") == brute_links(df)[0]
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """A file for every shuffle partition starts two processes each on a local disk, whatever its size."""
+    texts = [f"{LONG[i : i + 900]} {i}" for i in range(0, 36_000, 600)]
+    rows = [(i, t, "en", "a") for i, t in enumerate([*texts, *(t + " near" for t in texts)])]
+    df = stored(spark.createDataFrame(rows, SCHEMA).repartition(3), "files")
+    wanted = [(r.doc_id, r.component_id, r.n_links) for r in ngram_join.similar(df).orderBy("doc_id").collect()]
+    files, write = defaultdict(list), common.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        files[re.sub(r"-\d$", "", label)].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.doc_id, r.component_id, r.n_links) for r in ngram_join.similar(df).orderBy("doc_id").collect()]
+        perplexity.rules(df).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == wanted and any(n for _, _, n in got)
+    for label in ("llm-up", "llm-join-classes", "llm-join-members", "llm-join-found", "llm-probabilities"):
+        assert files[label] and max(files[label]) <= spark.sparkContext.defaultParallelism, (label, files[label])
+    # n-grams below the highest order; those of the highest are written where they are counted
+    assert max(files["llm-edges"][1:]) <= spark.sparkContext.defaultParallelism
+    assert max(files["llm-grams"][1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

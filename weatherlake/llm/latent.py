@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     each one's term numbers and weights, at most one per term (``SHAPES`` ** 3 + ``EXTRA``) however long the text."""
     picked = sample(docs, labels, label, rows)
     lists = map_columns(picked, ["text"], [("keys", "binary"), ("weights", "binary")], lambda: term_lists)
-    lists = stored(lists.select("doc_id", "keys", "weights", "y"), "quality-terms")
+    lists = stored(lists.select("doc_id", "keys", "weights", "y"), "quality-terms", rows)
     found = lists.orderBy(F.xxhash64("doc_id"), "doc_id", "keys", "weights").toLocalIterator()
     return Neighbours([(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["weights"], np.float64), r["y"]) for r in found])
 

@@ -340,8 +340,8 @@ def similar(docs: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> Dat
 def similar_rows(rows: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -> DataFrame:
     """``similar`` of stored numbered rows; every pass over the texts reads the same numbers."""
     docs = rows.select(ROW, "_doc.doc_id", "_doc.text")
-    size = docs.agg(F.sum(F.octet_length(body()))).first()[0] or 0
-    ranges = max(32, -(-size // RANGE_BYTES))
+    size, n_docs = docs.agg(F.sum(F.octet_length(body())), F.count("*")).first()
+    ranges = max(32, -(-(size or 0) // RANGE_BYTES))
     read = read_sets(docs)
     sets = read.filter("chunk is null").select(ROW, "doc_id", "n", "digest", "class")
     prefixes = send_prefixes(docs, frequencies(read), ranges)
@@ -349,9 +349,9 @@ def similar_rows(rows: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -
     grouped = components(candidates)
     # one text of every class that has a candidate
     classes = sets.filter("n > 0").groupBy("digest", "class").agg(F.min(ROW).alias(ROW), F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    classes = stored(classes, "join-classes")
+    classes = stored(classes, "join-classes", n_docs)
     members = classes.join(grouped.withColumnRenamed("node", "class"), "class").select(ROW, "copies", F.col("root").alias("grp"))
-    members = stored(members, "join-members")
+    members = stored(members, "join-members", n_docs)
     blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / block_sets).alias("blocks"))
     tasks = max(32, -(-members.count() // 512))
     spread = members.join(blocks, "grp").withColumn("mine", F.pmod(F.xxhash64(ROW), F.col("blocks")))
@@ -372,9 +372,9 @@ def similar_rows(rows: DataFrame, hot_size: int = HOT, block_sets: int = SIDE) -
         "join-links",
     )
     linked = checked.groupBy(F.col("a").alias(ROW)).agg(F.sum("linked").alias("linked"))
-    roots = components(checked.select("a", "b")).select(F.col("node").alias(ROW), "root")
+    roots = components(checked.select("a", "b"), checked.count()).select(F.col("node").alias(ROW), "root")
     found = classes.join(roots, ROW, "left").join(linked, ROW, "left").withColumn("root", F.coalesce("root", ROW))
-    found = stored(found.select("digest", "class", "first_id", "root", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), ROW), "join-found")
+    found = stored(found.select("digest", "class", "first_id", "root", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), ROW), "join-found", n_docs)
     best = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col(ROW).alias("row")))
     smallest = found.groupBy("root").agg(best.alias("best"))
     answer = found.join(smallest, "root").select("digest", F.col("best.id").alias("component_id"), "n_links", F.col("root").alias("component"))
