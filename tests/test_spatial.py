@@ -232,6 +232,43 @@ def test_nearest_gathers_no_points_and_keeps_the_product(spark):
     assert {k: sorted(v) for k, v in got.items()} == {1: sorted((t == 0, t, 5.0) for t in range(50)), 2: sorted(both), None: sorted((t == 0, t, 0.0) for t in range(50))}
 
 
+def bytes_a_row(df, at):
+    """Of what a columnar file takes for the rows as they leave."""
+    df.write.parquet(str(at))
+    return sum(f.stat().st_size for f in at.glob("*.parquet")) / df.sparkSession.read.parquet(str(at)).count()
+
+
+def many(spark, places):
+    """Spread ids at points of a 4 x 4 grid, as many as do not fit a short cycle, and 300 frames of it."""
+    k = F.col("id") % places
+    p = spark.range(6000).select((F.col("id") * 1000003).alias("id"), (k % 2 + k / places / 2).alias("lat"), (k / places).alias("lon"))
+    times = spark.range(300).withColumnRenamed("id", "time")
+    return cells(spark, np.arange(16.0).reshape(4, 4)).drop("time", "v").crossJoin(times).withColumn("v", F.rand(1)), p
+
+
+def test_nearest_rows_are_stored_small(spark, tmp_path):
+    """A frame stays for a run of points and their ids come again soon, however many points a cell has."""
+    ax = Axis(0.0, 1.0, 4)
+    frames, p = many(spark, 6000)
+    assert bytes_a_row(grids.nearest(frames, p, ax.values(), ax.values()), tmp_path / "out") < 0.4
+
+
+def test_nearest_is_whole_with_many_runs_and_shares(spark, monkeypatch):
+    """Runs and shares that fill up lose and repeat no row: null and repeated ids, a row without a frame, an empty side."""
+    monkeypatch.setattr(grids, "FRAMES", 2)
+    monkeypatch.setattr(grids, "RUN", 3)
+    ax = Axis(0.0, 1.0, 4)
+    ids = [None, None, 7, 7, 7, 7, 7, *range(20, 31)]
+    p = spark.createDataFrame([(k, 1.0, 1.0) for k in ids], "id long, lat double, lon double")
+    frames = cells(spark, np.arange(16.0).reshape(4, 4)).drop("time")
+    times = spark.range(75).select("id", F.when(F.col("id") > 0, F.col("id")).alias("time")).drop("id")
+    out = grids.nearest(frames.crossJoin(times), p, ax.values(), ax.values())
+    got = sorted((r.time or 0, r.id or 0, r.value) for r in out.collect())
+    assert got == sorted((t, k or 0, 5.0) for t in range(75) for k in ids)
+    assert grids.nearest(frames.crossJoin(times).limit(0), p, ax.values(), ax.values()).count() == 0
+    assert grids.nearest(frames.crossJoin(times), p.limit(0), ax.values(), ax.values()).count() == 0
+
+
 def test_wind_search_meets_each_place_once(spark, tmp_path, monkeypatch):
     """Sites at one place and centres of one category at one place are joined once, and every site gets its row."""
     import pandas as pd
