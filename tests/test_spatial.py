@@ -269,6 +269,25 @@ def test_nearest_is_whole_with_many_runs_and_shares(spark, monkeypatch):
     assert grids.nearest(frames.crossJoin(times), p.limit(0), ax.values(), ax.values()).count() == 0
 
 
+def test_bilinear_rows_are_stored_small(spark, tmp_path):
+    """Points at one place leave together, so that their ids come again soon and their value is stored once a frame."""
+    ax = Axis(0.0, 1.0, 4)
+    frames, p = many(spark, 20)
+    assert bytes_a_row(grids.bilinear(frames, p, ax, ax), tmp_path / "out") < 0.4
+
+
+def test_bilinear_is_whole_with_many_runs_and_shares(spark, monkeypatch):
+    """Distinct and shared places in runs that fill up: each id gets its own place's value in every frame."""
+    monkeypatch.setattr(grids, "FRAMES", 2)
+    monkeypatch.setattr(grids, "RUN", 3)
+    ax = Axis(0.0, 1.0, 4)
+    at = {k: (k % 4 * 0.25 + 1, k % 5 * 0.125 + 1) for k in range(20)}
+    p = spark.createDataFrame([(k, *x) for k, x in at.items()], "id long, lat double, lon double")
+    frames = cells(spark, np.arange(16.0).reshape(4, 4)).drop("time").crossJoin(spark.range(75).withColumnRenamed("id", "time"))
+    got = sorted((r.time, r.id, r.value) for r in grids.bilinear(frames, p, ax, ax).collect())
+    assert got == [(t, k, 4 * at[k][0] + at[k][1]) for t in range(75) for k in range(20)]
+
+
 def test_wind_search_meets_each_place_once(spark, tmp_path, monkeypatch):
     """Sites at one place and centres of one category at one place are joined once, and every site gets its row."""
     import pandas as pd
